@@ -29,12 +29,12 @@ def violation_codes() -> Column:
     """
     rules = []
     for column, (low, high, open_low) in D.NUMERIC_RANGES.items():
-        value = F.col(column).cast("double")
+        given, value = F.col(column), F.col(column).try_cast("double")
         too_low = value <= low if open_low else value < low
-        rules.append(F.when(F.col(column).isNotNull() & value.isNull(), f"{column}_not_numeric"))
+        rules.append(F.when(given.isNotNull() & value.isNull(), f"{column}_not_numeric"))
         rules.append(F.when(too_low | (value > high), f"{column}_range"))
         if column == "distance_km":
-            rules.append(F.when(F.col(column).isNull(), f"{column}_null"))
+            rules.append(F.when(given.isNull(), f"{column}_null"))
     for column, levels in D.CATEGORY_DOMAINS.items():
         known = F.coalesce(F.col(column).isin(levels), F.lit(False))
         rules.append(F.when(~known, f"{column}_category"))
@@ -42,29 +42,14 @@ def violation_codes() -> Column:
 
 
 def add_violations(df: DataFrame) -> DataFrame:
-    missing = [c for c in D.RAW_FEATURES if c not in {x.lower() for x in df.columns}]
+    """Append the violation codes and turn the numeric predictors into doubles."""
+    present = {c.lower() for c in df.columns}
+    missing = [c for c in D.RAW_FEATURES if c not in present]
     if missing:
         raise InvalidInput(f"missing required columns: {missing}")
-    text_safe = {
-        c: F.col(c).try_cast("double")
-        for c in D.NUMERIC_RANGES
-        if dict(df.dtypes).get(c) == "string"
-    }
-    flagged = df
-    if text_safe:
-        flagged = df.withColumns({f"{c}_parsed": v for c, v in text_safe.items()})
-        codes = [
-            F.when(F.col(c).isNotNull() & F.col(f"{c}_parsed").isNull(), f"{c}_not_numeric")
-            for c in text_safe
-        ]
-        flagged = flagged.withColumn("unparsed", F.array_compact(F.array(*codes)))
-        flagged = flagged.withColumns({c: F.col(f"{c}_parsed") for c in text_safe})
-        flagged = flagged.drop(*[f"{c}_parsed" for c in text_safe])
-        flagged = flagged.withColumn(
-            "violations", F.array_union(F.col("unparsed"), violation_codes())
-        )
-        return flagged.drop("unparsed")
-    return flagged.withColumn("violations", violation_codes())
+    return df.withColumn("violations", violation_codes()).withColumns(
+        {c: F.col(c).try_cast("double") for c in D.NUMERIC_RANGES}
+    )
 
 
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
