@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from courierflow import domain as D
-from courierflow.catalog.base import query
+from courierflow.catalog.base import py_round_sql, query
 from courierflow.catalog.features import COUNTRIES_SQL, PROFILES_SQL, hav, profiles
 from courierflow.catalog.quality import SPLIT_SQL
 from courierflow.operators import assignment, listing, matching, splitting, summaries
@@ -246,15 +246,15 @@ QUERIES = [
     query(
         "ag1_fleet_stats",
         lambda t: summaries.fleet_stats(t.riders, t.hotels),
-        """select h.hotel_id, count(r.id) as total_riders, count(*) filter (lower(status) = 'available') as available_riders,
+        f"""select h.hotel_id, count(r.id) as total_riders, count(*) filter (lower(status) = 'available') as available_riders,
         count(*) filter (lower(status) = 'on delivery') as on_delivery_riders, count(*) filter (lower(status) = 'offline') as offline_riders,
-        coalesce(round(avg(courier_exp_yrs), 1), 0.0e0) as avg_experience_yrs
+        coalesce({py_round_sql("avg(courier_exp_yrs)", 1)}, 0.0e0) as avg_experience_yrs
         from hotels h left join riders r on r.hotel_id = h.hotel_id group by h.hotel_id""",
     ),
     query(
         "ag2_batch_kpis",
         lambda t: summaries.batch_kpis(scored_orders(t), "predicted_eta_min", ["hotel_id"]),
-        """select hotel_id, count(*) as total_orders, round(avg(predicted_eta_min), 2) as avg_delivery_time_min,
+        f"""select hotel_id, count(*) as total_orders, {py_round_sql("avg(predicted_eta_min)", 2)} as avg_delivery_time_min,
         round(min(predicted_eta_min), 2) as min_delivery_time_min, round(max(predicted_eta_min), 2) as max_delivery_time_min,
         count(*) filter (predicted_eta_min > 50) as high_risk_count, count(*) filter (predicted_eta_min <= 35) as fast_delivery_count
         from dispatch_orders group by hotel_id""",
@@ -269,8 +269,8 @@ QUERIES = [
         lambda t: summaries.rider_performance(t.riders, completed(t)).select(
             "id", "total_deliveries", "on_time_deliveries", "performance_score"
         ),
-        """select id, total_deliveries, on_time_deliveries, case when total_deliveries > 0
-          then round(on_time_deliveries / total_deliveries * 100.0e0, 1) else 100.0e0 end as performance_score
+        f"""select id, total_deliveries, on_time_deliveries, case when total_deliveries > 0
+          then {py_round_sql("(on_time_deliveries / total_deliveries * 100.0e0)", 1)} else 100.0e0 end as performance_score
         from (select r.id, r.total_deliveries + coalesce(n, 0) as total_deliveries, r.on_time_deliveries + coalesce(o, 0) as on_time_deliveries
           from riders r left join (select assigned_rider_id, count(*) as n, cast(sum(was_on_time) as bigint) as o
             from completed_rows group by 1) c on c.assigned_rider_id = r.id)""",

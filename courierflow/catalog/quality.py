@@ -97,7 +97,7 @@ select *,
   case when distance_km <= 0 then null when distance_km <= 5 then 'Short'
     when distance_km <= 12 then 'Medium' when distance_km > 12 then 'Long' end as distance_category,
   cast(coalesce(time_of_day = 'Evening', false) as int) as is_peak_meal_hour,
-  round(preparation_time_min / (distance_km + 1e-5), 2) as prep_time_per_km,
+  round_even(preparation_time_min / (distance_km + 1e-5) * 100, 0) / 100 as prep_time_per_km,
   cast(coalesce(vehicle_type = 'Bike' and distance_km > 12, false) as int) as bike_long_distance,
   cast(coalesce(weather in ('Snowy','Rainy','Foggy') and traffic_level = 'High', false) as int) as severe_conditions
 from deliveries

@@ -1,4 +1,7 @@
-"""Engineered delivery features as column expressions."""
+"""Engineered delivery features.
+
+They are kept as SQL text, the form that a saved ML pipeline can carry.
+"""
 
 from __future__ import annotations
 
@@ -7,55 +10,28 @@ from pyspark.sql import functions as F
 
 from courierflow import domain as D
 
-# Right-closed distance bins and the adverse-weather set.
-SHORT_UP_TO_KM = 5.0
-MEDIUM_UP_TO_KM = 12.0
-ADVERSE_WEATHER = ["Snowy", "Rainy", "Foggy"]
-
-
-def _flag(condition: Column) -> Column:
-    # A comparison with a missing value counts as "no".
-    return F.coalesce(condition, F.lit(False)).cast("int")
-
-
-def distance_category(km: Column) -> Column:
-    """Short up to 5 km, Medium up to 12 km, Long beyond; null outside (0, inf)."""
-    return (
-        F.when((km > 0) & (km <= SHORT_UP_TO_KM), "Short")
-        .when((km > SHORT_UP_TO_KM) & (km <= MEDIUM_UP_TO_KM), "Medium")
-        .when(km > MEDIUM_UP_TO_KM, "Long")
-    )
-
-
-def is_peak_meal_hour(time_of_day: Column) -> Column:
-    return _flag(time_of_day == "Evening")
-
-
-def prep_time_per_km(prep_min: Column, km: Column) -> Column:
-    return F.round(prep_min / (km + F.lit(1e-5)), 2)
-
-
-def bike_long_distance(vehicle: Column, km: Column) -> Column:
-    return _flag((vehicle == "Bike") & (km > MEDIUM_UP_TO_KM))
+# Bins closed on the right at 5 and 12 km, the evening peak, the
+# adverse weathers, minutes per km to 2 decimals with ties to even. A comparison with a missing value counts as "no".
+FEATURE_SQL = {
+    "distance_category": """case when distance_km <= 0 then null
+        when distance_km <= 5 then 'Short'
+        when distance_km <= 12 then 'Medium'
+        when distance_km > 12 then 'Long' end""",
+    "is_peak_meal_hour": "cast(coalesce(time_of_day = 'Evening', false) as int)",
+    "prep_time_per_km": "rint(preparation_time_min / (distance_km + 0.00001D) * 100D) / 100D",
+    "bike_long_distance": "cast(coalesce(vehicle_type = 'Bike' and distance_km > 12, false) as int)",
+    "severe_conditions": """cast(coalesce(weather in ('Snowy', 'Rainy', 'Foggy')
+        and traffic_level = 'High', false) as int)""",
+}
 
 
-def severe_conditions(weather: Column, traffic: Column) -> Column:
-    return _flag(weather.isin(ADVERSE_WEATHER) & (traffic == "High"))
+def feature(name: str) -> Column:
+    return F.expr(FEATURE_SQL[name])
 
 
 def add_features(df: DataFrame) -> DataFrame:
     """Append the five engineered columns; one projection, no shuffle."""
-    return df.withColumns(
-        {
-            "distance_category": distance_category(F.col("distance_km")),
-            "is_peak_meal_hour": is_peak_meal_hour(F.col("time_of_day")),
-            "prep_time_per_km": prep_time_per_km(
-                F.col("preparation_time_min"), F.col("distance_km")
-            ),
-            "bike_long_distance": bike_long_distance(F.col("vehicle_type"), F.col("distance_km")),
-            "severe_conditions": severe_conditions(F.col("weather"), F.col("traffic_level")),
-        }
-    )
+    return df.withColumns({name: feature(name) for name in D.ENGINEERED_FEATURES})
 
 
 def separate_features(df: DataFrame) -> DataFrame:

@@ -36,20 +36,25 @@ def fit_scales(
     return {c: (row[c]["m"], row[c]["s"] or 1.0) for c in columns}
 
 
-def ordinal(column: Column, levels: list[str]) -> Column:
+def _number(value: float) -> str:
+    return f"{float(value)!r}D"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def ordinal_sql(value: str, levels: list[str]) -> str:
     """Position of the value in ``levels``; a value outside them is an error."""
-    code = F.lit(None).cast("double")
-    for i, level in reversed(list(enumerate(levels))):
-        code = F.when(column == level, float(i)).otherwise(code)
-    wrong = F.raise_error(F.concat(F.lit("unknown level: "), column))
-    return F.when(column.isNotNull() & code.isNull(), wrong.cast("double")).otherwise(code)
+    cases = " ".join(f"when {value} = {_text(lvl)} then {i}D" for i, lvl in enumerate(levels))
+    unknown = f"cast(raise_error(concat('unknown level: ', {value})) as double)"
+    return f"case {cases} when {value} is not null then {unknown} end"
 
 
-def one_hot(column: str, levels: list[str], value: Column | None = None) -> dict[str, Column]:
+def one_hot_sql(column: str, value: str, levels: list[str]) -> dict[str, str]:
     """One 0/1 column per level; an unknown value gives all zeros."""
-    of = F.col(column) if value is None else value
     return {
-        f"{column}_{level.lower()}": F.coalesce(of == level, F.lit(False)).cast("double")
+        f"{column}_{level.lower()}": f"cast(coalesce({value} = {_text(level)}, false) as double)"
         for level in levels
     }
 
@@ -72,26 +77,26 @@ class Preparation:
         fills = {**self.medians, **self.modes}
         return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fills.items()})
 
-    def matrix_columns(self) -> dict[str, Column]:
-        """Model matrix as named columns in the fixed order."""
-        out: dict[str, Column] = {}
+    def matrix_sql(self) -> dict[str, str]:
+        """Model matrix as named SQL expressions in the fixed column order."""
+        out: dict[str, str] = {}
         for c in self.numeric:
             mean, std = self.scales[c]
-            filled = F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c]))
-            out[f"{c}_scaled"] = (filled - mean) / std
+            filled = f"coalesce(cast({c} as double), {_number(self.medians[c])})"
+            out[f"{c}_scaled"] = f"({filled} - {_number(mean)}) / {_number(std)}"
         for c in self.ordinal:
-            filled = F.coalesce(F.col(c), F.lit(self.modes[c]))
-            out[f"{c}_code"] = ordinal(filled, D.ORDINAL_DOMAINS[c])
+            filled = f"coalesce({c}, {_text(self.modes[c])})"
+            out[f"{c}_code"] = ordinal_sql(filled, D.ORDINAL_DOMAINS[c])
         for c in self.nominal:
-            filled = F.coalesce(F.col(c), F.lit(self.modes[c]))
-            out.update(one_hot(c, self.levels[c], filled))
+            filled = f"coalesce({c}, {_text(self.modes[c])})"
+            out.update(one_hot_sql(c, filled, self.levels[c]))
         for c in self.binary:
-            out[f"{c}_flag"] = F.col(c).cast("double")
+            out[f"{c}_flag"] = f"cast({c} as double)"
         return out
 
     def matrix(self, df: DataFrame, *keep: str) -> DataFrame:
         """The kept columns followed by the model matrix; everything else is dropped."""
-        return df.select(*keep, *[v.alias(k) for k, v in self.matrix_columns().items()])
+        return df.selectExpr(*keep, *[f"{sql} as {name}" for name, sql in self.matrix_sql().items()])
 
 
 def fit_preparation(train: DataFrame, engineered: bool = True, exact: bool = True) -> Preparation:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courierflow import domain as D
+from courierflow.functions.rounding import py_round
 
 
 def fleet_stats(riders: DataFrame, hotels: DataFrame | None = None) -> DataFrame:
@@ -22,7 +23,7 @@ def fleet_stats(riders: DataFrame, hotels: DataFrame | None = None) -> DataFrame
         with_status("available").alias("available_riders"),
         with_status("on delivery").alias("on_delivery_riders"),
         with_status("offline").alias("offline_riders"),
-        F.coalesce(F.round(F.avg("courier_exp_yrs"), 1), F.lit(0.0)).alias("avg_experience_yrs"),
+        F.coalesce(py_round(F.avg("courier_exp_yrs"), 1), F.lit(0.0)).alias("avg_experience_yrs"),
     )
     if hotels is None:
         return stats
@@ -34,9 +35,9 @@ def batch_kpis(scored: DataFrame, predicted: str, by: list[str] | None = None) -
     minutes = F.col(predicted)
     return scored.groupBy(*(by or [])).agg(
         F.count("*").alias("total_orders"),
-        F.round(F.avg(minutes), 2).alias("avg_delivery_time_min"),
-        F.round(F.min(minutes), 2).alias("min_delivery_time_min"),
-        F.round(F.max(minutes), 2).alias("max_delivery_time_min"),
+        py_round(F.avg(minutes), 2).alias("avg_delivery_time_min"),
+        py_round(F.min(minutes), 2).alias("min_delivery_time_min"),
+        py_round(F.max(minutes), 2).alias("max_delivery_time_min"),
         F.count_if(F.col("risk_status") == D.RISK_HIGH).alias("high_risk_count"),
         F.count_if(F.col("risk_status") == D.RISK_FAST).alias("fast_delivery_count"),
     )
@@ -64,7 +65,7 @@ def rider_performance(riders: DataFrame, completed: DataFrame) -> DataFrame:
             "performance_score",
             F.when(
                 F.col("total_deliveries") > 0,
-                F.round(F.try_divide("on_time_deliveries", "total_deliveries") * 100.0, 1),
+                py_round(F.try_divide("on_time_deliveries", "total_deliveries") * 100.0, 1),
             ).otherwise(F.lit(100.0)),
         )
         .drop("_done", "_on_time")

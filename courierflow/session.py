@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library relies on: event times are compared in UTC, and AQE
 # coalesces small shuffle partitions and splits skewed join partitions.
@@ -53,3 +53,15 @@ def shared_dir(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder for one written table."""
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex[:12]}")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows written once as a table in the shared folder and read back.
+
+    For results several later steps read: their work is not repeated, and a lost
+    executor costs a re-read instead of a recomputation.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
