@@ -17,7 +17,7 @@ from courierflow.operators import kitchen
 HEAD, ITEMS, FOOT = 0, 1, 2
 
 # Texts that stand in for missing details.
-RECEIPT_HOTEL = "DELIVERY ML PLATFORM"
+RECEIPT_HOTEL = "DELIVERY PLATFORM"
 KITCHEN_HOTEL = "EXPRESS KITCHEN"
 CLIENT_NAME = "Valued Customer"
 CLIENT_PHONE = "N/A"

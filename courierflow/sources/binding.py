@@ -135,14 +135,14 @@ class Tables:
 def with_views(select: str, **extra: str) -> str:
     """Prefix ``select`` with the views (and named ``extra`` queries) it needs."""
     available = {**VIEWS, **extra}
-    needed: set[str] = set()
+    ordered: list[str] = []
 
-    def visit(sql: str) -> None:
-        for word in set(re.findall(r"[a-z_0-9]+", sql)):
-            if word in available and word not in needed:
-                needed.add(word)
-                visit(available[word])
+    def visit(sql: str, path: tuple[str, ...]) -> None:
+        for word in sorted(set(re.findall(r"[a-z_0-9]+", sql))):
+            if word in available and word not in ordered and word not in path:
+                visit(available[word], (*path, word))
+                ordered.append(word)
 
-    visit(select)
-    parts = [f"{name} as ({sql.strip()})" for name, sql in available.items() if name in needed]
+    visit(select, ())
+    parts = [f"{name} as ({available[name].strip()})" for name in ordered]
     return ("with " + ",\n".join(parts) + "\n" if parts else "") + select.strip()
