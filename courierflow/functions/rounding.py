@@ -14,19 +14,25 @@ _BITS = 56
 
 
 def py_round(x: Column, digits: int) -> Column:
-    """``round(x, digits)`` of Python for one or two digits.
+    """``round(x, digits)`` of Python for up to four digits.
 
-    The fraction is an exact multiple of 2^-56 (for values from 1/16 up), so
-    its tenths or hundredths compare with the tie in whole numbers.
+    The fraction is an exact multiple of 2^-56 (for values from 1/16 up), so its
+    decimals compare with the tie in whole numbers: 64-bit ones for one or two
+    digits, decimals beyond.
     """
-    if digits not in (1, 2):
-        raise ValueError("one or two digits")
     scale = 10**digits
     size = F.abs(x)
     whole = F.floor(size)
-    units = ((size - whole) * float(2**_BITS)).cast("bigint") * scale
-    steps = F.shiftright(units, _BITS)
-    rest = units.bitwiseAND(F.lit(2**_BITS - 1))
+    units = (size - whole) * float(2**_BITS)
+    if digits <= 2:
+        units = units.cast("bigint") * scale
+        steps = F.shiftright(units, _BITS)
+        rest = units.bitwiseAND(F.lit(2**_BITS - 1))
+    else:
+        units = units.cast("decimal(18,0)") * F.lit(scale).cast("decimal(6,0)")
+        unit = F.lit(2**_BITS).cast("decimal(18,0)")
+        steps = F.floor(units / unit).cast("bigint")
+        rest = (units - steps.cast("decimal(18,0)") * unit).cast("decimal(18,0)").cast("bigint")
     half = F.lit(2 ** (_BITS - 1))
     up = (rest > half) | ((rest == half) & (steps % 2 == 1))
     total = whole * scale + steps + up.cast("bigint")

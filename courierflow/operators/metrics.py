@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from courierflow import domain as D
+from courierflow.functions.rounding import py_round
 from courierflow.operators.profiling import as_levels
 from courierflow.operators.splitting import with_fold
 
@@ -32,10 +33,10 @@ def metric_columns(actual: Column, predicted: Column) -> dict[str, Column]:
     squared = F.sum(error * error)
     spread = F.var_pop(actual) * F.count(actual)
     return {
-        "mae": F.round(F.avg(F.abs(error)), 4),
-        "mse": F.round(F.avg(error * error), 4),
-        "rmse": F.round(F.sqrt(F.avg(error * error)), 4),
-        "r2": F.round(F.lit(1.0) - F.try_divide(squared, spread), 4),
+        "mae": py_round(F.avg(F.abs(error)), 4),
+        "mse": py_round(F.avg(error * error), 4),
+        "rmse": py_round(F.sqrt(F.avg(error * error)), 4),
+        "r2": py_round(F.lit(1.0) - F.try_divide(squared, spread), 4),
     }
 
 
