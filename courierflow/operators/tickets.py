@@ -15,6 +15,7 @@ from courierflow.functions.scalars import display_timestamp
 from courierflow.operators import kitchen
 
 HEAD, ITEMS, FOOT = 0, 1, 2
+FEED = "\n\n"
 
 # Texts that stand in for missing details.
 RECEIPT_HOTEL = "DELIVERY PLATFORM"
@@ -36,10 +37,10 @@ def right_aligned(text: Column, width: int) -> Column:
 
 
 def centered(text: Column, width: int) -> Column:
-    """Text in the middle; of an odd gap the larger half goes right."""
+    """Text indented to the middle; of an odd gap the larger half is left on the right."""
     gap = F.greatest(F.lit(0), F.lit(width) - F.length(text))
     before = F.repeat(F.lit(" "), F.floor(gap / 2).cast("int"))
-    return left_aligned(F.concat(before, text), width)
+    return F.concat(before, text)
 
 
 def money(amount: Column) -> Column:
@@ -47,39 +48,26 @@ def money(amount: Column) -> Column:
 
 
 def wrapped(text: Column, width: int, indent: str) -> Column:
-    """Words laid out greedily in indented lines; an overlong word keeps its own line."""
-    start = F.struct(
-        F.array().cast("array<string>").alias("full"), F.lit(indent).alias("open")
-    )
-
-    def place(lines: Column, word: Column) -> Column:
-        full, current = lines["full"], lines["open"]
-        is_first = F.trim(current) == ""
-        fits = F.length(current) + F.length(word) < width
-        return F.struct(
-            F.when(is_first | fits, full).otherwise(F.array_append(full, current)).alias("full"),
-            F.when(is_first, F.concat(current, word))
-            .when(fits, F.concat(current, F.lit(" "), word))
-            .otherwise(F.concat(F.lit(indent), word))
-            .alias("open"),
-        )
+    """Words laid out greedily in indented lines; an overlong word has its own line.
 
-    def close(lines: Column) -> Column:
-        return F.when(
-            F.trim(lines["open"]) != "", F.array_append(lines["full"], lines["open"])
-        ).otherwise(lines["full"])
-
-    words = F.split(F.trim(F.coalesce(text, F.lit(""))), "\\s+")
-    lines = F.aggregate(words, start, place, close)
-    return F.transform(lines, lambda line: left_aligned(line, width))
+    A line is the longest stretch of text that fits and ends before a blank, or
+    a word too long to fit. Missing or blank text gives no lines.
+    """
+    room = width - len(indent)
+    spaced = F.trim(F.regexp_replace(text, "\\s+", " "))
+    line = f"(\\S{{{room},}}|\\S.{{0,{room - 1}}})(?= |$)"
+    lines = F.regexp_extract_all(spaced, F.lit(line), F.lit(1))
+    return F.coalesce(
+        F.transform(lines, lambda words: F.concat(F.lit(indent), words)),
+        F.array().cast("array<string>"),
+    )
 
 
-def _numbered(block: int, lines: Column) -> Column:
-    return F.transform(
-        lines,
-        lambda text, i: F.struct(
-            F.lit(block).alias("block"), i.cast("int").alias("line"), text.alias("text")
-        ),
+def _printed(lines: DataFrame, width: int) -> DataFrame:
+    """Lines filled up to the paper width; spacing lines stay as they are."""
+    spacing = F.col("text").isin("", FEED)
+    return lines.withColumn(
+        "text", F.when(spacing, F.col("text")).otherwise(left_aligned(F.col("text"), width))
     )
 
 
@@ -87,26 +75,29 @@ def _ticket(
     orders: DataFrame,
     items: DataFrame,
     item_keys: list[str],
-    head: Column,
-    combo: Column,
-    foot: Column,
+    blocks: dict[int, Column],
     item_lines: Column,
+    width: int,
 ) -> DataFrame:
-    """Rows of the head, foot and (for an empty order) combo, and rows of every item.
+    """Rows of the order blocks (the combo only for an empty order) and rows of every item.
 
     ``orders`` already carries the order's sums, so the foot needs no second pass.
     """
-    no_items = F.col("items") == 0
-    of_order = F.concat(
-        _numbered(HEAD, head),
-        F.when(no_items, _numbered(ITEMS, combo)).otherwise(F.slice(_numbered(ITEMS, combo), 1, 0)),
-        _numbered(FOOT, foot),
+    made = [
+        F.struct(
+            F.lit(block).alias("block"),
+            F.when((F.col("items") == 0) | F.lit(block != ITEMS), lines).alias("lines"),
+        )
+        for block, lines in blocks.items()
+    ]
+    no_keys = [F.lit(None).cast(f.dataType).alias(f.name) for f in items.select(*item_keys).schema]
+    order_rows = orders.select("order_id", F.inline(F.array(*made))).select(
+        "order_id", *no_keys, "block", F.posexplode("lines").alias("line", "text")
+    )
+    item_rows = items.select(
+        "order_id", *item_keys, F.lit(ITEMS).alias("block"), F.posexplode(item_lines).alias("line", "text")
     )
-    keys = items.select(*item_keys).schema
-    no_keys = [F.lit(None).cast(f.dataType).alias(f.name) for f in keys]
-    order_rows = orders.select("order_id", *no_keys, F.inline(of_order))
-    item_rows = items.select("order_id", *item_keys, F.inline(_numbered(ITEMS, item_lines)))
-    return order_rows.unionByName(item_rows)
+    return _printed(order_rows.unionByName(item_rows), width)
 
 
 def delivery_ticket(
@@ -126,10 +117,10 @@ def delivery_ticket(
         return F.trim(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(default)))
 
     def label(prefix: str, value: Column) -> Column:
-        return left_aligned(F.concat(F.lit(prefix), value), width)
+        return F.concat(F.lit(prefix), value)
 
     def said(value: str) -> Column:
-        return F.lit(value.ljust(width))
+        return F.lit(value)
 
     def middle(value: str) -> Column:
         return centered(F.lit(value), width)
@@ -167,7 +158,7 @@ def delivery_ticket(
                 right_aligned(money(price), 8),
                 right_aligned(total, 8),
             ]
-        return left_aligned(F.concat_ws(" ", *cells), width)
+        return F.concat_ws(" ", *cells)
 
     note = F.nullif(F.col("special_instructions"), F.lit(""))
     note_text = F.concat(F.lit("* " if compact else "* Note: "), note)
@@ -202,9 +193,11 @@ def delivery_ticket(
         middle("Fast & Fresh Delivery Guaranteed"),
         heavy,
         middle("[CUT PAPER HERE]"),
-        F.lit("\n\n"),
+        F.lit(FEED),
+    )
+    return _ticket(
+        billed, items, item_keys, {HEAD: head, ITEMS: combo, FOOT: foot}, item_lines, width
     )
-    return _ticket(billed, items, item_keys, head, combo, foot, item_lines)
 
 
 def kitchen_ticket(
@@ -232,10 +225,10 @@ def kitchen_ticket(
     heavy, light = F.lit("=" * width), F.lit("-" * width)
 
     def label(prefix: str, value: Column) -> Column:
-        return left_aligned(F.concat(F.lit(prefix), value), width)
+        return F.concat(F.lit(prefix), value)
 
     def said(value: str) -> Column:
-        return F.lit(value.ljust(width))
+        return F.lit(value)
 
     hotel = F.upper(F.coalesce(F.nullif(F.col("hotel_name"), F.lit("")), F.lit(KITCHEN_HOTEL)))
     head = F.array(
@@ -256,7 +249,7 @@ def kitchen_ticket(
         title = F.concat(F.lit("["), quantity.cast("string"), F.lit("x]  "), F.upper(name))
         instruction = F.concat(F.lit(">>> INSTRUCTION: "), note)
         return F.concat(
-            F.array(left_aligned(title, width)),
+            F.array(title),
             wrapped(instruction, width, "     "),
             F.array(F.lit("")),
         )
@@ -275,9 +268,11 @@ def kitchen_ticket(
         centered(F.lit("*** FOR KITCHEN USE ONLY - NO BILLING ***"), width),
         heavy,
         centered(F.lit("[CUT PAPER HERE]"), width),
-        F.lit("\n\n"),
+        F.lit(FEED),
+    )
+    return _ticket(
+        counted, cooked, item_keys, {HEAD: head, ITEMS: combo, FOOT: foot}, item_lines, width
     )
-    return _ticket(counted, cooked, item_keys, head, combo, foot, item_lines)
 
 
 def ticket_of(lines: DataFrame, order_id: int, item_keys: list[str]) -> DataFrame:

@@ -33,7 +33,7 @@ def test_wrapping(spark, width, indent):
     ]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(tickets.wrapped(F.col("t"), width, indent)).collect()]
-    assert got == [[x.ljust(width) for x in wrap(t or "", width, indent)] for t in texts]
+    assert got == [wrap(t or "", width, indent) for t in texts]
 
 
 @pytest.mark.parametrize("width", [32, 42])
@@ -47,7 +47,7 @@ def test_alignment(spark, width):
         tickets.right_aligned(F.col("t"), width).alias("r"),
     ).collect()
     for t, c, left, right in rows:
-        assert (c, left, right) == (t.center(width), t.ljust(width), t.rjust(width))
+        assert (c.ljust(width), left, right) == (t.center(width), t.ljust(width), t.rjust(width))
 
 
 def test_kitchen_output_has_no_price(tables):
