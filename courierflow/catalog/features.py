@@ -344,7 +344,7 @@ QUERIES = [
         "pp7_exact_split_per_hotel",
         lambda t: splitting.with_exact_split(
             t.deliveries.select("order_id", "hotel_id"), "order_id", F.ceil(F.col("n") * 0.2), ["hotel_id"]
-        ),
+        ).select("order_id", "hotel_id", "split"),
         """select order_id, hotel_id, case when pos <= ceil(n * 0.2e0) then 'test' else 'train' end as split
         from (select order_id, hotel_id, count(*) over (partition by hotel_id) as n,
           row_number() over (partition by hotel_id order by ('0x' || left(md5(order_id || '|42'), 15))::bigint, order_id) as pos

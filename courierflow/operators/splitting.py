@@ -39,51 +39,42 @@ def with_exact_split(
 ) -> DataFrame:
     """Mark exactly ``test_rows`` rows of each group as test, in hash order.
 
-    ``test_rows`` is an expression over ``n``, the group's row count. Rows are
-    first counted per hash prefix, which tells in which prefix each group's cut
-    falls; only rows of that prefix (1 in 4096) are ranked. A group holding most
-    of the table is therefore never sorted in one task.
+    ``test_rows`` is an expression over ``n``, the group's row count, which is
+    kept as ``group_rows``. Rows are first counted per hash prefix; that tells in
+    which prefix a group's cut falls, and only rows of that prefix (1 in 4096)
+    are ranked to find the last test row. The table itself is then compared with
+    its group's cut, so a group holding most of it is never sorted in one task.
     """
     keys = by or []
     position = hash_position(F.col(id_column), str(seed))
     prefix = F.shiftright(position, _POSITION_BITS - _PREFIX_BITS).cast("int")
-    placed = df.withColumns({"_position": position, "_prefix": prefix})
+    slim = df.select(*keys, id_column, position.alias("_position"), prefix.alias("_prefix"))
 
-    per_prefix = placed.groupBy(*keys, "_prefix").agg(F.count("*").alias("_rows"))
+    per_prefix = slim.groupBy(*keys, "_prefix").agg(F.count("*").alias("_rows"))
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     running = whole.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     # At most 4096 counted rows per group reach this window.
-    cuts = (
-        per_prefix.withColumns(
-            {
-                "n": F.sum("_rows").over(whole),
-                "_before": F.coalesce(F.sum("_rows").over(running), F.lit(0)),
-            }
-        )
-        .withColumn("_wanted", test_rows.cast("bigint"))
-        .withColumn("_left", F.col("_wanted") - F.col("_before"))
-        .where((F.col("_left") > 0) & (F.col("_left") <= F.col("_rows")))
-        .select(*keys, F.col("_prefix").alias("_cut"), "_left")
+    counted = per_prefix.withColumns(
+        {
+            "n": F.sum("_rows").over(whole),
+            "_before": F.coalesce(F.sum("_rows").over(running), F.lit(0)),
+        }
+    ).withColumn("_left", test_rows.cast("bigint") - F.col("_before"))
+    at_cut = counted.where((F.col("_left") > 0) & (F.col("_left") <= F.col("_rows")))
+    in_prefix = Window.partitionBy(*keys, "_prefix").orderBy("_position", id_column)
+    last_test = (
+        slim.join(at_cut.select(*keys, "_prefix", "_left"), [*keys, "_prefix"])
+        .withColumn("_rank", F.row_number().over(in_prefix))
+        .where(F.col("_rank") == F.col("_left"))
+        .select(*keys, F.struct("_position", id_column).alias("_cut"))
     )
+    sizes = per_prefix.groupBy(*keys).agg(F.sum("_rows").alias("group_rows"))
     if keys:
-        placed = placed.join(cuts, keys, "left")
+        placed = df.join(sizes.join(last_test, keys, "left"), keys, "left")
+        cut = F.col("_cut")
     else:
-        cut = cuts.select(F.struct("_cut", "_left")).scalar()
-        placed = placed.withColumns({"_cut": cut["_cut"], "_left": cut["_left"]})
-    at_cut = F.col("_prefix") == F.col("_cut")
-
-    ranked = Window.partitionBy(*keys).orderBy("_position", id_column)
-    boundary = placed.where(at_cut).withColumn("_rank", F.row_number().over(ranked))
-    inside = placed.where(~F.coalesce(at_cut, F.lit(False))).withColumn(
-        "_rank", F.lit(None).cast("int")
-    )
-    is_test = F.coalesce(
-        F.when(F.col("_rank").isNotNull(), F.col("_rank") <= F.col("_left")),
-        F.col("_prefix") < F.col("_cut"),
-        F.lit(False),
-    )
-    return (
-        inside.unionByName(boundary)
-        .withColumn("split", F.when(is_test, "test").otherwise("train"))
-        .drop("_position", "_prefix", "_cut", "_left", "_rank")
-    )
+        placed = df.withColumn("group_rows", sizes.scalar())
+        cut = last_test.select("_cut").scalar()
+    mine = F.struct(position.alias("_position"), F.col(id_column))
+    is_test = F.coalesce(mine <= cut, F.lit(False))
+    return placed.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("_cut")

@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
 from pyspark import StorageLevel
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
@@ -105,11 +105,38 @@ def spread(df: DataFrame, id_column: str = D.ID_COLUMN) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, id_column)
 
 
-def fit_model(train: DataFrame, regressor: Estimator, engineered: bool = True) -> PipelineModel:
-    """Fit preparation and regressor on training rows; raw predictors in, minutes out."""
-    prepared = fit_preparation(add_features(train), engineered)
-    pipeline = Pipeline(stages=[*preparation_stages(prepared), regressor])
-    return pipeline.fit(train.where(F.col(D.TARGET).isNotNull()))
+def fit_models(
+    train: DataFrame,
+    regressors: dict[str, Estimator],
+    id_column: str = D.ID_COLUMN,
+    engineered: bool = True,
+    parallelism: int = 4,
+) -> dict[str, PipelineModel]:
+    """Fit one preparation and all regressors on training rows.
+
+    The regressors share one persisted matrix: fitting passes over it many times.
+    Every result is a whole pipeline, raw predictors in and minutes out.
+    """
+    known = train.select(id_column, *D.RAW_FEATURES, D.TARGET)
+    known = spread(known.where(F.col(D.TARGET).isNotNull()), id_column)
+    known = known.persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = fit_preparation(add_features(known), engineered)
+    stages = preparation_stages(prepared)
+    matrix = PipelineModel(stages).transform(known).select("features", D.TARGET)
+    matrix = matrix.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        with ThreadPoolExecutor(parallelism) as pool:
+            fitted = list(pool.map(lambda r: r.fit(matrix), regressors.values()))
+    finally:
+        matrix.unpersist()
+        known.unpersist()
+    return {name: PipelineModel([*stages, m]) for name, m in zip(regressors, fitted)}
+
+
+def fit_model(
+    train: DataFrame, regressor: Estimator, id_column: str = D.ID_COLUMN, engineered: bool = True
+) -> PipelineModel:
+    return fit_models(train, {"model": regressor}, id_column, engineered)["model"]
 
 
 def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
@@ -138,11 +165,7 @@ def evaluate_models(df: DataFrame, models: dict[str, PipelineModel | None]) -> D
 
 def train_and_evaluate(df: DataFrame, regressors: dict[str, Estimator]) -> DataFrame:
     """Fit every regressor on the train split and report all metrics with the baseline."""
-    train = spread(df.where("split = 'train'")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        models = {name: fit_model(train, r) for name, r in regressors.items()}
-    finally:
-        train.unpersist()
+    models = fit_models(df.where("split = 'train'"), regressors)
     return evaluate_models(df, {BASELINE: None, **models})
 
 
@@ -157,15 +180,16 @@ def cross_validate(
     placed = spread(with_fold(train, id_column, folds, SEED), id_column)
     placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
 
-    def one(job: tuple[int, str]) -> DataFrame:
-        fold, name = job
-        model = fit_model(placed.where(F.col("fold") != fold), regressors[name])
-        held_out = predict_raw(placed.where(F.col("fold") == fold), model)
-        return held_out.select(F.lit(name).alias("model"), "fold", D.TARGET, "prediction")
+    def one(fold: int) -> list[DataFrame]:
+        models = fit_models(placed.where(F.col("fold") != fold), regressors, id_column)
+        held_out = placed.where(F.col("fold") == fold)
+        return [
+            predict_raw(held_out, m).select(F.lit(name).alias("model"), "fold", D.TARGET, "prediction")
+            for name, m in models.items()
+        ]
 
-    jobs = list(product(range(folds), regressors))
     with ThreadPoolExecutor(parallelism) as pool:
-        parts = list(pool.map(one, jobs))
+        parts = [part for of_fold in pool.map(one, range(folds)) for part in of_fold]
     stacked = parts[0]
     for part in parts[1:]:
         stacked = stacked.unionByName(part)
@@ -195,8 +219,7 @@ def grid_search(
     scores = []
     for fold in range(folds):
         fit_rows = placed.where(F.col("fold") != fold)
-        prepared = Pipeline(stages=preparation_stages(fit_preparation(add_features(fit_rows))))
-        matrix = prepared.fit(fit_rows)
+        matrix = PipelineModel(preparation_stages(fit_preparation(add_features(fit_rows))))
         fit_matrix = matrix.transform(fit_rows).select("features", D.TARGET)
         fit_matrix = fit_matrix.persist(StorageLevel.MEMORY_AND_DISK)
 

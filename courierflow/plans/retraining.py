@@ -162,16 +162,15 @@ def placed_rows(df: DataFrame, id_column: str) -> DataFrame:
     Test rows carry fold -1; the fold count follows the hotel's training rows.
     """
     rows, _ = training_rows(df)
-    counts = rows.groupBy("hotel_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= MIN_ROWS)
     test = F.greatest(F.lit(2), F.floor(F.col("n") / 5))
-    split = with_exact_split(rows.join(counts, "hotel_id"), id_column, test, ["hotel_id"])
-    n = F.col("_n")
+    split = with_exact_split(rows, id_column, test, ["hotel_id"])
+    n = F.col("group_rows")
     train_rows = n - F.greatest(F.lit(2), F.floor(n / 5))
     folds = F.least(F.lit(5), F.greatest(F.lit(2), F.floor(train_rows / 3)))
-    placed = with_fold(split, id_column, folds)
+    placed = with_fold(split.where(n >= MIN_ROWS), id_column, folds)
     return placed.withColumn(
         "fold", F.when(F.col("split") == "test", F.lit(TEST_FOLD)).otherwise(F.col("fold"))
-    ).drop("_n")
+    ).drop("group_rows")
 
 
 def fit_hotels(placed: DataFrame) -> DataFrame:
