@@ -21,8 +21,12 @@ def median(column: str, exact: bool = True) -> Column:
 
 
 def most_frequent(column: str) -> Column:
-    """Most frequent value, the smallest of equals."""
-    return F.mode(column, True)
+    """Most frequent known level, the smallest of equals.
+
+    Values outside the domain do not count, so the counters stay a handful.
+    """
+    levels = {**D.CATEGORY_DOMAINS, **D.ORDINAL_DOMAINS}[column]
+    return F.mode(F.when(F.col(column).isin(levels), F.col(column)), True)
 
 
 def fit_scales(
@@ -106,9 +110,6 @@ def fit_preparation(train: DataFrame, engineered: bool = True, exact: bool = Tru
     row = train.agg(
         F.struct(*[median(c, exact).alias(c) for c in numeric]).alias("medians"),
         F.struct(*[most_frequent(c).alias(c) for c in ordinals + D.NOMINAL_FEATURES]).alias("modes"),
-        F.struct(
-            *[F.sort_array(F.collect_set(c)).alias(c) for c in D.NOMINAL_FEATURES]
-        ).alias("levels"),
     ).first()
     medians = row["medians"].asDict()
     return Preparation(
@@ -119,5 +120,5 @@ def fit_preparation(train: DataFrame, engineered: bool = True, exact: bool = Tru
         medians=medians,
         modes=row["modes"].asDict(),
         scales=fit_scales(train, numeric, medians),
-        levels=row["levels"].asDict(),
+        levels={c: sorted(D.CATEGORY_DOMAINS[c]) for c in D.NOMINAL_FEATURES},
     )

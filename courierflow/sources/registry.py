@@ -37,7 +37,7 @@ def write_registry(spark: SparkSession, updates: DataFrame, path: str) -> DataFr
     aside = work_path(spark, "registry")
     merge_registry(existing, updates).write.parquet(aside)
     merged = spark.read.schema(D.MODEL_REGISTRY_SCHEMA).parquet(aside)
-    merged.coalesce(1).write.mode("overwrite").parquet(path)
+    merged.write.mode("overwrite").parquet(path)
     return spark.read.schema(D.MODEL_REGISTRY_SCHEMA).parquet(path)
 
 
