@@ -137,6 +137,10 @@ def new_dispatches(t: Tables, estimate=dispatching.estimate_fallback):
     made = dispatching.create_dispatches(
         dispatch_requests(t), t.hotels, couriers(t), t.weather_obs, estimate
     )
+    return shown_dispatches(made)
+
+
+def shown_dispatches(made):
     return made.select(
         "order_id", "hotel_id", "tracking_id", "dest_lat", "dest_lng", *D.RAW_FEATURES,
         "predicted_eta_min", "assigned_rider_id", "dispatch_status", shown("token_expires_at"),

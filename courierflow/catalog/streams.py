@@ -6,13 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courierflow.catalog.base import query
-from courierflow.catalog.dispatch import FORMAT, POSITIONS_SQL, addressed_riders, rider_events
+from courierflow.catalog.dispatch import (
+    FORMAT,
+    NEW_DISPATCH_SQL,
+    POSITIONS_SQL,
+    addressed_riders,
+    dispatch_requests,
+    rider_events,
+    shown_dispatches,
+)
 from courierflow.catalog.kitchen import ITEM_KEYS, ITEMS_SQL, STATUS_EVENTS_SQL, status_events
-from courierflow.catalog.lookups import couriers
+from courierflow.catalog.lookups import RANK_CTES, couriers
 from courierflow.operators import assignment
+from courierflow.plans.dispatching import create_dispatches
 from courierflow.session import work_path
 from courierflow.sources.binding import VIEWS, Tables
-from courierflow.streaming import kitchen_feed, lifecycle, positions
+from courierflow.streaming import dispatching, kitchen_feed, lifecycle, positions
 
 DELAY = "10 minutes"
 
@@ -88,6 +97,21 @@ def streamed_positions(t: Tables) -> DataFrame:
     return moved.withColumn("last_active_at", F.date_format("last_active_at", FORMAT))
 
 
+def streamed_dispatches(t: Tables) -> DataFrame:
+    path = work_path(t.spark, "dispatches")
+
+    def create(requests: DataFrame) -> DataFrame:
+        return create_dispatches(requests, t.hotels, couriers(t), t.weather_obs)
+
+    dispatching.start_dispatching(
+        dispatch_requests(StreamTables(t, {"events"})),
+        create,
+        path,
+        work_path(t.spark, "dispatches-checkpoint"),
+    ).awaitTermination()
+    return shown_dispatches(t.spark.read.parquet(path))
+
+
 def run_feed(t: Tables, feed: DataFrame) -> DataFrame:
     path = work_path(t.spark, "kitchen-feed")
     kitchen_feed.start_feed(feed, path, work_path(t.spark, "kitchen-checkpoint")).awaitTermination()
@@ -105,6 +129,7 @@ def streamed_statuses(t: Tables) -> DataFrame:
 
 
 QUERIES = [
+    query("ds1_dispatch_stream", streamed_dispatches, NEW_DISPATCH_SQL, **RANK_CTES),
     query("st1_lifecycle_stream", lambda t: resolved(t, run_lifecycle(t))),
     query(
         "st1_lifecycle_replay",
