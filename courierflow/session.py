@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,8 +41,9 @@ def apply_settings(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a fresh folder is made and
-    set as the checkpoint folder.
+    Where the session names none, a local session gets a fresh folder, set as its
+    checkpoint folder. On a cluster that is an error: executors do not share the
+    driver's disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -49,6 +51,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="courierflow-"))
     return spark.sparkContext.getCheckpointDir()
 
