@@ -152,8 +152,9 @@ def _places(ids: pa.Array, bits: int) -> np.ndarray:
     return (mix(numbers) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, order: Order, words: int = WORDS) -> DataFrame:
     """Those pairs (a, b, size_a, size_b) whose overlaps, summed over the fragments, make a link."""
+    parts = _parts(docs, pairs, order, words)
     cut = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
     left = parts.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("grams_a"))
     right = parts.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("grams_b"))
@@ -191,13 +192,12 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
         "shingle-classes",
     )
     postings = _shared_postings(classes)
-    parts = _parts(docs, postings, order, words)
 
     hubs = postings.groupBy("gram").agg(F.min(F.struct("place", "node", "size")).alias("hub"))
     near = postings.join(hubs, "gram").select(
         "node", "place", "size", F.col("hub.node").alias("node2"), F.col("hub.place").alias("place2"), F.col("hub.size").alias("size2")
     )
-    links = written(verified(_pairs(near), parts), "jaccard-links")
+    links = written(verified(written(_pairs(near), "jaccard-pairs"), docs, order, words), "jaccard-links")
     roots = components(links)
 
     rooted = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -212,7 +212,7 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
         & (F.col("node") < F.col("node2"))
         & _viable(),
     ).select("node", "place", "size", "node2", "place2", "size2")
-    more = written(verified(_pairs(apart), parts), "jaccard-links")
+    more = written(verified(written(_pairs(apart), "jaccard-pairs"), docs, order, words), "jaccard-links")
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     member = own.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "node"), ["h1", "h2"])
@@ -260,12 +260,13 @@ def _pairs(near: DataFrame) -> DataFrame:
     )
 
 
-def _parts(docs: DataFrame, postings: DataFrame, order: Order, words: int) -> DataFrame:
-    """Segments of every document in ``postings`` (and of a few others, by the bit map)."""
+def _parts(docs: DataFrame, pairs: DataFrame, order: Order, words: int) -> DataFrame:
+    """Segments of every document in ``pairs`` (and of a few others, by the bit map)."""
 
     def hashes(batch):
-        yield mix(np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64).view(np.uint64))
+        for column in batch.columns:
+            yield mix(np.asarray(column.to_numpy(zero_copy_only=False), np.int64).view(np.uint64))
 
-    needed = np.packbits(bucket_counts(postings.select("node"), hashes, NEED_BITS) > 0, bitorder="little")
-    cut = written(segments(docs, needed, order, words), "jaccard-segments")
+    needed = np.packbits(bucket_counts(pairs.select("a", "b"), hashes, NEED_BITS) > 0, bitorder="little")
+    cut = segments(docs, needed, order, words)
     return cut.groupBy("node", "fragment").agg(F.min_by("grams", F.struct("h1", "h2")).alias("grams"))

@@ -8,9 +8,12 @@ that use it) is applied to all pieces by their rank within their length.
 
 from __future__ import annotations
 
-import heapq
+import re
 import zlib
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,72 +26,70 @@ from courierflow.session import written
 CAPACITY = 4096
 END_ID = 1
 HELD_WORDS = 300_000  # words whose ids a Python worker keeps
-WIDTH = 12  # fillings tried at a node
-NODES = 20_000  # nodes of the search, after which the best plan so far is used
+WIDTH = 8  # fillings tried at a node
+NODES = 300  # nodes of the search, after which the best plan so far is used
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 Filling = tuple[int, ...]  # lengths in one sequence, largest first
 Plan = list[tuple[Filling, int]]
 
 
+# Words of these letters and ASCII signs after them need no general normalization:
+# lower case is letter by letter, and the letters and the signs are tokenized apart.
+SIMPLE_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The printable letter that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return dict(zip(plain, plain)) | {b: 256 + n for n, b in enumerate(rest)}
+
+
 class WordIds:
     """Token ids of texts, looked up word by word.
 
     The tokenizer never joins characters across white space, so a text has the
-    ids of its words in turn. Words not yet known go to the tokenizer together.
+    ids of its words in turn. Two generations of words are held: when the newer
+    is full it becomes the older, so frequent words stay and memory is bounded.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-        # a word on its own between white space; its ids end the ids of a word
-        self.mark = self.tokenizer.encode("\x00", add_special_tokens=False).ids
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > HELD_WORDS:
-            self.known = {"": b""}
-        plain = [w for w in words if "\x00" not in w]
-        for i in range(0, len(plain), 5000):
-            part = plain[i : i + 5000]
-            ids = np.array(self.tokenizer.encode(" \x00 ".join(part) + " \x00", add_special_tokens=False).ids, np.uint32)
-            width = len(self.mark)
-            hit = np.ones(len(ids) - width + 1, bool)
-            for k, m in enumerate(self.mark):
-                hit &= ids[k : len(ids) - width + 1 + k] == m
-            ends = np.flatnonzero(hit)
-            if len(ends) != len(part):  # a word holds the mark's ids
-                plain_ids = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in part]
-                self.known.update((w, np.array(x, np.uint32).tobytes()) for w, x in zip(part, plain_ids))
-                continue
-            starts = np.concatenate(([0], ends[:-1] + width))
-            raw = ids.tobytes()
-            self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, starts.tolist(), ends.tolist()))
-        for w in words:
-            if "\x00" in w:
-                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def part(self, text: str) -> bytes:
+        spelled = text.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(spelled)], np.uint32).tobytes()
+
+    def word(self, word: str) -> bytes:
+        if simple := SIMPLE_WORD.fullmatch(word):
+            name, signs = simple.groups()
+            return self.part(name.lower()) + (self.part(signs) if signs else b"")
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def look_up(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.word(word)
+        if len(word) <= 100:
+            if len(self.newer) >= HELD_WORDS:
+                self.older, self.newer = self.newer, {}
+            self.newer[word] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the text."""
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            fresh = [w for w in set(words) if w not in known]
-        if len(fresh) > HELD_WORDS // 4:  # a text that would fill the cache by itself
-            parts = [self.encode(" ".join(words[i : i + 50_000])) for i in range(0, len(words), 50_000)] if len(words) > 50_000 else None
-            if parts is not None:
-                return b"".join(parts)
-        self.learn(fresh)
-        known = self.known
-        missing = [w for w in set(words) if w not in known]
-        if missing:  # the cache was emptied meanwhile
-            self.learn(missing)
-            if any(w not in self.known for w in missing):
-                return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-        return b"".join([self.known[w] for w in words])
+        out = []
+        for word in text.replace("\n", " ").split(" "):
+            ids = self.newer.get(word)
+            out.append(self.look_up(word) if ids is None else ids)
+        return b"".join(out)
 
 
 _encoders: dict[str, WordIds] = {}
@@ -126,85 +127,71 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
 
 def fillings(room: int, counts: dict[int, int], sizes: list[int], most_waste: int, limit: int) -> list[Filling]:
-    """Undominated ways to fill ``room``, least waste first; at most ``limit``.
+    """Undominated ways to fill ``room`` from the ascending ``sizes``, least waste first; at most ``limit``.
 
     A filling is left out if a larger unused length could stand in for one of its
     members, or for two of them together: what it frees packs at least as well.
     """
-    found: list[tuple[int, Filling]] = []
-    steps = [0]
-
-    def extend(left: int, first: int, used: list[int], taken: dict[int, int]) -> None:
-        if len(found) >= 8 * limit or steps[0] > 400 * limit:
-            return
-        steps[0] += 1
-        closed = True
+    found: dict[Filling, int] = {}
+    steps = 0
+
+    def extend(left: int, used: list[int]) -> None:
+        nonlocal steps
+        steps += 1
+        i = bisect_right(sizes, min(left, used[-1] if used else left))
         tried = 0
-        for i in range(first, len(sizes)):
+        closed = bisect_right(sizes, left) == 0
+        while i and tried < limit and steps < 50 * limit and len(found) < 4 * limit:
+            i -= 1
             size = sizes[i]
-            if size > left or counts.get(size, 0) <= taken.get(size, 0):
+            if counts[size] <= used.count(size):
                 continue
-            closed = False
             tried += 1
             used.append(size)
-            taken[size] = taken.get(size, 0) + 1
-            extend(left - size, i, used, taken)
-            taken[size] -= 1
+            extend(left - size, used)
             used.pop()
-            if tried >= limit or len(found) >= 8 * limit or (found and found[-1][0] == 0 and tried >= 3):
-                break
-        if closed and left <= most_waste and not _dominated(used, left, counts, taken, present):
-            found.append((left, tuple(used)))
-
-    present = set(sizes)
-    # only lengths that fit, from the largest
-    start = next((i for i, s in enumerate(sizes) if s <= room), len(sizes))
-    extend(room, start, [], {})
-    best = sorted(set(found), key=lambda x: (x[0], len(x[1]), [-s for s in x[1]]))
-    return [f for _, f in best[:limit]]
-
-
-def _dominated(used: list[int], left: int, counts: dict[int, int], taken: dict[int, int], present: set[int]) -> bool:
-    free = lambda s: s in present and counts.get(s, 0) > taken.get(s, 0)
-    reach = min(left, 64)
-    for size in set(used):
-        if any(free(size + more) for more in range(1, reach + 1)):
-            return True
-    for i in range(min(len(used) - 1, 8)):
-        pair = used[i] + used[i + 1]
-        if any(free(pair + more) for more in range(0, reach + 1)):
-            return True
-    return False
+        if (closed or not tried) and left <= most_waste and not _dominated(used, left, counts):
+            found[tuple(used)] = left
+
+    extend(room, [])
+    return sorted(found, key=lambda f: (found[f], len(f), [-s for s in f]))[:limit]
+
+
+def _dominated(used: list[int], left: int, counts: dict[int, int]) -> bool:
+    def free(size: int) -> bool:
+        return counts.get(size, 0) > used.count(size)
+
+    members = set(used)
+    pairs = {a + b for a, b in combinations(used[:8], 2)}
+    return any(free(size + more) for size in members for more in range(1, left + 1)) or any(
+        free(pair + more) for pair in pairs for more in range(left + 1)
+    )
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     """Best-fit decreasing by length: each sequence takes the largest length that still fits."""
-    left = dict(counts)
-    heap = [-s for s in left]
-    heapq.heapify(heap)
+    left = {s: n for s, n in counts.items() if n}
+    sizes = sorted(left)
     plan: Plan = []
-    while heap:
-        top = -heap[0]
-        if left.get(top, 0) == 0:
-            heapq.heappop(heap)
-            continue
-        filling, room, passed = [], capacity, []
-        while heap:
-            size = -heap[0]
-            if left[size] == 0 or size > room:
-                heapq.heappop(heap)
-                if left[size]:
-                    passed.append(size)
-                continue
-            fit = min(left[size] - filling.count(size), room // size)
+    while sizes:
+        filling: list[int] = []
+        room = capacity
+        i = len(sizes)
+        while i and room:
+            i = bisect_right(sizes, room, 0, i)
+            if not i:
+                break
+            size = sizes[i - 1]
+            fit = min(left[size], room // size)
             filling += [size] * fit
             room -= fit * size
-            passed.append(heapq.heappop(heap) * -1)
-        for size in passed:
-            heapq.heappush(heap, -size)
-        times = min(left[s] // filling.count(s) for s in set(filling))
-        for s in set(filling):
-            left[s] -= times * filling.count(s)
+            i -= 1
+        use = Counter(filling)
+        times = min(left[s] // k for s, k in use.items())
+        for s, k in use.items():
+            left[s] -= times * k
+            if not left[s]:
+                sizes.pop(bisect_left(sizes, s))
         plan.append((tuple(filling), times))
     return plan
 
@@ -232,12 +219,12 @@ def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = N
 
     # each frame: counts left, plan so far, sequences used, waste spent, fillings not yet tried
     def frame(left: dict[int, int], plan: Plan, used: int, waste: int):
-        sizes = sorted((s for s, n in left.items() if n), reverse=True)
-        top = sizes[0]
+        top = max(left)
         spare = (sequences(best) - 1) * capacity - total - waste
         rest = dict(left)
         rest[top] -= 1
-        ways = fillings(capacity - top, rest, sizes, max(spare, 0), width) if spare >= 0 else []
+        sizes = sorted(s for s, n in rest.items() if n)
+        ways = fillings(capacity - top, rest, sizes, spare, width) if spare >= 0 else []
         return [left, plan, used, waste, [(top, *f) for f in ways][::-1]]
 
     stack = [frame(counts, [], 0, 0)]
@@ -249,7 +236,7 @@ def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = N
             continue
         visited += 1
         filling = ways.pop()
-        need = {s: filling.count(s) for s in set(filling)}
+        need = Counter(filling)
         lost = capacity - sum(filling)
         times = min(left[s] // k for s, k in need.items())
         if lost:  # spend no more waste than beats the incumbent

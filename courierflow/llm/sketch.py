@@ -19,8 +19,16 @@ def bucket_counts(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.
     come. What reaches the driver is 2**bits numbers at every input size.
     """
     shift, size = np.uint64(64 - bits), 1 << bits
+    narrow = [np.dtype(k) for k in (np.uint8, np.uint16, np.uint32, np.int64)]
     block = 1 << min(BLOCK_BITS, bits)
 
+    def packed(row):
+        kind = next(k for k in narrow if row.max(initial=0) <= np.iinfo(k).max)
+        return row.astype(kind).tobytes()
+
+    def unpacked(raw):
+        return np.frombuffer(raw, narrow[(len(raw) // block).bit_length() - 1]).astype(np.int64)
+
     def count(batches):
         total = np.zeros(size, np.int64)
         held, waiting = [], 0
@@ -37,17 +45,17 @@ def bucket_counts(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.
         full = np.flatnonzero(rows.any(axis=1))
         for part in np.array_split(full, max(1, len(full) // 64)):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int32()), pa.array([rows[i].tobytes() for i in part], pa.binary())], ["block", "counts"]
+                [pa.array(part, pa.int32()), pa.array([packed(rows[i]) for i in part], pa.binary())], ["block", "counts"]
             )
 
     def add(batches):
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                row = np.frombuffer(counts, np.int64)
+                row = unpacked(counts)
                 totals[i] = totals[i] + row if i in totals else row
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())],
+            [pa.array(list(totals), pa.int32()), pa.array([packed(t) for t in totals.values()], pa.binary())],
             ["block", "counts"],
         )
 
@@ -55,5 +63,5 @@ def bucket_counts(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.
     summed = df.mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
     out = np.zeros((size // block, block), np.int64)
     for row in summed.toLocalIterator():
-        out[row["block"]] += np.frombuffer(row["counts"], np.int64)
+        out[row["block"]] += unpacked(row["counts"])
     return out.reshape(-1)
