@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courierflow.llm import chat_format, jaccard_join, mixing, packing, topk_search
+from courierflow.llm import chat_format, jaccard_join, mixing, packing, secret_scan, topk_search
 
 # Texts differ a lot in length: small Arrow batches keep Python workers small.
 SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512"}
@@ -31,6 +31,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
 
@@ -52,6 +56,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_secret_scans": op3_secret_scans,
     "op6_exact_topk_search": op6_exact_topk_search,
     "op8_mixing_sources": op8_mixing_sources,
     "op10_chat_formatting": op10_chat_formatting,
