@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SNIPPETS = 80  # sampled documents a language, each with one stretch of SNIPPET code points
-SNIPPET = 1500
-LEVEL = 3
-CHUNK = 4096  # bytes encoded at once, so that the dictionary counts throughout a long text
+SNIPPETS = 300  # sampled documents a language, each with one stretch of SNIPPET code points
+SNIPPET = 400
+LEVEL = 9
+CHUNK = 2048  # bytes encoded at once, so that the dictionary counts throughout a long text
 NARROW = 0.005  # least margin, as a share of the second smallest size
 UNKNOWN = "und"
 
@@ -44,7 +44,12 @@ def dictionaries(docs: DataFrame, learn: Column) -> dict[str, bytes]:
     for r in snippets(docs, learn).orderBy("lang", "place").collect():
         parts.setdefault(r["lang"], []).append(r["snippet"])
     # what stands last in a dictionary is the cheapest to refer to
-    return {lang: "\n".join(rows).encode("utf-8", "surrogatepass") for lang, rows in parts.items()}
+    return {lang: folded("\n".join(rows)) for lang, rows in parts.items()}
+
+
+def folded(text: str) -> bytes:
+    """What is encoded: the lower-cased text, since capitals would match nothing."""
+    return text.lower().encode("utf-8", "surrogatepass")
 
 
 class Encoders:
@@ -61,7 +66,7 @@ class Encoders:
             )
 
     def sizes(self, text: str) -> list[int]:
-        raw = text.encode("utf-8", "surrogatepass")
+        raw = folded(text)
         parts = [raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)]
         return [sum(len(c.compress(p)) for p in parts) for c in self.compressors]
 
@@ -71,7 +76,7 @@ class Encoders:
             return UNKNOWN, 0.0, True
         sizes = self.sizes(text)
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
-        second = sizes[order[1]] if len(order) > 1 else max(sizes[order[0]], len(text.encode("utf-8", "surrogatepass")))
+        second = sizes[order[1]] if len(order) > 1 else max(sizes[order[0]], len(folded(text)))
         margin = (second - sizes[order[0]]) / second
         return self.langs[order[0]], margin, margin < NARROW
 

@@ -1,7 +1,7 @@
 """Quality classifier on subword embeddings.
 
-Words and their character n-grams are hashed to vectors; a document is the mean
-of all its vectors, and a softmax layer gives its class. Vectors and layer are
+Words, their character n-grams and repeats of the word before are hashed to
+vectors; a document is the mean of all its vectors, and a softmax layer gives its class. Vectors and layer are
 learned by stochastic gradient descent in numpy on a bounded sample of labelled
 documents. Spark extracts the hashed features of the sample and scores all texts.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ GRAMS = (3, 4)
 THRESHOLD = 0.7
 HELD_WORDS = 200_000
 SEED = 11
+# the word pair whose second word is the first again, whatever the word
+REPEAT = zlib.crc32(b"\0repeat") % BUCKETS
 
 
 def word_features(word: str) -> list[int]:
@@ -42,7 +45,10 @@ def word_features(word: str) -> list[int]:
 def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a whole text and the share of each."""
     total: Counter[int] = Counter()
-    for word, times in Counter((text or "").split()).items():
+    words = (text or "").split()
+    if repeats := sum(map(eq, words, words[1:])):
+        total[REPEAT] = repeats
+    for word, times in Counter(words).items():
         for bucket, n in Counter(word_features(word)).items():
             total[bucket] += n * times
     buckets = np.array(sorted(total), np.int32)
@@ -82,8 +88,9 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[list, dic
             )
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("doc_id", "quality", "text").mapInArrow(extract, "doc_id bigint, quality int, buckets binary, shares binary")
-    examples = [(r["doc_id"], r["quality"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows.toLocalIterator()]
+    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # a repeated id counts once
+    rows = texts.mapInArrow(extract, "doc_id bigint, quality int, buckets binary, shares binary")
+    examples = [(r["doc_id"], r["quality"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows.collect()]
     examples.sort(key=lambda e: (zlib.crc32(str(e[0]).encode()), e[0], len(e[2])))
     return examples, counts
 
@@ -154,8 +161,10 @@ class Scorer:
         return value
 
     def score(self, text: str | None) -> float:
-        total = 0j
-        for word in (text or "").split():
+        words = (text or "").split()
+        repeats = sum(map(eq, words, words[1:]))
+        total = complex(repeats * float(self.weights[REPEAT]), repeats)
+        for word in words:
             value = self.newer.get(word)
             total += self.add(word) if value is None else value
         odds = self.intercept + (total.real / total.imag if total.imag else 0.0)

@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courierflow.llm import chat_format, jaccard_join, mixing, packing, secret_scan, topk_search
+from courierflow.llm import (
+    chat_format,
+    jaccard_join,
+    language_id,
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    topk_search,
+)
 
 # Texts differ a lot in length: small Arrow batches keep Python workers small.
 SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512"}
@@ -35,6 +45,31 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(table(spark, sf_dir, "documents"))
 
 
+def fold(doc_id: str = "doc_id"):
+    """crc32 of the id as text, modulo 4; remainder 2 is held out."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
+
+
+def held_out():
+    return F.coalesce(fold() == 2, F.lit(False))
+
+
+def learnable():
+    return fold() != 2
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), learnable(), held_out())
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learnable(), held_out())
+
+
 def op6_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
 
@@ -57,8 +92,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_secret_scans": op3_secret_scans,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
     "op6_exact_topk_search": op6_exact_topk_search,
     "op8_mixing_sources": op8_mixing_sources,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_formatting": op10_chat_formatting,
 }
 

@@ -62,6 +62,6 @@ def bucket_counts(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.
     schema = "block int, counts binary"
     summed = df.mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
     out = np.zeros((size // block, block), np.int64)
-    for row in summed.toLocalIterator():
+    for row in summed.collect():
         out[row["block"]] += unpacked(row["counts"])
     return out.reshape(-1)
