@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from courierflow.llm.graph import components
 from courierflow.llm.sketch import bucket_counts
@@ -270,3 +271,20 @@ def _parts(docs: DataFrame, pairs: DataFrame, order: Order, words: int) -> DataF
     needed = np.packbits(bucket_counts(pairs.select("a", "b"), hashes, NEED_BITS) > 0, bitorder="little")
     cut = segments(docs, needed, order, words)
     return cut.groupBy("node", "fragment").agg(F.min_by("grams", F.struct("h1", "h2")).alias("grams"))
+
+
+def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``docs`` with one document of each group: the one with the smallest id.
+
+    Of rows that repeat a doc_id one stays. Rows with a null doc_id belong to no
+    group and all stay.
+    """
+    groups = jaccard_groups(docs.select("doc_id", "text"), words)
+    dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
+    # the whole row travels in one column, so no name of it can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("node"))
+    kept = rows.join(dropped, F.col("node") == F.col("dropped_id"), "left_anti")
+    digest = F.xxhash64("row")
+    same = Window.partitionBy("node", F.when(F.col("node").isNull(), digest)).orderBy(digest)
+    kept = kept.withColumn("copy", F.row_number().over(same)).where(F.col("node").isNull() | (F.col("copy") == 1))
+    return kept.select([F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -181,10 +181,14 @@ from joined
 }
 
 
+def prepare(spark: SparkSession) -> None:
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+
+
 def _prepared(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def call(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for key, value in SETTINGS.items():
-            spark.conf.set(key, value)
+        prepare(spark)
         return run(spark, sf_dir)
 
     return call
