@@ -16,6 +16,7 @@ from courierflow.llm import (
     quality_classifier,
     quality_rules,
     secret_scan,
+    suffix_dedup,
     topk_search,
 )
 
@@ -74,6 +75,10 @@ def op6_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_exact_topk_search": op6_exact_topk_search,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_mixing_sources": op8_mixing_sources,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_formatting": op10_chat_formatting,
