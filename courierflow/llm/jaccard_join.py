@@ -3,11 +3,13 @@
 All n-grams stand in one global order, rare ones first. A linked pair must share
 one of the first few n-grams of both, which gives the candidate pairs. The order
 is cut into fragments; the overlap of a pair is counted in each fragment
-separately and summed per pair.
+separately and summed per pair. With first n-grams enough for an overlap of all
+but MEET - 1, a linked pair must share MEET of them, which few chance pairs do.
 
 Groups of thousands of near copies are not expanded into pairs: within the
-documents that share an n-gram, each is first compared with one hub; then only
-pairs whose documents are still in different components are compared.
+documents that share an n-gram, each is first compared with one hub; then all
+pairs whose documents are still in different components are compared, which is
+what makes the result complete.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ NUM, DEN = 9, 10  # similarity at least NUM / DEN
 ORDER_BITS = 20  # counters behind the global order, at every input size
 NEED_BITS = 22
 FRAGMENTS = 8
+MEET = 3  # first n-grams that a linked pair must share, if its sets are that large
 SET_SCHEMA = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, prefix array<bigint>"
 
 
@@ -93,7 +96,7 @@ def shingle_sets(docs: DataFrame, order: Order, words: int = WORDS) -> DataFrame
                 sizes.append(n)
                 h1.append(a)
                 h2.append(b)
-                first = held.value.sort(s, n - -(-NUM * n // DEN) + 1 if n else 0)
+                first = held.value.sort(s, n - -(-NUM * n // DEN) + MEET if n else 0)
                 prefixes.append(first.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -205,7 +208,7 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     split = rooted.groupBy("gram").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("gram")
     rest = written(rooted.join(split, "gram", "left_semi"), "jaccard-rest")
     other = rest.select("gram", *[F.col(c).alias(c + "2") for c in ("node", "place", "size", "root")])
-    # one size and, for it, one id goes first, so that each pair comes once per n-gram
+    # of two orders of a pair one, so that it comes once for each shared n-gram
     apart = rest.join(
         other,
         (rest["gram"] == other["gram"])
@@ -236,29 +239,29 @@ def _shared_postings(classes: DataFrame) -> DataFrame:
     size = F.col("size")
     partner = F.greatest("least", F.ceil(NUM * size / DEN))
     return written(
-        postings.join(seen, "gram").where(size - F.col("place") >= least_overlap(size, partner)).select("gram", "node", "place", "size"),
+        postings.join(seen, "gram").where(size - F.col("place") + MEET - 1 >= least_overlap(size, partner)).select("gram", "node", "place", "size"),
         "jaccard-postings",
     )
 
 
 def _viable():
-    """Whether a pair that first meets at these places can still overlap enough."""
+    """Whether a pair for which these places are among the first MEET shared ones can overlap enough."""
     a, b = F.col("size"), F.col("size2")
     left = F.least(a - F.col("place"), b - F.col("place2"))
-    return (left >= least_overlap(a, b)) & (DEN * F.least(a, b) >= NUM * F.greatest(a, b))
+    return (left + MEET - 1 >= least_overlap(a, b)) & (DEN * F.least(a, b) >= NUM * F.greatest(a, b))
 
 
 def _pairs(near: DataFrame) -> DataFrame:
-    return (
-        near.where((F.col("node") != F.col("node2")) & _viable())
-        .select(
-            F.greatest("node", "node2").alias("a"),
-            F.least("node", "node2").alias("b"),
-            F.when(F.col("node") > F.col("node2"), F.col("size")).otherwise(F.col("size2")).alias("size_a"),
-            F.when(F.col("node") > F.col("node2"), F.col("size2")).otherwise(F.col("size")).alias("size_b"),
-        )
-        .distinct()
+    """Each pair once, if it shares enough of its first n-grams."""
+    first = F.col("node") > F.col("node2")
+    pairs = near.where((F.col("node") != F.col("node2")) & _viable()).select(
+        F.greatest("node", "node2").alias("a"),
+        F.least("node", "node2").alias("b"),
+        F.when(first, F.col("size")).otherwise(F.col("size2")).alias("size_a"),
+        F.when(first, F.col("size2")).otherwise(F.col("size")).alias("size_b"),
     )
+    met = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("met"))
+    return met.where(F.col("met") >= F.least(F.lit(MEET), least_overlap(F.col("size_a"), F.col("size_b")))).drop("met")
 
 
 def _parts(docs: DataFrame, pairs: DataFrame, order: Order, words: int) -> DataFrame:
