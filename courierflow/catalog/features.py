@@ -181,8 +181,8 @@ DEST = hav("latitude", "longitude", "dest_lat", "dest_lng")
 
 COUNTRIES_SQL = "select * from (values {}) as c(country, lat, lng)".format(
     ", ".join(
-        "('{}', {}e0, {}e0)".format(*[x.strip().replace("'", "''") for x in line.split(";")])
-        for line in lookups.COUNTRIES.strip().splitlines()
+        "('{}', {}e0, {}e0)".format(country.replace("'", "''"), lat, lng)
+        for country, lat, lng in lookups.COUNTRIES
     )
 )
 

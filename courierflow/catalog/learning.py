@@ -144,6 +144,18 @@ def pruned_targets(t: Tables):
     return t.deliveries.withColumn(D.TARGET, text).where(kept)
 
 
+def faulty_rows(t: Tables):
+    """Deliveries, some with a target, distance or traffic level that cannot be trained on."""
+    key = F.col("order_id")
+    return t.deliveries.withColumns(
+        {
+            D.TARGET: F.when(key % 7 == 0, F.lit("n/a")).otherwise(F.col(D.TARGET).cast("string")),
+            "distance_km": F.when(key % 13 == 0, F.lit(-1.0)).otherwise(F.col("distance_km")),
+            "traffic_level": F.when(key % 17 == 0, F.lit("Jammed")).otherwise(F.col("traffic_level")),
+        }
+    )
+
+
 def trained(t: Tables):
     rows = split_rows(t)
     return rows, regression.fit_model(rows.where("split = 'train'"), regression.linear())
@@ -298,6 +310,15 @@ QUERIES = [
     ),
     query("ml9_batch_prediction", scored_batch),
     query("ml10_retrain_hotels", hotel_reports),
+    query(
+        "ml10_rejected_rows",
+        lambda t: retraining.rejected_rows(faulty_rows(t)).select(
+            "order_id", "hotel_id", F.array_join("faults", ",").alias("faults")
+        ),
+        """select order_id, hotel_id, concat_ws(',', case when order_id % 7 = 0 then 'target_not_positive' end,
+          case when order_id % 13 = 0 then 'distance_not_positive' end, case when order_id % 17 = 0 then 'unknown_traffic' end) as faults
+        from deliveries where order_id % 7 = 0 or order_id % 13 = 0 or order_id % 17 = 0""",
+    ),
     query(
         "ml11_retrain_eligibility",
         lambda t: metrics.retrain_eligibility(pruned_targets(t), D.TARGET),

@@ -30,14 +30,12 @@ def quoted(text: str) -> str:
     return "'" + text.strip().replace("'", "''") + "'"
 
 
-def values_sql(text: str, numbers: set[int], columns: str) -> str:
-    rows = []
-    for line in text.strip().splitlines():
-        cells = [c.strip() for c in line.split(";")]
-        rows.append(
-            "(" + ", ".join(f"{float(c)!r}::double" if i in numbers else quoted(c) for i, c in enumerate(cells)) + ")"
-        )
-    return f"select * from (values {', '.join(rows)}) as v({columns})"
+def values_sql(rows: list[tuple], columns: str) -> str:
+    lines = [
+        "(" + ", ".join(f"{c!r}::double" if isinstance(c, float) else quoted(c) for c in row) + ")"
+        for row in rows
+    ]
+    return f"select * from (values {', '.join(lines)}) as v({columns})"
 
 
 def uploaded(t: Tables):
@@ -63,7 +61,7 @@ def loaded_split(t: Tables, split: str):
 
 def landmark_rows(t: Tables):
     """Customers with the landmarks of the preset city they belong to."""
-    names = [line.split(";")[0].strip() for line in lookups.CITIES.strip().splitlines()]
+    names = [city for city, *_ in lookups.CITIES]
     city = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("c_custkey") % 6 + 1).cast("int"))
     chosen = t.customer.select("c_custkey", city.alias("city"))
     joined = chosen.join(F.broadcast(lookups.city_presets(t.spark)), "city")
@@ -198,9 +196,9 @@ QUERIES = [
         "src3_city_landmarks",
         landmark_rows,
         "select c_custkey, city, name, address, lat, lng from (select c_custkey, (["
-        + ", ".join(quoted(line.split(";")[0]) for line in lookups.CITIES.strip().splitlines())
+        + ", ".join(quoted(city) for city, *_ in lookups.CITIES)
         + "])[c_custkey % 6 + 1] as city from customer) join landmark_rows using (city)",
-        landmark_rows=values_sql(lookups.LANDMARKS, {3, 4}, "city, name, address, lat, lng"),
+        landmark_rows=values_sql(lookups.LANDMARKS, "city, name, address, lat, lng"),
     ),
     query(
         "src4_country_centroids",
@@ -222,7 +220,6 @@ QUERIES = [
           preparation_time_min, courier_experience_yrs from sample_rows""",
         sample_rows=values_sql(
             lookups.TRAINING_SAMPLE,
-            {0, 5, 6, 7},
             "distance_km, weather, traffic_level, time_of_day, vehicle_type, preparation_time_min, courier_experience_yrs, delivery_time_min",
         ),
         violation_rows=VIOLATIONS_SQL,

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from courierflow import domain as D
 from courierflow.functions.geo import haversine_km
 from courierflow.functions.scalars import or_default
 
@@ -27,10 +28,16 @@ RANK_ID_SPAN = 65536
 def available_couriers(riders: DataFrame, hotels: DataFrame) -> DataFrame:
     """Available riders with their distance and effective distance to their hotel.
 
-    A missing or zero coordinate counts as being at the hotel.
+    A missing or zero coordinate counts as being at the hotel. A hotel without
+    coordinates, or one that is not in ``hotels``, stands at the default origin.
     """
-    origin = hotels.select("hotel_id", "latitude", "longitude")
-    near = riders.where(F.lower("status") == "available").join(origin, "hotel_id")
+    placed = F.coalesce((F.col("latitude") != 0) | (F.col("longitude") != 0), F.lit(False))
+    origin = hotels.where(placed & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    near = (
+        riders.where(F.lower("status") == "available")
+        .join(origin.select("hotel_id", "latitude", "longitude"), "hotel_id", "left")
+        .fillna({"latitude": D.DEFAULT_LAT, "longitude": D.DEFAULT_LNG})
+    )
     lat = F.coalesce(F.nullif(F.col("current_lat"), F.lit(0.0)), F.col("latitude"))
     lng = F.coalesce(F.nullif(F.col("current_lng"), F.lit(0.0)), F.col("longitude"))
     km = F.round(haversine_km(F.col("latitude"), F.col("longitude"), lat, lng), 2)

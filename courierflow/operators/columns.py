@@ -9,29 +9,46 @@ from courierflow import domain as D
 
 # Accepted synonyms of each canonical column.
 COLUMN_SYNONYMS = {
-    "distance_km": """distance_km, distance, dist, distance (km), distance(km), km, trip_distance,
-        delivery_distance, dist_km, distance in km""",
-    "weather": """weather, weather_condition, weather condition, climate, conditions, weather_type,
-        weather_status, sky""",
-    "traffic_level": """traffic_level, traffic level, trafficlevel, traffic, traffic_condition,
-        traffic condition, congestion, road_traffic, traffic_status""",
-    "time_of_day": """time_of_day, time of day, timeofday, time, order_time, order time, timing,
-        shift, tod, day_time, daytime, period, hour_slot""",
-    "vehicle_type": """vehicle_type, vehicle type, vehicletype, vehicle, transport, transport_type,
-        transport type, fleet, mode, delivery_vehicle, delivery_mode, bike_or_car, ride_type,
-        vehicle_mode""",
-    "preparation_time_min": """preparation_time_min, preparation_time, preparation time, prep_time,
-        prep time, preptime, prep_time_min, kitchen_time, kitchen time, prep (min), prep(min),
-        preparation (min), prep_duration, cook_time, cooking_time, prep_minutes, food_prep_time""",
-    "courier_experience_yrs": """courier_experience_yrs, courier_experience, courier experience,
-        courierexperience, experience, experience_yrs, experience (years), experience(yrs),
-        experience(years), rider_experience, rider experience, driver_experience,
-        driver experience, rider_exp, courier_exp, years_of_experience, years_experience, exp,
-        courier_years, driver_exp""",
-    "delivery_time_min": """delivery_time_min, delivery_time, delivery time, deliverytime,
-        delivery_duration, delivery duration, duration, time_min, time taken, time_taken, minutes,
-        actual_delivery_time, total_delivery_time, delivery_time(min), delivery_time (min),
-        trip_time, eta_min, target, actual_time, duration_min""",
+    "distance_km": [
+        "distance_km", "distance", "dist", "distance (km)", "distance(km)", "km", "trip_distance",
+        "delivery_distance", "dist_km", "distance in km",
+    ],
+    "weather": [
+        "weather", "weather_condition", "weather condition", "climate", "conditions",
+        "weather_type", "weather_status", "sky",
+    ],
+    "traffic_level": [
+        "traffic_level", "traffic level", "trafficlevel", "traffic", "traffic_condition",
+        "traffic condition", "congestion", "road_traffic", "traffic_status",
+    ],
+    "time_of_day": [
+        "time_of_day", "time of day", "timeofday", "time", "order_time", "order time", "timing",
+        "shift", "tod", "day_time", "daytime", "period", "hour_slot",
+    ],
+    "vehicle_type": [
+        "vehicle_type", "vehicle type", "vehicletype", "vehicle", "transport", "transport_type",
+        "transport type", "fleet", "mode", "delivery_vehicle", "delivery_mode", "bike_or_car",
+        "ride_type", "vehicle_mode",
+    ],
+    "preparation_time_min": [
+        "preparation_time_min", "preparation_time", "preparation time", "prep_time", "prep time",
+        "preptime", "prep_time_min", "kitchen_time", "kitchen time", "prep (min)", "prep(min)",
+        "preparation (min)", "prep_duration", "cook_time", "cooking_time", "prep_minutes",
+        "food_prep_time",
+    ],
+    "courier_experience_yrs": [
+        "courier_experience_yrs", "courier_experience", "courier experience", "courierexperience",
+        "experience", "experience_yrs", "experience (years)", "experience(yrs)",
+        "experience(years)", "rider_experience", "rider experience", "driver_experience",
+        "driver experience", "rider_exp", "courier_exp", "years_of_experience", "years_experience",
+        "exp", "courier_years", "driver_exp",
+    ],
+    "delivery_time_min": [
+        "delivery_time_min", "delivery_time", "delivery time", "deliverytime", "delivery_duration",
+        "delivery duration", "duration", "time_min", "time taken", "time_taken", "minutes",
+        "actual_delivery_time", "total_delivery_time", "delivery_time(min)", "delivery_time (min)",
+        "trip_time", "eta_min", "target", "actual_time", "duration_min",
+    ],
 }
 
 # Fragments that hint at a column, tried in this order.
@@ -54,8 +71,8 @@ _INCOMING_STRIP = str.maketrans("", "", " _-().")
 def _synonym_lookup() -> dict[str, str]:
     lookup = {}
     for canonical, listed in COLUMN_SYNONYMS.items():
-        for synonym in listed.split(","):
-            lookup[" ".join(synonym.split()).translate(_SYNONYM_STRIP)] = canonical
+        for synonym in listed:
+            lookup[synonym.translate(_SYNONYM_STRIP)] = canonical
     return lookup
 
 

@@ -113,7 +113,7 @@ def resolve_coordinates(profiles: DataFrame, centroids: DataFrame) -> DataFrame:
         F.col("country").alias("_country"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng")
     )
     joined = profiles.withColumn("country", country).join(
-        F.broadcast(known), F.col("country") == F.col("_country"), "left"
+        known, F.col("country") == F.col("_country"), "left"
     )
     hub_lat = F.coalesce("_lat", F.lit(D.DEFAULT_LAT))
     hub_lng = F.coalesce("_lng", F.lit(D.DEFAULT_LNG))

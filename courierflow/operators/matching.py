@@ -80,8 +80,9 @@ def match_profiles(requests: DataFrame, profiles: DataFrame) -> DataFrame:
     """
 
     def clean(c: str):
-        return F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+        return F.lower(F.trim(F.col(c)))
 
+    # a profile's null never equals anything, not even a blank in a request
     known = profiles.select(
         F.col("id"), clean("contact_email").alias("_email"), clean("hotel_name").alias("_name")
     )
@@ -89,7 +90,7 @@ def match_profiles(requests: DataFrame, profiles: DataFrame) -> DataFrame:
     def newest(*keys: str, name: str) -> DataFrame:
         return known.groupBy(*keys).agg(F.max("id").alias(name))
 
-    asked = requests.withColumns({"_email": clean("email"), "_name": clean("hotel_name")})
+    asked = requests.withColumns({c: F.coalesce(clean(asked_as), F.lit("")) for c, asked_as in (("_email", "email"), ("_name", "hotel_name"))})
     found = (
         asked.join(newest("_email", "_name", name="_both"), ["_email", "_name"], "left")
         .join(newest("_email", name="_by_email"), "_email", "left")
@@ -109,7 +110,7 @@ def with_centroid(df: DataFrame, centroids: DataFrame) -> DataFrame:
     """Country centroid of each row, the default origin for unknown countries."""
     known = centroids.select("country", F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
     return (
-        df.join(F.broadcast(known), "country", "left")
+        df.join(known, "country", "left")
         .withColumns(
             {
                 "centroid_lat": F.coalesce("_lat", F.lit(D.DEFAULT_LAT)),

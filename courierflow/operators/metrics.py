@@ -8,7 +8,9 @@ from pyspark.sql import Window
 
 from courierflow import domain as D
 from courierflow.functions.rounding import py_round
+from courierflow.operators.columns import impute_defaults
 from courierflow.operators.profiling import as_levels
+from courierflow.operators.quality import training_faults
 from courierflow.operators.splitting import with_fold
 
 METRICS = ("mae", "mse", "rmse", "r2")
@@ -206,8 +208,9 @@ def model_ranks(metrics: DataFrame) -> DataFrame:
 
 def retrain_eligibility(df: DataFrame, target: str) -> DataFrame:
     """Per hotel: valid training rows, split sizes, folds, and whether there are enough."""
-    minutes = F.col(target).try_cast("double")
-    counted = df.groupBy("hotel_id").agg(F.count_if(minutes > 0).alias("valid_rows"))
+    filled, _ = impute_defaults(df)
+    usable = F.size(training_faults(target)) == 0
+    counted = filled.groupBy("hotel_id").agg(F.count_if(usable).alias("valid_rows"))
     n = F.col("valid_rows")
     test = F.greatest(F.lit(2), F.floor(n / 5))
     test = F.when(test >= n, F.lit(1)).otherwise(test).cast("bigint")

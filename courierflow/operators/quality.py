@@ -61,7 +61,7 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def require_valid(df: DataFrame) -> DataFrame:
     """The rows unchanged; fails, naming the codes, if any row breaks a rule."""
-    broken = violation_summary(df).limit(20).collect()
+    broken = violation_summary(df).collect()  # a row per code
     if broken:
         raise InvalidInput(", ".join(f"{r['violation']}: {r['rows']}" for r in broken))
     return df
@@ -141,3 +141,20 @@ def cardinality(df: DataFrame, columns: list[str], approx: bool = False) -> Data
 
     counted = df.agg(*[distinct(c).alias(c) for c in columns])
     return unpivot_row(counted, {c: [F.col(c)] for c in columns}, ["column_name", "n_unique"])
+
+
+def predictor_faults():
+    """Why the design codes cannot hold a row with defaults filled in, as an array of codes."""
+    distance = F.coalesce(F.col("distance_km").try_cast("double") > 0, F.lit(False))
+    traffic = F.coalesce(F.col("traffic_level").isin(D.TRAFFIC_LEVELS), F.lit(False))
+    return F.array_compact(
+        F.array(F.when(~distance, F.lit("distance_not_positive")), F.when(~traffic, F.lit("unknown_traffic")))
+    )
+
+
+def training_faults(target: str = D.TARGET):
+    """Why a row cannot be trained on: one rule for retraining and for its eligibility."""
+    minutes = F.coalesce(F.col(target).try_cast("double") > 0, F.lit(False))
+    return F.array_compact(
+        F.concat(F.array(F.when(~minutes, F.lit("target_not_positive"))), predictor_faults())
+    )

@@ -95,16 +95,6 @@ def preparation_stages(prepared: Preparation) -> list:
     return stages
 
 
-def spread(df: DataFrame, id_column: str = D.ID_COLUMN) -> DataFrame:
-    """Training rows over at least as many partitions as cores, by the hash of their id.
-
-    Tree and gradient fits pass over the rows many times; one shuffle by a key
-    (repeatable, unlike round robin) pays for itself even where the input came
-    in a single file.
-    """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, id_column)
-
-
 def fit_models(
     train: DataFrame,
     regressors: dict[str, Estimator],
@@ -118,8 +108,7 @@ def fit_models(
     Every result is a whole pipeline, raw predictors in and minutes out.
     """
     known = train.select(id_column, *D.RAW_FEATURES, D.TARGET)
-    known = spread(known.where(F.col(D.TARGET).isNotNull()), id_column)
-    known = known.persist(StorageLevel.MEMORY_AND_DISK)
+    known = known.where(F.col(D.TARGET).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
     prepared = fit_preparation(add_features(known), engineered)
     stages = preparation_stages(prepared)
     matrix = PipelineModel(stages).transform(known).select("features", D.TARGET)
@@ -177,8 +166,7 @@ def cross_validate(
     parallelism: int = 4,
 ) -> DataFrame:
     """Metrics by model and fold; preparation is fitted anew without the fold's rows."""
-    placed = spread(with_fold(train, id_column, folds, SEED), id_column)
-    placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
+    placed = with_fold(train, id_column, folds, SEED).persist(StorageLevel.MEMORY_AND_DISK)
 
     def one(fold: int) -> list[DataFrame]:
         models = fit_models(placed.where(F.col("fold") != fold), regressors, id_column)
@@ -214,8 +202,7 @@ def grid_search(
     together in one pass over the held-out rows.
     """
     settings = [dict(zip(grid, values)) for values in product(*grid.values())]
-    placed = spread(with_fold(train, id_column, folds, SEED), id_column)
-    placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
+    placed = with_fold(train, id_column, folds, SEED).persist(StorageLevel.MEMORY_AND_DISK)
     scores = []
     for fold in range(folds):
         fit_rows = placed.where(F.col("fold") != fold)

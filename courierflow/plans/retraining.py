@@ -20,6 +20,7 @@ from courierflow.functions.features import add_features
 from courierflow.functions.rounding import np_round
 from courierflow.operators.columns import impute_defaults
 from courierflow.operators.metrics import regression_metrics
+from courierflow.operators.quality import predictor_faults, training_faults
 from courierflow.operators.splitting import with_exact_split, with_fold
 from courierflow.session import written
 
@@ -45,13 +46,16 @@ def training_rows(df: DataFrame) -> tuple[DataFrame, list[str]]:
     level) are left out; an unknown weather, time or vehicle has no dummy.
     """
     filled, added = impute_defaults(df)
-    target = F.col(D.TARGET).try_cast("double")
-    usable = filled.withColumn(D.TARGET, target).where(
-        (F.col(D.TARGET) > 0)
-        & (F.col("distance_km") > 0)
-        & F.col("traffic_level").isin(D.TRAFFIC_LEVELS)
-    )
-    return add_features(usable), added
+    usable = filled.where(F.size(training_faults()) == 0)
+    return add_features(usable.withColumn(D.TARGET, F.col(D.TARGET).try_cast("double"))), added
+
+
+def rejected_rows(df: DataFrame) -> DataFrame:
+    """The rows ``training_rows`` leaves out, as they came, with the reasons in ``faults``."""
+    given = df.withColumn("_given", F.struct("*"))
+    filled, _ = impute_defaults(given)
+    rejected = filled.withColumn("_faults", training_faults()).where(F.size("_faults") > 0)
+    return rejected.select("_given.*", F.col("_faults").alias("faults"))
 
 
 def design_array():
@@ -229,15 +233,18 @@ def predict_for_hotels(df: DataFrame, weights: DataFrame, default_minutes) -> Da
     """Predicted minutes by the hotel's own model, or ``default_minutes`` where it has none."""
     filled, _ = impute_defaults(df)
     design = add_features(filled.withColumn(D.TARGET, F.lit(0.0)))
+    # the codes hold no other rows; those get the default
+    fits = F.size(predictor_faults()) == 0
     terms = F.zip_with(
         F.slice(design_array(), 1, WIDTH - 1), F.col("weights"), lambda x, w: x * w
     )
-    own = np_round(F.aggregate(terms, F.lit(0.0), lambda total, t: total + t), 2)
+    own = F.when(fits, np_round(F.aggregate(terms, F.lit(0.0), lambda total, t: total + t), 2))
     return (
         design.join(weights.select("hotel_id", "weights"), "hotel_id", "left")
-        .withColumn("model_used", F.when(F.col("weights").isNull(), "default").otherwise("custom"))
-        .withColumn("predicted_delivery_time_min", F.coalesce(own, default_minutes))
-        .drop("weights", D.TARGET, *D.ENGINEERED_FEATURES)
+        .withColumn("_own", own)
+        .withColumn("model_used", F.when(F.col("_own").isNull(), "default").otherwise("custom"))
+        .withColumn("predicted_delivery_time_min", F.coalesce("_own", default_minutes))
+        .drop("_own", "weights", D.TARGET, *D.ENGINEERED_FEATURES)
     )
 
 

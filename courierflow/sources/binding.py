@@ -106,24 +106,9 @@ def _names_in(sql: str) -> list[str]:
     return [name for name in (*BASE_TABLES, *VIEWS) if name in words]
 
 
-# Large tables and the key their rows may be spread by.
-FACT_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id"}
-SPREAD_BYTES = 256 * 1024
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One parquet table; a fact table in fewer splits than cores is spread by its key.
-
-    The test tables are single files of one row group, which one task reads. On
-    data with more splits than cores nothing is added to the plan.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name not in FACT_KEYS or df.rdd.getNumPartitions() >= cores:
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = min(cores, size // SPREAD_BYTES + 1)
-    return df.repartition(parts, FACT_KEYS[name]) if parts > 1 else df
+    """One parquet table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 class Tables:

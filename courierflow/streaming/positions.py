@@ -65,13 +65,16 @@ def start_positions(events: DataFrame, path: str, checkpoint: str) -> StreamingQ
     """Keep a snapshot of riders up to date, one version per micro-batch.
 
     Batch n writes version n from version n - 1, so a repeated batch writes the
-    same version again. Old versions can be deleted by age.
+    same version again. The latest version must be kept: without it the next batch
+    fails instead of starting from nothing.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         news = reduce_events(batch)
         known = read_version(batch.sparkSession, path, number - 1) if number else None
-        merged = news if known is None else merge_reduced(known, news)
+        if number and known is None:
+            raise FileNotFoundError(f"version {number - 1} of the positions in {path} is missing")
+        merged = merge_reduced(known, news) if number else news
         merged.write.mode("overwrite").parquet(_version(path, number))
 
     return (

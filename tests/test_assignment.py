@@ -156,3 +156,17 @@ def test_folds_partition_the_rows(tables):
     folds = splitting.with_fold(tables.deliveries.select("order_id")).groupBy("fold").count().collect()
     assert sorted(r["fold"] for r in folds) == [0, 1, 2, 3, 4]
     assert sum(r["count"] for r in folds) == tables.deliveries.count()
+
+
+def test_hotels_without_position_stand_at_the_default_origin(spark):
+    from courierflow import domain as D
+    from courierflow.operators.assignment import available_couriers
+
+    hotels = spark.createDataFrame([(1, None, None), (2, 0.0, 0.0)], "hotel_id long, latitude double, longitude double")
+    riders = spark.createDataFrame(
+        [(h, 10 * h + k, "Available", lat, lng, 4.0, 90.0) for h in (1, 2, 3) for k, lat, lng in ((0, D.DEFAULT_LAT + 1, D.DEFAULT_LNG), (1, D.DEFAULT_LAT, D.DEFAULT_LNG))],
+        "hotel_id long, id long, status string, current_lat double, current_lng double, rating double, performance_score double",
+    )
+    km = {r["id"]: r["distance_to_hotel_km"] for r in available_couriers(riders, hotels).collect()}
+    assert len(km) == 6
+    assert all(km[10 * h + 1] == 0.0 and 100 < km[10 * h] < 125 for h in (1, 2, 3))

@@ -121,3 +121,22 @@ def test_unknown_level_is_all_zeros_and_bad_ordinal_fails(rows):
     wrong = add_features(rows.limit(5).withColumn("traffic_level", F.lit("Jammed")))
     with pytest.raises(Exception, match="unknown level"):
         prepared.matrix(wrong).collect()
+
+
+def test_rows_that_cannot_be_coded_get_the_default(spark, tables):
+    from pyspark.sql import functions as F
+
+    from courierflow import domain as D
+    from courierflow.operators import metrics
+    from courierflow.plans import retraining
+
+    rows = tables.deliveries.where("hotel_id < 3")
+    bad = rows.withColumn("traffic_level", F.when(F.col("order_id") % 2 == 0, "Jammed").otherwise(F.col("traffic_level")))
+    weights = spark.createDataFrame([(h, [1.0] * (retraining.WIDTH - 1)) for h in range(3)], "hotel_id long, weights array<double>")
+    scored = retraining.predict_for_hotels(bad, weights, F.lit(-5.0))
+    used = {tuple(r) for r in scored.select(F.col("order_id") % 2 == 0, "model_used").distinct().collect()}
+    assert used == {(True, "default"), (False, "custom")}
+    eligible = {r["hotel_id"]: r["valid_rows"] for r in metrics.retrain_eligibility(bad, D.TARGET).collect()}
+    trained = {r["hotel_id"]: r["count"] for r in retraining.training_rows(bad)[0].groupBy("hotel_id").count().collect()}
+    assert {h: n for h, n in eligible.items() if n} == trained
+    assert retraining.rejected_rows(bad).count() + sum(trained.values()) == bad.count()
