@@ -14,6 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,16 +80,33 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "name bigint, doc_id bigint, place int")
 
 
+def _stored(docs: DataFrame) -> DataFrame:
+    """doc_id and the compressed bytes of each text.
+
+    Both joins with texts are on doc_id and take these same rows, so the texts
+    move between tasks once, and small.
+    """
+
+    def pack(batches):
+        packer = zstandard.ZstdCompressor()
+        for batch in batches:
+            packed = [packer.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+
+    # no nulls: the joins then add no filter, and their exchange of the texts is one and the same
+    return docs.mapInArrow(pack, "doc_id bigint not null, packed binary not null")
+
+
 def _surroundings(docs_places: DataFrame) -> DataFrame:
     """Per repeated name and place: the bytes of all windows it stands for."""
 
     def cut(batches):
+        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for doc_id, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                data = as_bytes(text.as_py())
-                name, place, first, last = sampled(data)
-                raw = data.tobytes()
+            for doc_id, packed, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                raw = unpacker.decompress(packed.as_py())
+                name, place, first, last = sampled(np.frombuffer(raw, np.uint8))
                 for i in np.flatnonzero(np.isin(place, places.values.to_numpy())).tolist():
                     rows.append((int(name[i].view(np.int64)), doc_id, int(first[i]), raw[first[i] : last[i] + LENGTH]))
                     if len(rows) >= 10_000:
@@ -165,17 +183,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     placed = rows.where("doc_id is not null")
+    stored = _stored(placed)
     named = _named(placed)
     repeated = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
     places = named.join(repeated, "name", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    runs = _repeats(_surroundings(rows.join(places, "doc_id").select("doc_id", "text", "places")))
+    runs = _repeats(_surroundings(stored.join(places, "doc_id").select("doc_id", "packed", "places")))
     per_doc = runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
     def finish(batches):
+        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for doc_id, text, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            for doc_id, packed, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                raw = unpacker.decompress(packed.as_py())
                 kept, at, spans, end = [], 0, 0, -1
                 for run in runs or []:
                     if run["start"] > end:
@@ -192,4 +212,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    return rows.join(per_doc, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(finish, schema)
+    judged = stored.join(per_doc, "doc_id", "left").select("doc_id", "packed", "runs")
+    unplaced = _stored(rows.where("doc_id is null").select(F.lit(0).cast("bigint"), "text"))
+    unplaced = unplaced.select(F.lit(None).cast("bigint").alias("doc_id"), "packed", F.lit(None).cast(per_doc.schema["runs"].dataType).alias("runs"))
+    return judged.unionByName(unplaced).mapInArrow(finish, schema)
