@@ -124,29 +124,34 @@ def rank_couriers(couriers: DataFrame) -> DataFrame:
     )
 
 
-def next_courier(orders: DataFrame, couriers: DataFrame, depth: int | None = None) -> DataFrame:
+def next_courier(orders: DataFrame, couriers: DataFrame) -> DataFrame:
     """Best courier not yet notified, per order, as the struct ``next_rider``.
 
-    With n couriers notified the pick is among the first n + 1 of the hotel, so
-    the longest notified list tells how deep a ranking is needed; ``depth`` may
-    be given to skip reading it. The ranked lists are joined by hotel, never
-    multiplied with the orders.
+    Told couriers are looked up in the ranking by (hotel, courier); the smallest
+    rank among them that is missing is the next one, joined by (hotel, rank). No
+    list is longer than the order's own, and orders are never multiplied with
+    couriers. Told couriers who are not available have no rank and are passed over.
     """
-    if depth is None:
-        longest = orders.agg(F.max(F.size("notified_rider_ids"))).first()[0]
-        depth = max(0, longest or 0) + 1
     member = F.struct(
-        "rank", F.col("id").alias("rider_id"), "rider_name", "vehicle_type", "courier_exp_yrs"
+        F.col("rank").cast("int").alias("rank"), F.col("id").alias("rider_id"), "rider_name", "vehicle_type", "courier_exp_yrs"
     )
-    ranked = (
-        top_couriers(couriers, depth)
-        .groupBy("hotel_id")
-        .agg(F.sort_array(F.collect_list(member)).alias("ranked"))
+    ranked = rank_couriers(couriers).select("hotel_id", "rank", "id", member.alias("next_rider"))
+    told = F.coalesce(F.sort_array(F.array_distinct("notified_rider_ids")), F.array().cast("array<bigint>"))
+    asked = orders.withColumn("_told", told)
+    # sorted ranks equal their places up to the first one that is missing
+    ranks = F.sort_array(F.collect_set("rank"))
+    unbroken = F.size(F.filter(ranks, lambda r, i: r == i + 1))
+    nexts = (
+        asked.select("hotel_id", "_told").distinct()
+        .select("hotel_id", "_told", F.explode("_told").alias("id"))
+        .join(ranked.select("hotel_id", "id", "rank"), ["hotel_id", "id"])
+        .groupBy("hotel_id", "_told")
+        .agg((unbroken + 1).cast("bigint").alias("_next"))
     )
-    notified = F.coalesce(F.col("notified_rider_ids"), F.array().cast("array<bigint>"))
-    free = F.filter("ranked", lambda r: ~F.array_contains(notified, r["rider_id"]))
+    picks = ranked.select("hotel_id", F.col("rank").cast("bigint").alias("_next"), "next_rider")
     return (
-        orders.join(ranked, "hotel_id", "left")
-        .withColumn("next_rider", F.try_element_at(free, F.lit(1)))
-        .drop("ranked")
+        asked.join(nexts, ["hotel_id", "_told"], "left")
+        .withColumn("_next", F.coalesce("_next", F.lit(1).cast("bigint")))
+        .join(picks, ["hotel_id", "_next"], "left")
+        .select(*orders.columns, "next_rider")
     )
