@@ -30,16 +30,30 @@ HISTORY_EXPORT = [
 
 
 def read_delivery_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Delivery records in the standard layout, and the lines that do not fit it."""
-    schema = T.StructType([*D.DELIVERY_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+    """Delivery records in the standard layout, and the lines that do not fit it.
+
+    Cells are read as text and judged by a cast, so which lines are bad does not
+    depend on the columns a query asks for. Bad lines are in ``_corrupt_record``;
+    where only a cell is wrong, its line is put together again from the cells.
+    """
+    fields = D.DELIVERY_SCHEMA.fields
+    text = T.StructType([T.StructField(n, T.StringType()) for n in [*(f.name for f in fields), CORRUPT]])
     rows = (
-        spark.read.schema(schema)
+        spark.read.schema(text)
         .option("header", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
+        .option("columnPruning", False)
         .csv(path)
     )
-    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull())
+    typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in fields}
+    broken = F.col(CORRUPT).isNotNull()
+    for name, value in typed.items():
+        broken = broken | (F.col(name).isNotNull() & value.isNull())
+    line = F.coalesce(F.col(CORRUPT), F.to_csv(F.struct(*typed)))
+    good = rows.where(~broken).select(*[value.alias(name) for name, value in typed.items()])
+    bad = rows.where(broken).select(*[value.alias(name) for name, value in typed.items()], line.alias(CORRUPT))
+    return good, bad
 
 
 def read_upload(spark: SparkSession, path: str) -> DataFrame:

@@ -27,6 +27,10 @@ def test_malformed_lines_are_set_aside(spark):
     good, bad = T.read_delivery_csv(spark, path)
     assert [r["order_id"] for r in good.collect()] == [1]
     assert bad.first()["_corrupt_record"].startswith("2,far")
+    # the same lines are bad whatever columns are asked for
+    assert [r["order_id"] for r in good.select("order_id").collect()] == [1]
+    assert (good.count(), bad.count()) == (1, 1)
+    assert bad.select("_corrupt_record").first()[0].startswith("2,far")
 
 
 def test_upload_keeps_text_of_cells_that_are_no_numbers(spark):
