@@ -2,8 +2,9 @@
 
 Events may arrive in any order within the watermark's delay. They wait in the
 order's state until the watermark has passed them and are then applied in
-(time, id) order, so the result does not depend on how they were batched. The
-batch replay applies the same rules to a stored log.
+(time, id) order, so the result does not depend on how they were batched. A closed
+order is remembered for CLOSED_DAYS and ignores events in that time; a dispatch
+after it starts a new life. The batch replay applies the same rules to a stored log.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from courierflow import domain as D
 
 MINUTE = 60_000_000
+CLOSED_DAYS = 30
 OUTPUT_SCHEMA = (
     "order_id bigint, event_type string, attempt int, at timestamp, duration_min double"
 )
@@ -38,6 +40,7 @@ class Life:
         self.candidates = saved.get("candidates", 0)
         self.expires = saved.get("expires")
         self.started = saved.get("started")
+        self.closed_at = saved.get("closed_at")
         self.waiting = saved.get("waiting", [])
 
     def saved(self) -> str:
@@ -47,9 +50,16 @@ class Life:
     def closed(self) -> bool:
         return self.status in (D.DELIVERED, D.UNASSIGNED)
 
+    @property
+    def forgotten_at(self) -> int | None:
+        return self.closed_at + CLOSED_DAYS * 24 * 60 * MINUTE if self.closed else None
+
+    def _close(self, status: str, at: int) -> None:
+        self.status, self.expires, self.closed_at = status, None, at
+
     def _offer_next(self, kind: str, at: int) -> tuple:
         if self.attempt >= self.candidates:
-            self.status, self.expires = D.UNASSIGNED, None
+            self._close(D.UNASSIGNED, at)
             return ("CASCADE_EXHAUSTED", self.attempt, at, None)
         row = (kind, self.attempt, at, None)
         self.attempt += 1
@@ -57,12 +67,14 @@ class Life:
         return row
 
     def _apply(self, at: int, action: str, candidates: int) -> list[tuple]:
+        if self.closed and at >= self.forgotten_at:
+            self.__init__({"waiting": self.waiting})
         if self.status is None:
             if action != "DISPATCH_TRIGGERED":
                 return []
             self.candidates, self.started = candidates, at
             if candidates < 1:
-                self.status = D.UNASSIGNED
+                self._close(D.UNASSIGNED, at)
                 return [("DISPATCH_TRIGGERED", 0, at, None)]
             self.status, self.attempt = D.PENDING, 1
             self.expires = at + D.RESPONSE_MINUTES * MINUTE
@@ -74,7 +86,7 @@ class Life:
             return [self._offer_next("ORDER_DEACTIVATED", at)]
         if action == "COMPLETE" and not self.closed:
             minutes = max(1.0, round((at - self.started) / MINUTE, 1))
-            self.status, self.expires = D.DELIVERED, None
+            self._close(D.DELIVERED, at)
             return [("ORDER_COMPLETED", self.attempt, at, minutes)]
         return []
 
@@ -101,6 +113,8 @@ class Life:
         times = [w[0] for w in self.waiting[:1]]
         if self.status == D.PENDING:
             times.append(self.expires)
+        if self.closed:
+            times.append(self.forgotten_at)
         return min(times, default=None)
 
 
@@ -133,7 +147,8 @@ def _on_batch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
     watermark = max(0, state.getCurrentWatermarkMs())
     rows = life.advance(watermark * 1000)
     due = life.next_time()
-    if life.closed or (life.status is None and due is None):
+    forgotten = life.closed and not life.waiting and life.forgotten_at <= watermark * 1000
+    if forgotten or (life.status is None and due is None):
         if state.exists:
             state.remove()
     else:

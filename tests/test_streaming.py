@@ -24,6 +24,9 @@ def make_log(orders=60):
             at += dt.timedelta(seconds=rng.randrange(20, 420))
             rows.append((order, at, number, rng.choice(["ACTIVATE", "DEACTIVATE", "COMPLETE", "LOCATION"]), 0))
             number += 1
+        if order % 3 == 0:  # a second dispatch, ignored if the order is closed
+            rows.append((order, at + dt.timedelta(hours=2), number, "DISPATCH_TRIGGERED", 2))
+            number += 1
     rows.append((10_000, START + dt.timedelta(hours=30), number, "LOCATION", 0))
     return rows
 
@@ -88,6 +91,18 @@ def test_life_of_one_order(spark):
     assert out.where("order_id = 3").count() == 0
 
 
+def test_closed_order_is_remembered_for_a_while():
+    def dispatched(days):
+        life = lifecycle.Life()
+        life.step(0, "DISPATCH_TRIGGERED", 1)
+        life.step(1, "COMPLETE", 0)
+        at = days * 24 * 60 * lifecycle.MINUTE + 1
+        return [kind for kind, *_ in life.step(at, "DISPATCH_TRIGGERED", 1)]
+
+    assert dispatched(lifecycle.CLOSED_DAYS - 1) == []
+    assert dispatched(lifecycle.CLOSED_DAYS) == ["DISPATCH_TRIGGERED"]
+
+
 def test_positions_do_not_depend_on_batching(spark):
     rng = random.Random(4)
     schema = "rider_id bigint, ts timestamp, event_id bigint, lat double, lng double, address string, status string"
