@@ -80,6 +80,40 @@ from (select *, row_number() over (partition by order_id order by ts, event_id)
 """
 
 
+TOLD_SQL = """
+select d.id as order_id, d.hotel_id, assigned_rider_id, dispatch_attempts, {at} as moved_at,
+  case when list_contains(notified, assigned_rider_id) then notified else list_append(notified, assigned_rider_id) end as told
+from dispatch_orders d join notified_orders n on n.order_id = d.id join ({why}) w on w.order_id = d.id
+where dispatch_status = 'Pending_Rider'
+"""
+DECLINED_SQL = TOLD_SQL.format(
+    at="declined_at",
+    why="select order_no as order_id, min(ts) as declined_at from dispatch_events where action = 'DEACTIVATE' group by 1",
+)
+CLICKED_SQL = TOLD_SQL.format(at="ts", why="select order_id, ts from outcome_rows where outcome = 'expired'")
+CASCADE_RESULT_SQL = """
+select order_id, case when next_id is null then 'CASCADE_EXHAUSTED' else '{kind}' end as event_type,
+  coalesce(next_id, assigned_rider_id) as assigned_rider_id, dispatch_attempts + cast(next_id is not null as int) as dispatch_attempts,
+  case when next_id is null then 'Unassigned_No_Riders' else 'Pending_Rider' end as dispatch_status,
+  strftime(moved_at, '%Y-%m-%d %H:%M:%S') as moved_at from {rows}
+"""
+
+
+def declined(t: Tables):
+    """Offers that couriers decline: their orders move on at the first decline in the log."""
+    declines = t.dispatch_events.where("action = 'DEACTIVATE'").groupBy(F.col("order_no").alias("order_id"))
+    at = declines.agg(F.min("ts").alias("declined_at"))
+    pending = open_orders(t).where(F.col("dispatch_status") == D.PENDING)
+    return dispatch.cascade(pending.join(at, "order_id"), couriers(t), F.col("declined_at"), dispatch.DECLINED)
+
+
+def shown_cascade(moved):
+    return moved.select(
+        "order_id", "event_type", "assigned_rider_id", "dispatch_attempts", "dispatch_status",
+        F.date_format("updated_at", FORMAT).alias("moved_at"),
+    )
+
+
 def completions(t: Tables):
     """Active and pending orders completed 4 to 94 minutes after creation; some tell their duration."""
     key = F.col("order_id")
@@ -236,7 +270,7 @@ def account_table(t: Tables):
 def account_changes(t: Tables):
     """Changes by id, by email, and of unknown profiles; some leave the key blank."""
     key, who = F.col("o_orderkey"), F.col("o_custkey")
-    return t.orders.where("o_orderkey % 3 = 0").select(
+    return t.orders.select(
         F.when(key % 2 == 0, who).alias("id"),
         F.concat(F.lit("Renamed "), key).alias("hotel_name"),
         F.when(key % 5 == 0, F.concat(F.lit("new"), key, F.lit("@y.com")))
@@ -260,7 +294,7 @@ select coalesce(case when o_orderkey % 2 = 0 then o_custkey end, case when o_ord
   'Renamed ' || o_orderkey as hotel_name,
   case when o_orderkey % 5 = 0 then 'new' || o_orderkey || '@y.com' else ' M' || o_custkey || '@x.com' end as contact_email,
   case when o_orderkey % 4 = 0 then 'k' || o_orderkey end as access_key, o_orderkey as seq
-from orders left join customer on c_custkey = o_custkey where o_orderkey % 3 = 0
+from orders left join customer on c_custkey = o_custkey
 """
 MERGED_SQL = """
 select coalesce(c.id, n.id) as id, coalesce(n.hotel_name, c.hotel_name) as hotel_name, coalesce(n.contact_email, c.contact_email) as contact_email,
@@ -378,6 +412,28 @@ QUERIES = [
         from cascaded_rows""",
         **CASCADE_CTES,
     ),
+    query(
+        "ds3_declined_offers",
+        lambda t: shown_cascade(declined(t)),
+        CASCADE_RESULT_SQL.format(rows="declined_moved", kind="ORDER_DEACTIVATED"),
+        **RANK_CTES,
+        notified_orders=NOTIFIED_SQL,
+        declined_rows=DECLINED_SQL,
+        declined_moved=CASCADED_SQL.replace("open_rows", "declined_rows"),
+    ),
+    query(
+        "ds4_expired_clicks",
+        lambda t: shown_cascade(
+            dispatch.cascade_expired(open_orders(t), dispatch.activation_outcomes(dispatched(t), activation_requests(t)), couriers(t))
+        ),
+        CASCADE_RESULT_SQL.format(rows="clicked_moved", kind="TIMEOUT_EXPIRED"),
+        **RANK_CTES,
+        notified_orders=NOTIFIED_SQL,
+        request_rows=REQUESTS_SQL,
+        outcome_rows=OUTCOMES_SQL,
+        clicked_rows=CLICKED_SQL,
+        clicked_moved=CASCADED_SQL.replace("open_rows", "clicked_rows"),
+    ),
     query(
         "ds4_activation_outcomes",
         lambda t: dispatch.activation_outcomes(dispatched(t), activation_requests(t)).select("order_id", "event_id", "outcome"),

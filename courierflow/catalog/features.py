@@ -119,8 +119,8 @@ def couriers_at_hotels(t: Tables):
 
 
 def rider_legs(t: Tables):
-    """Legs from each rider's position (where known) to the hotel."""
-    return couriers_at_hotels(t).where("current_lat <> 0").select(
+    """Legs from each rider's position to the hotel; a rider without one stands at (0, 0)."""
+    return couriers_at_hotels(t).select(
         F.col("id").alias("rider_id"),
         F.col("latitude").alias("origin_lat"),
         F.col("longitude").alias("origin_lng"),
@@ -168,7 +168,7 @@ def hav(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
 
 LEGS_SQL = """
 select id as rider_id, latitude as origin_lat, longitude as origin_lng, current_lat as dest_lat, current_lng as dest_lng
-from riders join hotels using (hotel_id) where current_lat <> 0
+from riders join hotels using (hotel_id)
 """
 DEST_SQL = """
 select order_id, hotel_id, distance_km, latitude, longitude,
@@ -270,9 +270,9 @@ def gazetteer(t: Tables):
     return at.select(F.lower("hotel_name").alias("name_key"), "lat", "lng")
 
 
-def half_fleet(t: Tables):
-    """Riders of the even hotels only, so the odd ones have to be seeded."""
-    return t.riders.where("hotel_id % 2 = 0")
+def old_and_new_hotels(t: Tables):
+    """All hotels, and as many new ones that no rider belongs to."""
+    return t.hotels.unionByName(t.hotels.withColumn("hotel_id", F.col("hotel_id") + 1000))
 
 
 QUERIES = [
@@ -521,19 +521,20 @@ QUERIES = [
     ),
     query(
         "ge9_seed_fleet",
-        lambda t: geodata.seed_fleet(t.hotels, half_fleet(t), "hotel_name").select(
+        lambda t: geodata.seed_fleet(old_and_new_hotels(t), t.riders, "hotel_name").select(
             "hotel_id", "rider_name", "vehicle_type", "status", "current_lat", "current_lng", "current_address",
             "total_deliveries", "performance_score",
         ),
         """select hotel_id, rider_name, vehicle_type, status, round(latitude + d_lat, 6) as current_lat,
         round(longitude + d_lng, 6) as current_lng, replace(place, '%s', hotel_name) as current_address,
         cast(total as bigint) as total_deliveries, score as performance_score
-        from (select * from hotels where hotel_id not in (select hotel_id from riders where hotel_id % 2 = 0)), (values
+        from (select hotel_id, hotel_name, latitude, longitude from hotels union all select hotel_id + 1000, hotel_name, latitude, longitude from hotels), (values
           ('Tariq Khan', 'Scooter', 'Available', 0.007e0, 0.005e0, 'Near %s', 18, 94.4e0),
           ('Ali Raza', 'Scooter', 'On Delivery', 0.014e0, 0.011e0, 'En Route from %s', 12, 91.7e0),
           ('Usman Ahmed', 'Car', 'Available', -0.009e0, -0.007e0, 'Station Hub, %s', 25, 100.0e0),
           ('Bilal Shah', 'Bike', 'Offline', 0.002e0, -0.003e0, 'Rest Point, %s', 8, 87.5e0))
-          as f(rider_name, vehicle_type, status, d_lat, d_lng, place, total, score)""",
+          as f(rider_name, vehicle_type, status, d_lat, d_lng, place, total, score)
+        where hotel_id not in (select hotel_id from riders where hotel_id is not null)""",
     ),
     query(
         "ge10_resolve_coordinates",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from courierflow import domain as D
 from courierflow.catalog.base import py_round_sql, query
+from courierflow.catalog.features import old_and_new_hotels
 from courierflow.catalog.quality import FEATURED_SQL, SPLIT_SQL, long_levels
 from courierflow.functions.features import add_features
 from courierflow.operators import matching, metrics, splitting
@@ -133,15 +134,15 @@ def registry_updates(t: Tables):
 
 
 def pruned_targets(t: Tables):
-    """Targets as text, some of them unusable, and few rows for some hotels."""
+    """Targets as text, some of them unusable, also spread over many hotels with few rows each."""
     key = F.col("order_id")
     text = (
         F.when(key % 7 == 0, F.lit("n/a"))
         .when(key % 11 == 0, F.lit("-4"))
         .otherwise(F.col(D.TARGET).cast("string"))
     )
-    kept = (F.col("hotel_id") % 5 != 2) | (key % 97 == 1)
-    return t.deliveries.withColumn(D.TARGET, text).where(kept)
+    rows = t.deliveries.withColumn(D.TARGET, text)
+    return rows.unionByName(rows.withColumn("hotel_id", F.floor(key / 13) + 1000))
 
 
 def faulty_rows(t: Tables):
@@ -163,10 +164,19 @@ def trained(t: Tables):
 
 def scored_batch(t: Tables):
     rows, model = trained(t)
-    scored, _ = regression.score_batch(rows.where("split = 'test'"), model)
+    scored, _ = regression.score_batch(rows, model)
     return scored.select("order_id", regression.PREDICTED, "risk_status")
 
 
+def scored_by_hotel(t: Tables):
+    """All deliveries scored by the models of their hotels; some hotels have none, some rows do not fit."""
+    weights, _ = retraining.retrain_hotels(t.deliveries)
+    key = F.col("order_id")
+    jammed = F.when(key % 17 == 0, F.lit("Jammed")).otherwise(F.col("traffic_level"))
+    asked = t.deliveries.withColumns({"hotel_id": key % 30, "traffic_level": jammed})
+    return retraining.predict_for_hotels(asked, weights, regression.fallback_minutes(F.col("distance_km")))
+
+
 def hotel_reports(t: Tables):
     return retraining.retrain_hotels(t.deliveries)[1]
 
@@ -309,6 +319,14 @@ QUERIES = [
         **PRED_CTES,
     ),
     query("ml9_batch_prediction", scored_batch),
+    query(
+        "jn10_score_by_hotel",
+        lambda t: scored_by_hotel(t).select(
+            "order_id", "model_used", F.col("predicted_delivery_time_min").isNotNull().alias("scored")
+        ),
+        """select order_id, case when n >= 10 and order_id % 17 <> 0 then 'custom' else 'default' end as model_used, true as scored
+        from deliveries d left join (select hotel_id as h, count(*) as n from deliveries group by 1) on h = order_id % 30""",
+    ),
     query("ml10_retrain_hotels", hotel_reports),
     query(
         "ml10_rejected_rows",
@@ -325,8 +343,8 @@ QUERIES = [
         """select hotel_id, n as valid_rows, n >= 10 as eligible, case when n >= 10 then greatest(2, n // 5) end as test_rows,
         case when n >= 10 then n - greatest(2, n // 5) end as train_rows,
         case when n >= 10 then least(5, greatest(2, (n - greatest(2, n // 5)) // 3)) end as folds
-        from (select hotel_id, count(*) filter (order_id % 7 <> 0 and order_id % 11 <> 0) as n from deliveries
-          where hotel_id % 5 <> 2 or order_id % 97 = 1 group by hotel_id)""",
+        from (select hotel_id, count(*) filter (order_id % 7 <> 0 and order_id % 11 <> 0) as n
+          from (select hotel_id, order_id from deliveries union all select order_id // 13 + 1000, order_id from deliveries) group by hotel_id)""",
     ),
     query(
         "ml12_model_status",
@@ -335,10 +353,11 @@ QUERIES = [
     query(
         "ml12_report_counts",
         lambda t: retraining.model_status(
-            t.hotels, retraining.retrain_hotels(t.deliveries.where("hotel_id % 3 <> 1"))[1]
+            old_and_new_hotels(t), hotel_reports(t)
         ).select("hotel_id", "total_samples", "custom_model_available"),
         """select hotel_id, case when n >= 10 then n end as total_samples, coalesce(n >= 10, false) as custom_model_available
-        from hotels left join (select hotel_id, count(*) as n from deliveries where hotel_id % 3 <> 1 group by hotel_id) using (hotel_id)""",
+        from (select hotel_id from hotels union all select hotel_id + 1000 from hotels)
+        left join (select hotel_id, count(*) as n from deliveries group by hotel_id) using (hotel_id)""",
     ),
     query(
         "ml13_fallback_eta",

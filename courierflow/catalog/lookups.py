@@ -71,11 +71,17 @@ left join ranked_riders c on c.hotel_id = d.hotel_id and c.rnk = 3
 """
 
 
+def logged_and_new_orders(t: Tables):
+    """All orders, and as many that no log row belongs to."""
+    new = t.dispatch_orders.select("id", F.concat(F.lit("NEW-"), "id").alias("tracking_id"))
+    return t.dispatch_orders.select("id", "tracking_id").unionByName(new)
+
+
 def email_log(t: Tables):
-    """One or two log rows for two thirds of the orders."""
-    return t.dispatch_orders.where("dispatch_attempts > 1").select(
+    """A log row for every attempt of every order."""
+    return t.dispatch_orders.where("dispatch_attempts > 0").select(
         "tracking_id",
-        F.explode(F.sequence(F.lit(2), F.col("dispatch_attempts").cast("int"))).alias("attempt"),
+        F.explode(F.sequence(F.lit(1), F.col("dispatch_attempts").cast("int"))).alias("attempt"),
         F.col("id"),
     ).select("tracking_id", (F.col("id") * 10 + F.col("attempt")).alias("log_id"), F.lit("SIMULATED").alias("status"))
 
@@ -103,8 +109,13 @@ def observed_orders(t: Tables):
     return t.dispatch_events.select("event_id", (F.col("order_no") % 25).alias("hotel_id"), "ts")
 
 
+def orders_of_more_hotels(t: Tables):
+    """All orders, spread over more hotels than there are profiles."""
+    return t.dispatch_orders.select("id", (F.col("id") % 30).alias("hotel_id"))
+
+
 def model_registry(t: Tables):
-    return t.hotels.where("hotel_id % 4 = 1").select(
+    return t.hotels.select(
         "hotel_id", F.concat(F.lit("custom-"), "hotel_id").alias("model_id")
     )
 
@@ -143,12 +154,12 @@ QUERIES = [
     query(
         "jn1_hotel_defaults",
         lambda t: matching.with_hotel_defaults(
-            t.dispatch_orders.select("id", "hotel_id"), t.hotels.where("hotel_id % 6 <> 5")
+            orders_of_more_hotels(t), t.hotels
         ).select("id", "hotel_name", "hotel_address", "hotel_lat", "hotel_lng", "hotel_prep_min", "hotel_vehicle"),
         """select id, coalesce(h.hotel_name, 'Express Hub') as hotel_name, 'Dispatch Origin' as hotel_address,
         coalesce(nullif(latitude, 0), 40.7306e0) as hotel_lat, coalesce(nullif(longitude, 0), -73.9866e0) as hotel_lng,
         coalesce(nullif(default_prep_time_min, 0), 15.0e0) as hotel_prep_min, coalesce(default_vehicle_type, 'Scooter') as hotel_vehicle
-        from dispatch_orders d left join (select * from hotels where hotel_id % 6 <> 5) h on d.hotel_id = h.hotel_id""",
+        from (select id, id % 30 as hotel_id from dispatch_orders) d left join hotels h on d.hotel_id = h.hotel_id""",
     ),
     query(
         "jn2_nearest_courier",
@@ -179,10 +190,12 @@ QUERIES = [
     ),
     query(
         "jn4_audit_trail",
-        lambda t: matching.with_audit_trail(t.dispatch_orders.select("id", "tracking_id"), email_log(t)),
-        """select d.id, d.tracking_id, l.log_id, l.status from dispatch_orders d left join (
+        lambda t: matching.with_audit_trail(logged_and_new_orders(t), email_log(t)),
+        """select d.id, d.tracking_id, l.log_id, l.status from (select id, tracking_id from dispatch_orders
+          union all select id, 'NEW-' || id from dispatch_orders) d left join (
         select tracking_id, id * 10 + a as log_id, 'SIMULATED' as status
-        from dispatch_orders, (values (2), (3)) as v(a) where dispatch_attempts >= a) l on l.tracking_id = d.tracking_id""",
+        from dispatch_orders, range(1, 1 + (select max(dispatch_attempts) from dispatch_orders)::bigint) as v(a)
+        where dispatch_attempts >= a) l on l.tracking_id = d.tracking_id""",
     ),
     query(
         "jn5_assigned_rider",
@@ -239,9 +252,9 @@ QUERIES = [
     ),
     query(
         "jn10_choose_model",
-        lambda t: matching.choose_models(t.dispatch_orders.select("id", "hotel_id"), model_registry(t)),
-        """select id, hotel_id, case when hotel_id % 4 = 1 then 'custom-' || hotel_id else 'default' end as model_id
-        from dispatch_orders""",
+        lambda t: matching.choose_models(orders_of_more_hotels(t), model_registry(t)),
+        """select id, id % 30 as hotel_id, coalesce('custom-' || h.hotel_id, 'default') as model_id
+        from dispatch_orders left join hotels h on h.hotel_id = id % 30""",
     ),
     query(
         "ag1_fleet_stats",

@@ -45,6 +45,18 @@ def uploaded(t: Tables):
     return back.select(F.col("Order Ref").cast("bigint").alias("order_id"), *D.RAW_FEATURES, D.TARGET)
 
 
+def uploads(t: Tables):
+    """All deliveries in two sets of files: one with other names, one in the opposite order."""
+    path = work_path(t.spark, "uploads")
+    renamed = messy_names(t)
+    tables.write_csv(renamed, f"{path}/renamed")
+    plain = ["order_id", *D.RAW_FEATURES, D.TARGET]
+    ordered = t.deliveries.select(*[F.col(c).alias("Order Ref" if c == "order_id" else c) for c in reversed(plain)])
+    tables.write_csv(ordered, f"{path}/ordered")
+    back = tables.read_upload(t.spark, f"{path}/*")
+    return back.select(F.col("Order Ref").cast("bigint").alias("order_id"), *D.RAW_FEATURES, D.TARGET)
+
+
 def delivery_csv(t: Tables):
     path = work_path(t.spark, "deliveries")
     columns = D.DELIVERY_SCHEMA.fieldNames()
@@ -138,9 +150,8 @@ def reloaded_model(t: Tables):
     rows, model = trained(t)
     path = work_path(t.spark, "model")
     registry.save_model(model, path)
-    test = rows.where("split = 'test'")
-    before = regression.predict(test, model).select("order_id", F.col(regression.PREDICTED).alias("before"))
-    after = regression.predict(test, registry.load_model(path)).select(
+    before = regression.predict(rows, model).select("order_id", F.col(regression.PREDICTED).alias("before"))
+    after = regression.predict(rows, registry.load_model(path)).select(
         "order_id", F.col(regression.PREDICTED).alias("after")
     )
     return before.join(after, "order_id").withColumn("same", F.col("before") == F.col("after"))
@@ -180,6 +191,12 @@ QUERIES = [
         """select order_id, distance_km, weather, traffic_level, time_of_day, vehicle_type, preparation_time_min, courier_experience_yrs,
         cast(delivery_time_min as double) as delivery_time_min from deliveries""",
     ),
+    query(
+        "src1_read_uploads",
+        uploads,
+        """select order_id, distance_km, weather, traffic_level, time_of_day, vehicle_type, preparation_time_min, courier_experience_yrs,
+        cast(delivery_time_min as double) as delivery_time_min from (select * from deliveries union all select * from deliveries)""",
+    ),
     query(
         "src1_read_delivery_csv",
         delivery_csv,

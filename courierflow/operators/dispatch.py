@@ -121,6 +121,12 @@ def activation_outcomes(orders: DataFrame, requests: DataFrame) -> DataFrame:
     return judged.select("order_id", "event_id", "ts", "assigned_rider_id", outcome.alias("outcome"))
 
 
+def cascade_expired(orders: DataFrame, outcomes: DataFrame, couriers: DataFrame) -> DataFrame:
+    """Orders whose first click came too late, offered on at the time of that click."""
+    late = outcomes.where("outcome = 'expired'").select("order_id", F.col("ts").alias("clicked_at"))
+    return cascade(orders.join(late, "order_id"), couriers, F.col("clicked_at"), TIMED_OUT)
+
+
 def apply_activations(orders: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Orders after their activations; at most one request per order activates."""
     activated = outcomes.where("outcome = 'activated'").select(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,13 +59,50 @@ def read_delivery_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     return good, bad
 
 
+def files_by_header(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The CSV files below a path, grouped by their first line that is not blank.
+
+    One job looks at the first block of every file; a task returns one line per file.
+    """
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[str] = set()
+        for batch in batches:
+            first = batch.drop_duplicates("file")
+            first = first[~first["file"].isin(seen)]
+            seen.update(first["file"])
+            yield first
+
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "_metadata.file_block_start", "value")
+    lines = lines.where((F.col("file_block_start") == 0) & (F.trim("value") != "")).select("file", "value")
+    found: dict[str, list[str]] = {}
+    for row in sorted(lines.mapInPandas(heads, "file string, value string").collect()):
+        found.setdefault(row["value"], []).append(row["file"])
+    return found
+
+
 def read_upload(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with any column names and order: names normalized, numbers parsed.
+    """CSV files with any column names and order: names normalized, numbers parsed.
 
-    Only the header line is read to plan the columns; cells that are not numbers
-    become null in a typed column and keep their text in ``<column>_text``.
+    Columns are planned per distinct header, so files below one path may name and
+    order them differently; columns that a file lacks are null. Cells that are not
+    numbers become null in a typed column and keep their text in ``<column>_text``.
     """
-    raw = spark.read.option("header", True).csv(path)
+    reader = spark.read.option("header", True)
+    groups = [reader.csv([_literal(f) for f in files]) for files in files_by_header(spark, path).values()]
+    parts = [_planned(raw) for raw in groups or [reader.csv(path)]]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole
+
+
+def _literal(file: str) -> str:
+    """A file's path as a pattern that matches only that file."""
+    return "".join("\\" + c if c in "*?[]{}\\" else c for c in file)
+
+
+def _planned(raw: DataFrame) -> DataFrame:
     named = normalize_columns(raw)
     present = {c.lower() for c in named.columns}
     numbers = [c for c in [*D.NUMERIC_FEATURES, D.TARGET] if c in present]

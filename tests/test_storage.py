@@ -43,6 +43,21 @@ def test_upload_keeps_text_of_cells_that_are_no_numbers(spark):
     ]
 
 
+def test_uploads_with_different_headers(spark):
+    path = work_path(spark, "up loads")
+    sets = {
+        "a": ["Dist (km),Weather Type,traffic_level", "5.5,Clear,Low"],
+        "b": ["", "weather,traffic,distance_km", "Rainy,High,7", "Foggy,Low,far"],
+        "c": ["weather,distance_km", "Snowy,1.5"],
+    }
+    for name, lines in sets.items():
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{path}/{name}")
+    rows = T.read_upload(spark, f"{path}/*").orderBy("weather").collect()
+    assert [(r["weather"], r["traffic_level"], r["distance_km"], r["distance_km_text"]) for r in rows] == [
+        ("Clear", "Low", 5.5, None), ("Foggy", "Low", None, "far"), ("Rainy", "High", 7.0, None), ("Snowy", None, 1.5, None),
+    ]
+
+
 def test_history_line_quoting(spark):
     df = spark.createDataFrame(
         [(1, "2024", 'He said "hi"', 1.5, "Clear", "Low", "Night", "Car", 10.0, 2.0, 33.0, "Fast", "batch")],
