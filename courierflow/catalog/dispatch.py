@@ -192,7 +192,7 @@ select order_id, hotel_id, tracking_id, dlat as dest_lat, dlng as dest_lng, km a
 from (select *, {DISPATCH_KM} as km from (
   select q.order_id, q.hotel_id, q.created_at, q.hlat, q.hlng, coalesce(q.dest_lat, round(q.hlat + 0.015e0, 6)) as dlat,
     coalesce(q.dest_lng, round(q.hlng + 0.012e0, 6)) as dlng,
-    case when q.order_id % 3 = 0 then 'TRK-E' || q.order_id else 'TRK-' || upper(left(sha256(q.order_id || '|42'), 16)) end as tracking_id,
+    case when q.order_id % 3 = 0 then 'TRK-E' || q.order_id else 'TRK-' || upper(left(sha256(q.order_id || '|42'), 32)) end as tracking_id,
     case when windspeed >= 28 then 'Windy' when weathercode in (45,48) then 'Foggy'
       when weathercode in (51,53,55,56,57,61,63,65,66,67,80,81,82,95,96,99) then 'Rainy'
       when weathercode in (71,73,75,77,85,86) then 'Snowy' else 'Clear' end as weather,

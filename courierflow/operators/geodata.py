@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from courierflow import domain as D
 from courierflow.functions import geo
+from courierflow.operators.matching import with_centroid
 
 # The two default Manhattan points and the tolerances around them.
 DEFAULT_POINTS = [(40.7580, -73.9855), (40.7306, -73.9866)]
@@ -131,7 +132,7 @@ def resolve_coordinates(profiles: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def address_phrases(df: DataFrame, keys: list[str], address: str) -> DataFrame:
-    """Lookup candidates of an address, best first: segments, then 4-, 3- and 2-word runs."""
+    """Lookup candidates of an address, best first: all of it, segments, then 4-, 3- and 2-word runs."""
     clean = F.trim(F.col(address))
     segments = F.filter(
         F.transform(F.split(clean, "[,;/\n]+"), lambda s: F.trim(s)),
@@ -145,7 +146,7 @@ def address_phrases(df: DataFrame, keys: list[str], address: str) -> DataFrame:
         joined = F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, n), " "))
         return F.filter(joined, lambda p: ~F.lower(p).isin(STOP_PHRASES))
 
-    phrases = F.concat(segments, runs(4), runs(3), runs(2))
+    phrases = F.concat(F.array(clean), segments, runs(4), runs(3), runs(2))
     kept = df.where(F.coalesce(F.length(clean) > 0, F.lit(False)))
     return kept.select(*keys, F.posexplode(phrases).alias("priority", "phrase"))
 
@@ -159,3 +160,23 @@ def match_gazetteer(phrases: DataFrame, gazetteer: DataFrame, keys: list[str]) -
     named = phrases.withColumn("name_key", F.lower("phrase")).join(gazetteer, "name_key")
     best = F.min_by(F.struct("phrase", "lat", "lng"), F.col("priority")).alias("best")
     return named.groupBy(*keys).agg(best).select(*keys, "best.phrase", "best.lat", "best.lng")
+
+
+def locate_addresses(
+    df: DataFrame, keys: list[str], address: str, country: str, gazetteer: DataFrame, centroids: DataFrame
+) -> DataFrame:
+    """Every row's place: the best phrase of its address, else the centroid of its country.
+
+    ``source`` tells which; an unknown country stands at the default origin.
+    """
+    found = match_gazetteer(address_phrases(df, keys, address), gazetteer, keys)
+    asked = df.select(*keys, F.col(country).alias("country"))
+    placed = with_centroid(asked, centroids).join(found, keys, "left")
+    matched = F.col("phrase").isNotNull()
+    return placed.select(
+        *keys,
+        "phrase",
+        F.when(matched, F.col("lat")).otherwise(F.col("centroid_lat")).alias("lat"),
+        F.when(matched, F.col("lng")).otherwise(F.col("centroid_lng")).alias("lng"),
+        F.when(matched, "address").otherwise("country").alias("source"),
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,8 +99,8 @@ def read_upload(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _literal(file: str) -> str:
-    """A file's path as a pattern that matches only that file."""
-    return "".join("\\" + c if c in "*?[]{}\\" else c for c in file)
+    """A file's encoded path as a pattern that matches only that file."""
+    return "".join("\\" + c if c in "*?[]{}\\" else c for c in unquote(file))
 
 
 def _planned(raw: DataFrame) -> DataFrame:
