@@ -50,7 +50,7 @@ def with_hotel_defaults(orders: DataFrame, hotels: DataFrame) -> DataFrame:
 
 
 def with_audit_trail(orders: DataFrame, log: DataFrame) -> DataFrame:
-    """One row per order and log entry, newest entry first by ``log_id``; none gives nulls."""
+    """One row per order and log entry, in no order; an order without entries has nulls."""
     return orders.join(log, "tracking_id", "left")
 
 
