@@ -4,7 +4,7 @@ Every stage works on all that the one before kept, and all but the last return
 the columns of ``documents``:
 
 1. quality classifier: documents scored below the threshold go;
-2. n-gram Jaccard join: one document of each group of near duplicates stays;
+2. n-gram Jaccard join: one document of each group of near duplicates (5-word shingles, 0.8) stays;
 3. secret scans: every secret in a text gives way to a placeholder;
 4. mixing: documents are there as often as the mix takes them;
 5. packing: token pieces with their place in sequences of 4096.
@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from courierflow.llm import jaccard_join, mixing, packing, quality_classifier, queries, secret_scan
 from courierflow.session import written
 
+NEAR_WORDS = 5
+NEAR_SIMILARITY = (4, 5)
+
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     queries.prepare(spark)
@@ -25,7 +28,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     queries.prepare(spark)
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, words=NEAR_WORDS, similarity=NEAR_SIMILARITY)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

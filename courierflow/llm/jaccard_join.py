@@ -26,7 +26,7 @@ from courierflow.llm.words import mix, shingle_set
 from courierflow.session import written
 
 WORDS = 3
-NUM, DEN = 9, 10  # similarity at least NUM / DEN
+SIMILARITY = (9, 10)  # at least this fraction
 ORDER_BITS = 20  # counters behind the global order, at every input size
 NEED_BITS = 22
 FRAGMENTS = 8
@@ -73,9 +73,10 @@ class Order:
         return np.minimum((place * self.fragments).astype(np.int64), self.fragments - 1)
 
 
-def least_overlap(a, b):
+def least_overlap(a, b, similarity: tuple[int, int] = SIMILARITY):
     """The smallest overlap of two sets of these sizes that makes a link."""
-    return F.ceil(NUM * (a + b) / (NUM + DEN))
+    num, den = similarity
+    return F.ceil(num * (a + b) / (num + den))
 
 
 def global_order(docs: DataFrame, words: int = WORDS, fragments: int = FRAGMENTS) -> Order:
@@ -83,8 +84,9 @@ def global_order(docs: DataFrame, words: int = WORDS, fragments: int = FRAGMENTS
     return Order(bucket_counts(texts, lambda batch: _ids(batch.column(0), words), ORDER_BITS), fragments)
 
 
-def shingle_sets(docs: DataFrame, order: Order, words: int = WORDS) -> DataFrame:
+def shingle_sets(docs: DataFrame, order: Order, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """Per row of ``docs``: size and digest of its set, and its first n-grams."""
+    num, den = similarity
     held = docs.sparkSession.sparkContext.broadcast(order)
 
     def scan(batches):
@@ -96,7 +98,7 @@ def shingle_sets(docs: DataFrame, order: Order, words: int = WORDS) -> DataFrame
                 sizes.append(n)
                 h1.append(a)
                 h2.append(b)
-                first = held.value.sort(s, n - -(-NUM * n // DEN) + MEET if n else 0)
+                first = held.value.sort(s, n - -(-num * n // den) + MEET if n else 0)
                 prefixes.append(first.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -156,7 +158,9 @@ def _places(ids: pa.Array, bits: int) -> np.ndarray:
     return (mix(numbers) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, order: Order, words: int = WORDS) -> DataFrame:
+def verified(
+    pairs: DataFrame, docs: DataFrame, order: Order, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY
+) -> DataFrame:
     """Those pairs (a, b, size_a, size_b) whose overlaps, summed over the fragments, make a link."""
     parts = _parts(docs, pairs, order, words)
     cut = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
@@ -165,14 +169,15 @@ def verified(pairs: DataFrame, docs: DataFrame, order: Order, words: int = WORDS
     partial = cut.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
     counted = partial.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("shared"))
     total = counted.groupBy("a", "b", "size_a", "size_b").agg(F.sum("shared").alias("shared"))
-    return total.where(F.col("shared") >= least_overlap(F.col("size_a"), F.col("size_b"))).select("a", "b")
+    return total.where(F.col("shared") >= least_overlap(F.col("size_a"), F.col("size_b"), similarity)).select("a", "b")
 
 
-def jaccard_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def jaccard_groups(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
 
     Texts are compared as sets of lower-cased (A-Z) ``words``-word shingles; two
-    documents link if DEN * overlap >= NUM * union. Documents with equal sets are
+    documents link if overlap / union is at least ``similarity`` (a fraction as two
+    whole numbers, compared without rounding). Documents with equal sets are
     one class, represented by the smallest id.
 
     Null or blank texts have no shingle and link with nothing. Rows with a null
@@ -182,7 +187,7 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     Other columns are ignored.
     """
     order = global_order(docs, words)
-    sets = written(shingle_sets(docs, order, words), "shingle-sets")
+    sets = written(shingle_sets(docs, order, words, similarity), "shingle-sets")
     own = (
         sets.where("doc_id is not null and n_shingles > 0")
         .groupBy("doc_id")
@@ -195,13 +200,13 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
         ),
         "shingle-classes",
     )
-    postings = _shared_postings(classes)
+    postings = _shared_postings(classes, similarity)
 
     hubs = postings.groupBy("gram").agg(F.min(F.struct("place", "node", "size")).alias("hub"))
     near = postings.join(hubs, "gram").select(
         "node", "place", "size", F.col("hub.node").alias("node2"), F.col("hub.place").alias("place2"), F.col("hub.size").alias("size2")
     )
-    links = written(verified(written(_pairs(near), "jaccard-pairs"), docs, order, words), "jaccard-links")
+    links = written(verified(written(_pairs(near, similarity), "jaccard-pairs"), docs, order, words, similarity), "jaccard-links")
     roots = components(links)
 
     rooted = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -214,9 +219,9 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
         (rest["gram"] == other["gram"])
         & (F.col("root") != F.col("root2"))
         & (F.col("node") < F.col("node2"))
-        & _viable(),
+        & _viable(similarity),
     ).select("node", "place", "size", "node2", "place2", "size2")
-    more = written(verified(written(_pairs(apart), "jaccard-pairs"), docs, order, words), "jaccard-links")
+    more = written(verified(written(_pairs(apart, similarity), "jaccard-pairs"), docs, order, words, similarity), "jaccard-links")
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     member = own.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "node"), ["h1", "h2"])
@@ -228,7 +233,7 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     )
 
 
-def _shared_postings(classes: DataFrame) -> DataFrame:
+def _shared_postings(classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """(gram, node, place, size) of the first n-grams that another document has among its first ones.
 
     A document can link only if enough n-grams follow ``place``, counted against
@@ -236,32 +241,35 @@ def _shared_postings(classes: DataFrame) -> DataFrame:
     """
     postings = classes.select("node", "size", F.posexplode("prefix").alias("place", "gram"))
     seen = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least")).where("n > 1").drop("n")
+    num, den = similarity
     size = F.col("size")
-    partner = F.greatest("least", F.ceil(NUM * size / DEN))
+    partner = F.greatest("least", F.ceil(num * size / den))
+    enough = size - F.col("place") + MEET - 1 >= least_overlap(size, partner, similarity)
     return written(
-        postings.join(seen, "gram").where(size - F.col("place") + MEET - 1 >= least_overlap(size, partner)).select("gram", "node", "place", "size"),
+        postings.join(seen, "gram").where(enough).select("gram", "node", "place", "size"),
         "jaccard-postings",
     )
 
 
-def _viable():
+def _viable(similarity: tuple[int, int]):
     """Whether a pair for which these places are among the first MEET shared ones can overlap enough."""
+    num, den = similarity
     a, b = F.col("size"), F.col("size2")
     left = F.least(a - F.col("place"), b - F.col("place2"))
-    return (left + MEET - 1 >= least_overlap(a, b)) & (DEN * F.least(a, b) >= NUM * F.greatest(a, b))
+    return (left + MEET - 1 >= least_overlap(a, b, similarity)) & (den * F.least(a, b) >= num * F.greatest(a, b))
 
 
-def _pairs(near: DataFrame) -> DataFrame:
+def _pairs(near: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Each pair once, if it shares enough of its first n-grams."""
     first = F.col("node") > F.col("node2")
-    pairs = near.where((F.col("node") != F.col("node2")) & _viable()).select(
+    pairs = near.where((F.col("node") != F.col("node2")) & _viable(similarity)).select(
         F.greatest("node", "node2").alias("a"),
         F.least("node", "node2").alias("b"),
         F.when(first, F.col("size")).otherwise(F.col("size2")).alias("size_a"),
         F.when(first, F.col("size2")).otherwise(F.col("size")).alias("size_b"),
     )
     met = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("met"))
-    return met.where(F.col("met") >= F.least(F.lit(MEET), least_overlap(F.col("size_a"), F.col("size_b")))).drop("met")
+    return met.where(F.col("met") >= F.least(F.lit(MEET), least_overlap(F.col("size_a"), F.col("size_b"), similarity))).drop("met")
 
 
 def _parts(docs: DataFrame, pairs: DataFrame, order: Order, words: int) -> DataFrame:
@@ -276,13 +284,13 @@ def _parts(docs: DataFrame, pairs: DataFrame, order: Order, words: int) -> DataF
     return cut.groupBy("node", "fragment").agg(F.min_by("grams", F.struct("h1", "h2")).alias("grams"))
 
 
-def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id.
 
     Of rows that repeat a doc_id one stays. Rows with a null doc_id belong to no
     group and all stay.
     """
-    groups = jaccard_groups(docs.select("doc_id", "text"), words)
+    groups = jaccard_groups(docs.select("doc_id", "text"), words, similarity)
     dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
     # the whole row travels in one column, so no name of it can clash
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("node"))

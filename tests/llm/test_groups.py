@@ -7,6 +7,7 @@ import random
 import re
 import string
 
+import corpus_pipeline
 from courierflow.llm import jaccard_join, suffix_dedup
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -77,6 +78,38 @@ def test_one_of_each_group_stays(documents, odd_rows):
     assert ids.count(None) == 2
 
 
+def test_near_duplicate_stage_matches_brute_force(spark, documents):
+    rnd = random.Random(11)
+    names = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(3000)]
+    rows = []
+    for size in (60, 100, 100, 100, 150, 400):
+        base = rnd.choices(names, k=size)
+        rows.append(" ".join(base))
+        for changes in range(1, 8):
+            words = list(base)
+            for place in rnd.sample(range(size), changes):
+                words[place] = "new" + rnd.choice(names)
+            rows.append(" ".join(words))
+    rows = list(enumerate(rows))
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    pairs = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if b < a}
+    assert any(0.8 <= x < 0.9 for x in pairs.values())
+    root, changed = {i: i for i in sets}, True
+    while changed:
+        changed = False
+        for (a, b), x in pairs.items():
+            if x >= 0.8 and root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(rows), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(root.values()))
+    # two words of a hundred changed far apart: 86 of 106 five-word shingles are shared
+    words = rnd.sample(names, 100)
+    copy = [*words[:30], "x", *words[31:60], "y", *words[61:]]
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents([(1, " ".join(words)), (2, " ".join(copy))]), "").collect()
+    assert [r["doc_id"] for r in kept] == [1]
+
+
 def test_empty_tables(documents):
     assert jaccard_join.jaccard_groups(documents([])).collect() == []
     assert jaccard_join.keep_one(documents([])).collect() == []
