@@ -184,6 +184,32 @@ def test_cutoffs_keep_the_guarantee(spark, documents):
     assert not any(r["kept"] for r in judged if r["doc_id"] >= 10000)
 
 
+def test_cutoffs_of_small_and_rare_strata(spark, documents):
+    """500 good documents a language are enough, and fewer are pooled; a language without labels is judged by the pool."""
+    rows, quality = [], {}
+    for lang, good in (("de", 520), ("fr", 510), ("es", 100), ("it", 0)):
+        for i in range(good + 260):
+            doc_id, bad = len(rows), good <= i < good + 60
+            text = f"bad# ## word{i % 10} ### plain text with signs #### in it and more #####" if bad else f"plain words of a text that is quite good {i} and more of it here"
+            rows.append((doc_id, text, lang, "a"))
+            if lang != "it" and (i < good or bad and i % 2):
+                quality[doc_id] = 0 if bad else 1
+    labels = spark.createDataFrame(list(quality.items()), "doc_id long, quality int")
+    judged = {r["doc_id"]: r for r in quality_rules.judge(documents(rows), labels).collect()}
+    groups = quality_rules.cutoffs(quality_rules.features(documents(rows)), labels)
+    assert sorted(g.strata for g in groups) == [("=de",), ("=es", "=it"), ("=fr",)], groups
+    assert not any(r["base_failed"] for r in judged.values())
+    assert [i for i, text, _, _ in rows if judged[i]["kept"] == ("bad#" in text)] == []
+
+
+def test_a_cutoff_rejects_no_more_than_allowed():
+    # 1 % of 2000 at an error of 0.05: 12 rejections are the most that show it
+    assert quality_rules.most_rejected(2000, 0.01, 0.05) == 12
+    assert quality_rules._last_kept({9: 12, 8: 1, 0: 1987}, {9: 5, 8: 50}, 0.01, 0.05) == 8
+    assert quality_rules._last_kept({9: 13, 0: 1987}, {9: 5}, 0.01, 0.05) is None
+    assert quality_rules._last_kept({0: 298}, {9: 5}, 0.01, 0.05) is None
+
+
 # ---- language and quality
 
 LANGS = {"en": "the and with that from house river mountain", "de": "der und mit dass vom haus fluss gebirge", "fr": "le et avec que de maison riviere montagne"}
