@@ -6,6 +6,8 @@ encoding, length and test result are gathered, to set the thresholds.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,19 +20,33 @@ KINDS = ("assign", "access", "hex", "random")
 PLACEHOLDER = "[SECRET]"
 
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+# what stands between - and _ in a token, so without its prefix; whole tokens are no parts
+PART = r"(?<=[_-])[A-Za-z0-9+/]{20,}+|(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20,}+(?=[_-])"
 DIGITS = "0123456789"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-# An encoding is inferred from the characters a token has: the first whose
-# alphabet holds them all, with each of the named classes present.
+# An encoding is inferred from the characters a token has: the first, so the
+# smallest, whose alphabet holds them all. Whether they are spread evenly over it
+# is left to the tests.
 ENCODINGS = [
-    ("hex", DIGITS + "abcdef", ("[0-9]", "[a-f]")),
-    ("hex_upper", DIGITS + "ABCDEF", ("[0-9]", "[A-F]")),
-    ("base32", UPPER + "234567", ("[2-7]", "[A-Z]")),
-    ("base36", DIGITS + LOWER, ("[0-9]", "[a-z]")),
-    ("base64", UPPER + LOWER + DIGITS + "+/", ("[0-9]", "[A-Z]", "[a-z]")),
-    ("base64url", UPPER + LOWER + DIGITS + "-_", ("[0-9]", "[A-Z]", "[a-z]")),
+    ("hex", DIGITS + "abcdef"),
+    ("hex_upper", DIGITS + "ABCDEF"),
+    ("lower", LOWER),
+    ("upper", UPPER),
+    ("base32", UPPER + "234567"),
+    ("base32_lower", LOWER + "234567"),
+    ("base36_upper", DIGITS + UPPER),
+    ("base36", DIGITS + LOWER),
+    ("letters", UPPER + LOWER),
+    ("base64", UPPER + LOWER + DIGITS + "+/"),
+    ("base64url", UPPER + LOWER + DIGITS + "-_"),
 ]
+# Long words also are letters only, and too short for their uneven spread to show:
+# letters count only if even odds are likelier than those of prose, a to z per
+# mille (mean of English, German, French and Spanish), by this factor.
+ONLY_LETTERS = ("lower", "upper", "letters")
+PROSE = (86, 16, 33, 46, 143, 14, 19, 31, 69, 4, 6, 46, 29, 78, 63, 19, 6, 68, 75, 69, 41, 12, 11, 2, 8, 5)
+LIKELIER = 20
 FALSE_DISCOVERIES = 0.05
 BINS = 100
 SPAN = "array<struct<start:int,end:int,kind:int>>"
@@ -59,21 +75,27 @@ def _matched(df: DataFrame, name: str, pattern: str, kind: int) -> DataFrame:
 
 
 def _tests(df: DataFrame) -> DataFrame:
-    """Adds ``judged``: span, encoding, length band and p-value of every token with an encoding.
+    """Adds ``judged``: span, encoding, length band and p-value of every token, and part of one, with an encoding.
 
     p is the chance that a uniformly random token of the alphabet fares worse:
     chi-squared of the character counts, runs above and below the middle of the
     alphabet, and the correlation of neighbours, joined by Fisher's method.
     """
     cases = ""
-    for i, (_, alphabet, classes) in enumerate(ENCODINGS):
-        fits = [f"^[{alphabet}]+$".replace("-_", "_-"), *classes]
-        cases += " when " + " and ".join(f"rlike(t.token_text, '{x}')" for x in fits) + f" then {i}"
-    alphabets = "array(" + ", ".join(f"'{a}'" for _, a, _ in ENCODINGS) + ")"
+    for i, (_, alphabet) in enumerate(ENCODINGS):
+        fits = f"^[{alphabet}]+$".replace("-_", "_-")
+        cases += f" when rlike(t.token, '{fits}') then {i}"
+    alphabets = "array(" + ", ".join(f"'{a}'" for _, a in ENCODINGS) + ")"
+    letters = ", ".join(str(i) for i, (name, _) in enumerate(ENCODINGS) if name in ONLY_LETTERS)
+    odds = "array(" + ", ".join(f"{math.log(sum(PROSE) / 26 / x):.3f}D" for x in PROSE) + ")"
     normal = "(1 / (1 + exp(1.5976 * {z} + 0.07056 * {z} * {z} * {z})))"
     steps = [
-        ("tokens", "arrays_zip(token_text, token)"),
-        ("tokens", f"transform(tokens, t -> struct(t.token_text as token, t.token as span, case{cases} end as encoding))"),
+        (
+            "tokens",
+            "concat(transform(token, (s, i) -> struct(token_text[i] as token, s as span)),"
+            " transform(part, (s, i) -> struct(part_text[i] as token, s as span)))",
+        ),
+        ("tokens", f"transform(tokens, t -> struct(t.token, t.span, case{cases} end as encoding))"),
         ("tokens", "filter(tokens, t -> t.encoding is not null)"),
         ("tokens", f"transform(tokens, t -> struct(t.span, t.encoding, length(t.token) as n, element_at({alphabets}, t.encoding + 1) as alphabet, t.token))"),
         (
@@ -81,6 +103,11 @@ def _tests(df: DataFrame) -> DataFrame:
             "transform(tokens, t -> struct(t.span, t.encoding, cast(t.n as double) as n, cast(length(t.alphabet) as double) as a,"
             " transform(sequence(1, t.n), i -> instr(t.alphabet, substr(t.token, i, 1)) - 1) as codes))",
         ),
+        (
+            "tokens",
+            f"filter(tokens, t -> t.encoding not in ({letters})"
+            f" or aggregate(t.codes, 0D, (s, c) -> s + element_at({odds}, cast(c % 26 as int) + 1)) >= ln({LIKELIER}))",
+        ),
         (
             "tokens",
             "transform(tokens, t -> struct(t.span, t.encoding, t.n,"
@@ -118,7 +145,7 @@ def _scanned(docs: DataFrame, base: bool = True) -> DataFrame:
         df = _matched(df, "access", ACCESS, 1)
         df = _matched(df, "hex", HEX, 2)
         df = df.withColumn("base", F.expr("array_sort(concat(assign, access, hex))"))
-    return _tests(_matched(df, "token", TOKEN, 3))
+    return _tests(_matched(_matched(df, "token", TOKEN, 3), "part", PART, 3))
 
 
 def thresholds(docs: DataFrame, false_discoveries: float = FALSE_DISCOVERIES) -> dict[tuple[int, int], float]:
@@ -155,7 +182,7 @@ def find_secrets(docs: DataFrame, false_discoveries: float = FALSE_DISCOVERIES)
     """``docs`` with base, random and spans: arrays of (start, end, kind), in code points, end exclusive.
 
     ``kind`` counts KINDS from 0. Random tokens that touch a base span add
-    nothing and are left out. A null or empty text has no spans; an empty table
+    nothing and are left out, as are random parts of random tokens. A null or empty text has no spans; an empty table
     gives no rows; each row is judged by itself, so repeated rows repeat.
     """
     limits = thresholds(docs, false_discoveries)
@@ -171,6 +198,8 @@ def find_secrets(docs: DataFrame, false_discoveries: float = FALSE_DISCOVERIES)
               t -> named_struct('start', t.start, 'end', t.end, 'kind', 3))"""
         ),
     )
+    within = "exists(random, u -> u.start <= s.start and s.end <= u.end and u.end - u.start > s.end - s.start)"
+    df = df.withColumn("random", F.expr(f"filter(random, s -> not (array_contains(part, s) and {within}))"))
     return df.select("row", "text", "assign", "access", "hex", "base", "random", F.expr("array_sort(concat(base, random))").alias("spans"))
 
 
