@@ -101,7 +101,7 @@ def _tests(df: DataFrame) -> DataFrame:
         (
             "tokens",
             "transform(tokens, t -> struct(t.span, t.encoding, cast(t.n as double) as n, cast(length(t.alphabet) as double) as a,"
-            " transform(sequence(1, t.n), i -> instr(t.alphabet, substr(t.token, i, 1)) - 1) as codes))",
+            " transform(slice(split(t.token, ''), 1, t.n), c -> instr(t.alphabet, c) - 1) as codes))",
         ),
         (
             "tokens",
