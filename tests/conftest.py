@@ -7,10 +7,11 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
+sys.path.insert(0, os.path.join(ROOT, "tests"))
 
-from courierflow.session import build_session  # noqa: E402
+from oracle import SMALL  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
+from courierflow.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SMALL
-from oracle import compare, connect
+from oracle import SMALL, compare, connect
 
 from __spark_entry__ import oracle_sql, queries
 
