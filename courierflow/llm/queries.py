@@ -11,6 +11,7 @@ from courierflow.llm import (
     chat_format,
     jaccard_join,
     language_id,
+    merkle_manifest,
     mixing,
     packing,
     quality_classifier,
@@ -21,7 +22,11 @@ from courierflow.llm import (
 )
 
 # Texts differ a lot in length: small Arrow batches keep Python workers small.
-SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512"}
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    # a recursive query takes one step a tree level; its rows grow with the table
+    "spark.sql.cteRecursionRowLimit": "-1",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +98,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(formatted).withColumnRenamed("tree_id", "conv_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -104,8 +113,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing_sources": op8_mixing_sources,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
+# crc32 of a text of ASCII characters, by its definition: DuckDB has no such function
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length({0}) + 1),
+    lambda i: ascii({0}[i])::bigint)), lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), repeat([0::bigint], 8)),
+    lambda c, _: xor(c >> 1, 3988292384 * (c & 1)))))"""
+
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
 with recursive words as (
@@ -184,6 +199,54 @@ with turns as (
 select conv_id, n_turns, sha256(whole) as turns_sha256, length(learned) as loss_chars, sha256(learned) as loss_sha256, formatted_chars
 from joined
 """,
+    "op11_merkle_manifest": """
+with recursive framed as (
+  select doc_id, source, text, coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-')
+    || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') as head,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low,
+    cast(doc_id as varchar) as name from documents
+), hashed as (
+  select doc_id, coalesce('=' || source, '-') as tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+    case when @CRC@ % 5 = 0 then sha256(head || coalesce(strlen(low) || ':' || low, '-')) end as other from framed
+), leaves as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by tree) as size
+  from hashed
+), nodes as (
+  select tree, 0 as level, idx, size, leaf as hash from leaves
+  union all
+  select tree, level + 1, idx // 16, (size + 15) // 16, sha256(string_agg(hash, '' order by idx)) from nodes
+  where size > 1 group by tree, level, idx // 16, size
+), subroots as (
+  select tree, hash, row_number() over (order by tree <> '-', tree) - 1 as idx, count(*) over () as size from nodes where size = 1
+), tops as (
+  select '/' as tree, 0 as level, idx, size, hash from subroots
+  union all
+  select tree, level + 1, idx // 16, (size + 15) // 16, sha256(string_agg(hash, '' order by idx)) from tops
+  where size > 1 group by tree, level, idx // 16, size
+), joined as (
+  select tree, level, idx, size, hash from nodes where size > 1 union all select tree, level, idx, size, hash from tops where size > 1
+), runs as (
+  select tree, level, idx // 16 as run, list(hash order by idx) as children from joined group by tree, level, idx // 16
+), climb as (
+  select tree as home, idx as place, 0 as step, case when l.size > 1 then tree else '/' end as tree, 0 as level,
+    case when l.size > 1 then idx else (select s.idx from subroots s where s.tree = l.tree) end as idx,
+    coalesce(other, leaf) as fold, '' as proof from leaves l
+  union all
+  select c.home, c.place, c.step + 1, case when x.up then '/' else c.tree end, case when x.up then 0 else c.level + 1 end,
+    case when x.up then x.rank else c.idx // 16 end,
+    sha256(array_to_string(list_transform(r.children, lambda h, j: case when j - 1 = c.idx % 16 then c.fold else h end), '')),
+    c.proof || array_to_string(list_filter(r.children, lambda h, j: j - 1 <> c.idx % 16), '')
+  from climb c join runs r on r.tree = c.tree and r.level = c.level and r.run = c.idx // 16
+  join (select n.tree, n.level, n.idx // 16 as run, n.size <= 16 and n.tree <> '/' as up, any_value(s.idx) as rank
+    from joined n left join subroots s on s.tree = n.tree group by all) x on x.tree = r.tree and x.level = r.level and x.run = r.run
+), arrived as (
+  select home, place, arg_max(fold, step) as folded_root, sha256(arg_max(proof, step)) as proof_sha256 from climb group by home, place
+)
+select l.doc_id, l.leaf, s.hash as subroot, t.hash as root, a.proof_sha256, a.folded_root, a.folded_root = t.hash as verified
+from leaves l join subroots s on s.tree = l.tree join arrived a on a.home = l.tree and a.place = l.idx
+join (select hash from tops where size = 1) t on true
+""".replace("@CRC@", CRC32.format("name")),
 }
 
 
