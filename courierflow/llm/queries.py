@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from courierflow.llm import (
     chat_format,
+    decontamination,
     jaccard_join,
     language_id,
     merkle_manifest,
@@ -102,6 +103,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.digests(found)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -114,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_benchmark_decontamination": op13_benchmark_decontamination,
 }
 
 # crc32 of a text of ASCII characters, by its definition: DuckDB has no such function
@@ -247,6 +254,30 @@ select l.doc_id, l.leaf, s.hash as subroot, t.hash as root, a.proof_sha256, a.fo
 from leaves l join subroots s on s.tree = l.tree join arrived a on a.home = l.tree and a.place = l.idx
 join (select hash from tops where size = 1) t on true
 """.replace("@CRC@", CRC32.format("name")),
+    "op13_benchmark_decontamination": r"""
+with words as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents
+), items as (
+  select cast(item_id as varchar) as item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from benchmark
+), windows as (
+  select distinct item_id, least(10, len(w)) as n, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2),
+    lambda i: array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) as gram from items where len(w) > 0
+), lengths as (select distinct n from windows
+), grams as (
+  select doc_id, n, unnest(range(0, len(w) - n + 1)) as place, unnest(list_transform(range(1, len(w) - n + 2),
+    lambda i: array_to_string(w[i:i + n - 1], ' '))) as gram from words join lengths on len(w) >= n
+), hits as (select doc_id, place, g.n, item_id from grams g join windows x on x.gram = g.gram and x.n = g.n
+), places as (
+  select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(place, place + n)) as p from hits) group by doc_id
+), found as (
+  select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as ids from hits group by doc_id
+)
+select w.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from words w left join places p on p.doc_id = w.doc_id left join found f on f.doc_id = w.doc_id
+""",
 }
 
 
