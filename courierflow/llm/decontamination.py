@@ -167,7 +167,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broad
     size, lengths = windows.agg(
         F.sum(F.octet_length("gram") + F.octet_length("item_id") + 100), F.sort_array(F.collect_set("n"))
     ).first()
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct("*").alias("row"))
     if (size or 0) <= broadcast_bytes:
         return _by_set(rows, windows, lengths)
     return _by_join(rows, windows, lengths)
@@ -200,7 +200,7 @@ def _by_set(rows: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFram
 
     def scan(batches):
         for batch in batches:
-            judged = [judge(t) for t in batch.column("text").to_pylist()]
+            judged = [judge(t) for t in batch.column("row").field("text").to_pylist()]
             columns = [pa.array(c, kind) for c, (_, kind) in zip(zip(*judged), HITS_ARROW)] if judged else [
                 pa.array([], kind) for _, kind in HITS_ARROW
             ]
@@ -235,8 +235,9 @@ def _by_join(rows: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFra
                 [pa.array([r[i] for r in out], kind) for i, (_, kind) in enumerate(names)], [c for c, _ in names]
             )
 
-    keyed = rows.withColumn("key", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    texts = keyed.select("key", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("row.text", F.lit(""))
+    keyed = rows.withColumn("key", F.unhex(F.sha2(text, 256)))
+    texts = keyed.select("key", text.alias("text"))
     found = written(texts.mapInArrow(scan, "key binary, n_words bigint, at bigint, n int, gram string").distinct(), "candidates")
     known = found.where("gram is not null").join(windows.select("gram", "item_id"), "gram")
     grouped = known.groupBy("key").agg(
@@ -257,7 +258,7 @@ def _by_join(rows: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFra
         lambda done: F.filter(F.concat(done["out"], F.array(done["last"])), lambda s: s["start"] >= 0),
     )
     judged = found.where("gram is null").select("key", "n_words").join(grouped.withColumn("spans", folded).drop("hits"), "key", "left")
-    out = keyed.drop("text").join(judged, "key", "left")
+    out = keyed.join(judged, "key", "left")
     return out.select(
         "row", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("spans", empty).alias("spans"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
@@ -288,7 +289,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, most_hit: float = 1.0,
     def cut(batches):
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+            for text, spans in zip(batch.column("row").field("text").to_pylist(), batch.column("spans").to_pylist()):
                 if spans:
                     found, raw, at, parts = Words(text), text.encode("utf-8", "surrogatepass"), 0, []
                     for s in spans:
@@ -298,7 +299,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, most_hit: float = 1.0,
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    rows = kept.select("row", F.col("row.text").cast("string").alias("text"), "spans")
+    rows = kept.select("row", "spans")
     out = rows.mapInArrow(cut, T.StructType([rows.schema["row"], T.StructField("text", T.StringType())]))
     return out.select(
         *[

@@ -15,6 +15,7 @@ from courierflow.llm import (
     merkle_manifest,
     mixing,
     packing,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     secret_scan,
@@ -103,6 +104,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), rewrite=periodic_runs.planted_period)
+    return periodic_runs.digests(found)
+
+
 def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontamination.digests(found)
@@ -120,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_periodic_run_detection": op12_periodic_run_detection,
     "op13_benchmark_decontamination": op13_benchmark_decontamination,
 }
 
@@ -253,6 +260,38 @@ with recursive framed as (
 select l.doc_id, l.leaf, s.hash as subroot, t.hash as root, a.proof_sha256, a.folded_root, a.folded_root = t.hash as verified
 from leaves l join subroots s on s.tree = l.tree join arrived a on a.home = l.tree and a.place = l.idx
 join (select hash from tops where size = 1) t on true
+""".replace("@CRC@", CRC32.format("name")),
+    "op12_periodic_run_detection": r"""
+with plain as (
+  select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w, cast(doc_id as varchar) as name from documents
+), hashed as (select *, len(w) as n, @CRC@ as h from plain
+), placed as (
+  select *, case when h % 10 = 0 and n > 0 then (h // 10) % n end as a,
+    case when h % 10 = 0 and n > 0 then 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) end as p from hashed
+), words as (
+  select doc_id, case when a is null then w else
+    list_transform(range(0, n), lambda i: w[1 + case when i >= a then a + (i - a) % p else i end]) end as w from placed
+), grams as (
+  select doc_id, unnest(range(0, len(w) - 5)) as i, unnest(list_transform(range(1, len(w) - 4), lambda k: array_to_string(w[k:k + 5], ' '))) as gram
+  from words where len(w) >= 12
+), pairs as (
+  select a.doc_id, a.i, b.i - a.i as q from grams a join grams b on a.doc_id = b.doc_id and a.gram = b.gram and a.i < b.i
+), islands as (
+  select doc_id, q, min(i) as s, count(*) + 5 + q as length
+  from (select *, i - row_number() over (partition by doc_id, q order by i) as island from pairs) group by doc_id, q, island
+), runs as (
+  select doc_id, s, length, min(q) as q from islands where length >= greatest(12, 2 * q) group by doc_id, s, length
+), listed as (
+  select doc_id, count(*) as n_runs, string_agg(s || ',' || length || ',' || q || chr(10), '' order by s, q) as lines,
+    arg_max({'s': s, 'length': length, 'q': q}, (length, -s, -q)) as best from runs group by doc_id
+), tokens as (select doc_id, unnest(range(0, len(w))) as i, unnest(w) as word from words
+), kept as (
+  select doc_id, string_agg(word, ' ' order by i) as collapsed from tokens t
+  where not exists (select 1 from runs r where r.doc_id = t.doc_id and t.i >= r.s + r.q and t.i < r.s + r.length) group by doc_id
+)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, best.s as start, best.length as length, best.q as period,
+  1000 * best.length // best.q as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(collapsed, '')) as collapsed_sha256
+from words d left join listed l on l.doc_id = d.doc_id left join kept k on k.doc_id = d.doc_id
 """.replace("@CRC@", CRC32.format("name")),
     "op13_benchmark_decontamination": r"""
 with words as (
