@@ -24,7 +24,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     con = duckdb.connect()
-    for name in ("documents", "embeddings", "conversations", "labels"):
+    for name in ("documents", "embeddings", "conversations", "labels", "benchmark"):
         con.execute(f"create view {name} as select * from '{SMALL}/{name}.parquet'")
     return con
 
@@ -36,7 +36,7 @@ def test_matches_sql(spark, con, key):
 
 def test_all_are_registered():
     keys = queries()
-    assert all(any(k.startswith(f"op{n}_") for k in keys) for n in range(1, 11)) and "pipeline" in keys
+    assert all(any(k.startswith(f"op{n}_") for k in keys) for n in range(1, 14)) and "pipeline" in keys
 
 
 def test_pipeline_stages(spark):
