@@ -7,9 +7,11 @@ its children's digests, and the run and place it takes part in one level up. A
 recursive query walks these links from the lowest runs to the root.
 
 The leaves of one run share all siblings above their own run, so the query has
-one row a run: the folded digest of each of its leaves, and the siblings met so
-far, written once instead of 16 times. Nothing is gathered by source: places come
-from a range sort and prefix sums, and each grouping has at most 16 rows.
+one row a run: the siblings met so far, written once instead of 16 times, and the
+folded digest of each tampered leaf and of the original ones, which are one from
+the first run on. Digests are kept as 32 bytes and hashed as hex text. Nothing is
+gathered by source: places come from a range sort and prefix sums, and each
+grouping has at most 16 rows.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from courierflow.session import written
 FAN = 16
 LEAF_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 TOP = "/"  # the tree over the sources; names of sources begin with "=" or are "-"
+BROADCAST_BYTES = 32 << 20  # of the runs above the lowest; more are joined by a shuffle
+RUN_BYTES = 700  # of one such run, at most, names of sources apart
 ROW_BITS = 33  # monotonically_increasing_id keeps the row of its partition in so many bits
 NO_ROWS = "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
@@ -36,7 +40,16 @@ def framed(value: Column) -> Column:
 
 
 def leaf_digest(*values: Column) -> Column:
-    return F.sha2(F.concat(*[framed(v) for v in values]), 256)
+    return F.unhex(F.sha2(F.concat(*[framed(v) for v in values]), 256))
+
+
+def as_text(digests: Column) -> Column:
+    return F.lower(F.hex(digests))
+
+
+def digest_of(digests: Column) -> Column:
+    """The digest of digests that stand one after the other."""
+    return F.unhex(F.sha2(as_text(digests), 256))
 
 
 def _every_fifth(doc_id: Column) -> Column:
@@ -76,14 +89,13 @@ def ranked(rows: DataFrame, *order: str) -> DataFrame:
 
 def _runs(nodes: DataFrame, level: int, *carried: str) -> DataFrame:
     """One row for FAN consecutive ``nodes`` (tree, idx, size, hash); each carried column becomes an array in their order."""
-    children = F.array_sort(F.collect_list(F.struct("idx", "hash", *carried)))
-    digest = F.when(F.col("size") == 1, F.col("children")[0]).otherwise(F.sha2(F.array_join("children", ""), 256))
+    found = F.array_sort(F.collect_list(F.struct("idx", "hash", *carried)))
+    children = F.expr("aggregate(found.hash, cast('' as binary), (done, x) -> concat(done, x))")
     return (
         nodes.groupBy("tree", F.expr(f"idx div {FAN}").alias("run"), "size")
-        .agg(children.alias("found"))
-        .select("tree", "run", "size", F.lit(level).alias("level"), F.col("found.hash").alias("children"),
-                *[F.col("found").getField(c).alias(c) for c in carried])
-        .withColumn("digest", digest)
+        .agg(found.alias("found"))
+        .select("tree", "run", "size", F.lit(level).alias("level"), children.alias("children"), *[F.col("found").getField(c).alias(c) for c in carried])
+        .withColumn("digest", F.when(F.col("size") == 1, F.col("children")).otherwise(digest_of(F.col("children"))))
     )
 
 
@@ -163,28 +175,38 @@ def manifest(docs: DataFrame, tampered: Column | None = None, tampering=_lower_a
     nodes = _linked(every.where("level > 0"), tops)
     for level in upper:
         nodes = nodes.unionByName(_linked(level, tops))
-    climbed = written(_climb(_linked(lowest, tops), written(nodes, "nodes")), "climbed")
-
-    rows = climbed.join(lowest.select("tree", "run", "children", "doc_id"), ["tree", "run"])
-    rows = rows.select("*", F.posexplode("doc_id").alias("pos", "id"))
-    folded = F.col("folds")[F.col("pos")]
-    siblings = F.array_join(F.filter("children", lambda _, j: j != F.col("pos")), "")
+    nodes = written(nodes.select("tree", "level", "run", "children", "up_tree", "up_level", "up_run", "up_pos"), "nodes")
+    climbed = written(_climb(_linked(lowest, tops), _sized(nodes)), "climbed")
+
+    rows = climbed.join(lowest.select("tree", "run", "children", "doc_id", "other"), ["tree", "run"])
+    rows = rows.select("*", F.posexplode(F.arrays_zip("doc_id", "other")).alias("pos", "child"))
+    earlier = F.size(F.filter(F.slice("other", 1, F.col("pos")), lambda x: x.isNotNull()))
+    folded = F.col("folds")[F.when(F.col("child.other").isNull(), 0).otherwise(earlier + 1)]
+    siblings = F.expr("concat(substring(children, 1, 32 * pos), substring(children, 32 * pos + 33))")
+    root = F.lit(bytes(root))
     return rows.select(
-        F.col("id").alias("doc_id"),
-        F.col("children")[F.col("pos")].alias("leaf"),
-        F.coalesce("subroot", F.lit(root)).alias("subroot"),
-        F.lit(root).alias("root"),
-        F.sha2(F.concat(siblings, "proof"), 256).alias("proof_sha256"),
-        folded.alias("folded_root"),
-        (folded == F.lit(root)).alias("verified"),
+        F.col("child.doc_id").alias("doc_id"),
+        as_text(F.expr("substring(children, 32 * pos + 1, 32)")).alias("leaf"),
+        as_text(F.coalesce("subroot", root)).alias("subroot"),
+        as_text(root).alias("root"),
+        F.sha2(as_text(F.concat(siblings, "proof")), 256).alias("proof_sha256"),
+        as_text(folded).alias("folded_root"),
+        (folded == root).alias("verified"),
     )
 
 
+def _sized(nodes: DataFrame) -> DataFrame:
+    """``nodes``, broadcast while they are within BROADCAST_BYTES."""
+    size = nodes.agg(F.sum(F.lit(RUN_BYTES) + 2 * F.octet_length("tree"))).first()[0] or 0
+    return F.broadcast(nodes) if size <= BROADCAST_BYTES else nodes
+
+
 def _climb(lowest: DataFrame, nodes: DataFrame) -> DataFrame:
     """tree, run, folds, proof and subroot of every lowest run once it has reached the root.
 
-    folds[k] is the digest that arrives at the root when child k is replaced by
-    its other digest; proof has the siblings from the run's own digest upwards; subroot is null
+    folds[0] is the digest that arrives at the root from the original leaves, and the
+    next ones those that arrive when one child is replaced by its other digest, for each child that has
+    one; proof has the siblings from the run's own digest upwards; subroot is null
     where there is one source only.
     """
     spark = lowest.sparkSession
@@ -195,16 +217,18 @@ def _climb(lowest: DataFrame, nodes: DataFrame) -> DataFrame:
         f"""
         with recursive climb as (
           select tree, run,
-            transform(other, (x, k) -> case
-              when size = 1 then coalesce(x, children[k])
-              else sha2(array_join(transform(children, (c, j) -> if(j = k, coalesce(x, c), c)), ''), 256) end) as folds,
-            '' as proof, cast(null as string) as subroot, up_tree, up_level, up_run, up_pos
-          from lowest_{name}
+            transform(
+              concat(array(children), transform(filter(zipped, x -> x.other is not null), x ->
+                concat(substring(children, 1, 32 * x.k), x.other, substring(children, 32 * x.k + 33)))),
+              x -> if(size = 1, x, unhex(sha2(lower(hex(x)), 256)))) as folds,
+            cast('' as binary) as proof, cast(null as binary) as subroot, up_tree, up_level, up_run, up_pos
+          from (select *, transform(other, (x, k) -> named_struct('k', k, 'other', x)) as zipped from lowest_{name})
           union all
           select c.tree, c.run,
-            transform(c.folds, f -> sha2(array_join(transform(n.children, (x, j) -> if(j = c.up_pos, f, x)), ''), 256)),
-            concat(c.proof, array_join(filter(n.children, (x, j) -> j <> c.up_pos), '')),
-            if(n.tree = '{TOP}' and n.level = 0, n.children[c.up_pos], c.subroot),
+            transform(c.folds, f -> unhex(sha2(lower(hex(concat(
+              substring(n.children, 1, 32 * c.up_pos), f, substring(n.children, 32 * c.up_pos + 33)))), 256))),
+            concat(c.proof, substring(n.children, 1, 32 * c.up_pos), substring(n.children, 32 * c.up_pos + 33)),
+            if(n.tree = '{TOP}' and n.level = 0, substring(n.children, 32 * c.up_pos + 1, 32), c.subroot),
             n.up_tree, n.up_level, n.up_run, n.up_pos
           from climb c join nodes_{name} n on n.tree = c.up_tree and n.level = c.up_level and n.run = c.up_run
         )
