@@ -18,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from courierflow.llm.graph import components
+from courierflow.llm.ranking import ranked
 from courierflow.llm.sketch import bucket_counts
 from courierflow.llm.words import mix, shingle_set
 from courierflow.session import written
@@ -287,15 +287,39 @@ def _parts(docs: DataFrame, pairs: DataFrame, order: Order, words: int) -> DataF
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id.
 
-    Of rows that repeat a doc_id one stays. Rows with a null doc_id belong to no
-    group and all stay.
+    Rows equal in doc_id and text are one document, of which one row stays. Texts that
+    share an id with other texts are documents of their own; they come after all others, in
+    the order of their ids, then of a digest of the text. Rows without doc_id belong to no
+    group and all stay, and so do documents without a word. An empty table stays empty.
     """
-    groups = jaccard_groups(docs.select("doc_id", "text"), words, similarity)
-    dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
     # the whole row travels in one column, so no name of it can clash
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("node"))
-    kept = rows.join(dropped, F.col("node") == F.col("dropped_id"), "left_anti")
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("node"),
+        F.coalesce(F.md5("text"), F.lit("")).alias("text_key"),
+    )
+    texts = written(rows.where("node is not null").groupBy("node", "text_key").agg(F.count(F.lit(1)).alias("n")), "texts-of-ids")
+    shared = texts.groupBy("node").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("node")
+    if not shared.isEmpty():
+        rows = _numbered(rows, texts, shared)
+        texts = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    groups = jaccard_groups(rows.select(F.col("node").alias("doc_id"), F.col("row.text").alias("text")), words, similarity)
+    dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("node"))
+    repeated = texts.where("n > 1").select("node")
+    single = rows.join(dropped.unionByName(repeated).distinct(), "node", "left_anti").select("row")
+    # of repeated rows one, chosen before anything is shuffled
+    left = repeated.join(dropped.distinct(), "node", "left_anti")
     digest = F.xxhash64("row")
-    same = Window.partitionBy("node", F.when(F.col("node").isNull(), digest)).orderBy(digest)
-    kept = kept.withColumn("copy", F.row_number().over(same)).where(F.col("node").isNull() | (F.col("copy") == 1))
-    return kept.select([F.col("row").getField(c).alias(c) for c in docs.columns])
+    one = rows.join(left, "node", "left_semi").groupBy("node").agg(F.min_by("row", digest).alias("row")).select("row")
+    return single.unionByName(one).select([F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def _numbered(rows: DataFrame, texts: DataFrame, shared: DataFrame) -> DataFrame:
+    """``rows`` with a number of its own, beyond all ids, as node of each text that shares its id with others."""
+    own = texts.join(shared, "node", "left_semi").select(F.lit("").alias("tree"), "node", "text_key")
+    numbers = ranked(own, "node", "text_key").select("node", "text_key", "idx", "size")
+    low, high = texts.agg(F.min("node"), F.max("node")).first()
+    first = F.lit(high + 1) if high < 1 << 62 else F.lit(low) - F.col("size")
+    numbers = numbers.select("node", "text_key", (first + F.col("idx")).alias("number"))
+    return written(
+        rows.join(numbers, ["node", "text_key"], "left").select("row", F.coalesce("number", "node").alias("node"), "text_key"), "numbered"
+    )

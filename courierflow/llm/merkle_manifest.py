@@ -20,8 +20,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from courierflow.llm.ranking import ranked
 from courierflow.session import written
 
 FAN = 16
@@ -29,7 +29,6 @@ LEAF_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 TOP = "/"  # the tree over the sources; names of sources begin with "=" or are "-"
 BROADCAST_BYTES = 32 << 20  # of the runs above the lowest; more are joined by a shuffle
 RUN_BYTES = 700  # of one such run, at most, names of sources apart
-ROW_BITS = 33  # monotonically_increasing_id keeps the row of its partition in so many bits
 NO_ROWS = "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
 
@@ -60,33 +59,6 @@ def _lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def ranked(rows: DataFrame, *order: str) -> DataFrame:
-    """``rows`` (with a column tree) plus idx, the place within the tree by ``order``, and size, the rows of the tree.
-
-    A range sort over (tree, order) cuts large trees into many partitions; each row
-    keeps its partition and its place there in a written table, so both stay what
-    they are when tasks are repeated, and the partitions' counts are added up.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["tree", *order]
-    placed = written(
-        rows.repartitionByRange(parts, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("row", F.monotonically_increasing_id())
-        .withColumn("part", F.shiftright("row", ROW_BITS).cast("int")),
-        "ranked",
-    )
-    per = placed.groupBy("tree", "part").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
-    whole = Window.partitionBy("tree")
-    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(
-        "tree", "part",
-        (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"),
-        F.sum("n").over(whole).alias("size"),
-    )
-    return placed.join(per, ["tree", "part"]).withColumn("idx", F.col("row") + F.col("shift")).drop("row", "part", "shift")
-
-
 def _runs(nodes: DataFrame, level: int, *carried: str) -> DataFrame:
     """One row for FAN consecutive ``nodes`` (tree, idx, size, hash); each carried column becomes an array in their order."""
     found = F.array_sort(F.collect_list(F.struct("idx", "hash", *carried)))

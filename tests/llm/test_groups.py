@@ -110,6 +110,26 @@ def test_near_duplicate_stage_matches_brute_force(spark, documents):
     assert [r["doc_id"] for r in kept] == [1]
 
 
+def test_texts_that_share_an_id_are_kept(spark, documents):
+    rnd = random.Random(4)
+    names = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(400)]
+    texts = [" ".join(rnd.choices(names, k=60)) for _ in range(30)]
+    a, b, c = texts[:3]
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, c), (4, c), (5, ""), (5, None), (5, "")]
+    rows += [(rnd.randrange(10, 25), rnd.choice(texts[3:])) for _ in range(80)] + [(None, a), (None, a)]
+    ids = {}
+    for i, _ in set(r for r in rows if r[0] is not None):
+        ids[i] = ids.get(i, 0) + 1
+    wanted = {}
+    for i, text in sorted({(i, t or "") for i, t in rows if i is not None}, key=lambda r: (ids[r[0]] > 1, r[0], hashlib.md5(r[1].encode()).hexdigest())):
+        wanted.setdefault(text if text else (i, text), i)
+    kept = jaccard_join.keep_one(documents(rows, clashing=True), words=5, similarity=(4, 5)).collect()
+    found = sorted(((r["text"] or (r["doc_id"], r["text"] or "")), r["doc_id"]) for r in kept if r["doc_id"] is not None and r["text"])
+    assert found == sorted((t, i) for t, i in wanted.items() if isinstance(t, str))
+    assert sum(r["doc_id"] is None for r in kept) == 2
+    assert sorted(str(r["text"]) for r in kept if r["doc_id"] == 5) == ["", "None"]
+
+
 def test_empty_tables(documents):
     assert jaccard_join.jaccard_groups(documents([])).collect() == []
     assert jaccard_join.keep_one(documents([])).collect() == []
