@@ -63,7 +63,31 @@ def run_lifecycle(t: Tables) -> DataFrame:
         lifecycle_events(stream, t), path, work_path(t.spark, "lifecycle-checkpoint"), DELAY
     )
     done.awaitTermination()
-    return t.spark.read.schema(lifecycle.OUTPUT_SCHEMA).parquet(path)
+    return lifecycle.read_lifecycle(t.spark, path)
+
+
+LATENESS = "case when event_id % 97 = 13 then 9 else 0 end"  # days from an event to its arrival
+
+
+def late_rows(t: Tables) -> DataFrame:
+    """The log arrives in parts of eight days, some events nine days after their time; the late side of the stream."""
+    path, arrivals, checkpoint = (work_path(t.spark, n) for n in ("lifecycle", "arrivals", "lifecycle-checkpoint"))
+    log = t.dispatch_events.withColumn("part", F.expr(f"(datediff(ts, date'2024-01-01') + {LATENESS}) div 8"))
+    for part in [r[0] for r in log.select("part").distinct().orderBy("part").collect()]:
+        log.where(F.col("part") == part).drop("part").write.mode("append").parquet(arrivals)
+        stream = lifecycle_events(t.spark.readStream.schema(t.dispatch_events.schema).parquet(arrivals), t)
+        lifecycle.start_lifecycle(stream, path, checkpoint, DELAY).awaitTermination()
+    late = lifecycle.read_late(t.spark, path)
+    return late.select("order_id", "event_id", "action", F.date_format("ts", FORMAT).alias("at"))
+
+
+LATE_SQL = f"""
+select order_no as order_id, event_id, action, strftime(ts, '%Y-%m-%d %H:%M:%S') as at
+from (select *, max(latest) over (order by part groups between unbounded preceding and 1 preceding) as seen
+  from (select *, max(epoch_ms(ts)) over (partition by part) as latest
+    from (select *, (date_diff('day', date '2024-01-01', cast(ts as date)) + {LATENESS}) // 8 as part from dispatch_events)))
+where epoch_us(ts) <= (seen - 600000) * 1000
+"""
 
 
 def watermark(t: Tables) -> str:
@@ -130,6 +154,7 @@ def streamed_statuses(t: Tables) -> DataFrame:
 
 QUERIES = [
     query("ds1_dispatch_stream", streamed_dispatches, NEW_DISPATCH_SQL, **RANK_CTES),
+    query("st1_late_rows", late_rows, LATE_SQL),
     query("st1_lifecycle_stream", lambda t: resolved(t, run_lifecycle(t))),
     query(
         "st1_lifecycle_replay",

@@ -5,16 +5,21 @@ order's state until the watermark has passed them and are then applied in
 (time, id) order, so the result does not depend on how they were batched. A closed
 order is remembered for CLOSED_DAYS and ignores events in that time; a dispatch
 after it starts a new life. The batch replay applies the same rules to a stored log.
+
+Events that arrive behind the watermark are not applied, as the order has moved on,
+and not lost either: they leave the operator as late rows, into a partition of their own,
+so the stream's rows are the replay of the log without the late ones.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -28,6 +33,11 @@ OUTPUT_SCHEMA = (
 )
 STATE_SCHEMA = "life string"
 INPUT = ["order_id", "ts", "event_id", "action", "candidates"]
+# What the stream gives: life-cycle events, and late input events with their id, action, time and candidates.
+STREAM_SCHEMA = OUTPUT_SCHEMA + ", event_id bigint, late boolean"
+# Spark drops rows behind the watermark by the column that has this metadata; a time that is never behind keeps them.
+WATERMARKED = {"spark.watermarkDelayMs": 0}
+NEVER_LATE = "2200-01-01"
 
 
 class Life:
@@ -103,9 +113,10 @@ class Life:
     def advance(self, until: int) -> list[tuple]:
         """Apply waiting events and expiries up to a time, in order."""
         self.waiting.sort()
+        due = bisect.bisect_left(self.waiting, [until + 1])
+        ready, self.waiting = self.waiting[:due], self.waiting[due:]
         rows = []
-        while self.waiting and self.waiting[0][0] <= until:
-            at, _, action, candidates = self.waiting.pop(0)
+        for at, _, action, candidates in ready:
             rows += self.step(at, action, candidates)
         return [*rows, *self._expire(until)]
 
@@ -125,8 +136,8 @@ def _micros(ts: pd.Series) -> list[int]:
     return utc.astype("datetime64[us]").astype("int64").tolist()
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["order_id", "event_type", "attempt", "at", "duration_min"])
+def _frame(rows: list[tuple], *more: str) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["order_id", "event_type", "attempt", "at", "duration_min", *more])
     out["at"] = pd.to_datetime(out["at"].astype("int64"), unit="us")
     out["duration_min"] = out["duration_min"].astype("float64")
     return out
@@ -134,18 +145,17 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 def _on_batch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     life = Life(json.loads(state.get[0]) if state.exists else None)
-    for frame in frames:
-        life.waiting += [
-            list(row)
-            for row in zip(
-                _micros(frame["ts"]),
-                frame["event_id"].tolist(),
-                frame["action"].tolist(),
-                frame["candidates"].tolist(),
-            )
-        ]
     watermark = max(0, state.getCurrentWatermarkMs())
-    rows = life.advance(watermark * 1000)
+    late = []
+    for frame in frames:
+        for at, event_id, action, candidates in zip(
+            frame["micros"].tolist(), frame["event_id"].tolist(), frame["action"].tolist(), frame["candidates"].tolist()
+        ):
+            if at <= watermark * 1000:
+                late.append((key[0], action, candidates, at, None, event_id, True))
+            else:
+                life.waiting.append([at, event_id, action, candidates])
+    rows = [(key[0], *row, None, False) for row in life.advance(watermark * 1000)]
     due = life.next_time()
     forgotten = life.closed and not life.waiting and life.forgotten_at <= watermark * 1000
     if forgotten or (life.status is None and due is None):
@@ -155,32 +165,39 @@ def _on_batch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
         state.update((life.saved(),))
         if due is not None:
             state.setTimeoutTimestamp(max(due // 1000 + 1, watermark + 1))
-    if rows:
-        yield _frame([(key[0], *row) for row in rows])
+    if rows or late:
+        out = _frame([*rows, *late], "event_id", "late")
+        out["event_id"] = out["event_id"].astype("Int64")
+        yield out
 
 
 def lifecycle_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Life-cycle events of a stream of (order_id, ts, event_id, action, candidates).
+    """Life-cycle events of a stream of (order_id, ts, event_id, action, candidates), and its late rows.
 
     ``candidates`` is the number of couriers an order can be offered to; attempt
     k goes to the hotel's k-th courier, which a join with the ranking resolves.
-    Rows later than the delay are dropped by the watermark.
+    A row whose time the watermark has passed when it arrives is not applied and comes
+    out as it is, with ``late`` true.
     """
+    never = F.lit(NEVER_LATE).cast("timestamp").alias("kept", metadata=WATERMARKED)
+    timed = events.select(*INPUT).withWatermark("ts", delay)
     return (
-        events.select(*INPUT)
-        .withWatermark("ts", delay)
+        timed.select("order_id", F.unix_micros("ts").alias("micros"), "event_id", "action", "candidates", never)
         .groupBy("order_id")
         .applyInPandasWithState(
-            _on_batch, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
+            _on_batch, STREAM_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
         )
+        # the operator's columnar rows have to be copied before the sink sorts them by partition
+        .withColumn("late", F.coalesce("late", F.lit(False)))
     )
 
 
 def start_lifecycle(events: DataFrame, path: str, checkpoint: str, delay: str) -> StreamingQuery:
-    """Append the life-cycle events to a table, reading all that is available."""
+    """Append the life-cycle events and late rows to a table, reading all that is available."""
     return (
         lifecycle_stream(events, delay)
         .writeStream.format("parquet")
+        .partitionBy("late")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
@@ -189,6 +206,19 @@ def start_lifecycle(events: DataFrame, path: str, checkpoint: str, delay: str) -
     )
 
 
+def read_lifecycle(spark: SparkSession, path: str) -> DataFrame:
+    """The life-cycle events of a table that ``start_lifecycle`` keeps."""
+    found = spark.read.schema(STREAM_SCHEMA).parquet(path)
+    return found.where("not late").drop("event_id", "late")
+
+
+def read_late(spark: SparkSession, path: str) -> DataFrame:
+    """order_id, ts, event_id, action and candidates of the events that came too late to be applied."""
+    return spark.read.schema(STREAM_SCHEMA).parquet(path).where("late").select(
+        "order_id", F.col("at").alias("ts"), "event_id", F.col("event_type").alias("action"), F.col("attempt").alias("candidates")
+    )
+
+
 def replay(events: DataFrame, as_of: str) -> DataFrame:
     """The same life-cycle events from a stored log, as known at ``as_of``.
 

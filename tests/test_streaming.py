@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from courierflow.session import work_path
@@ -47,7 +48,7 @@ def run_in_chunks(spark, rows, chunks):
         stream = spark.readStream.schema(SCHEMA).parquet(folder)
         # Restarting after each file also shows that the state survives a restart.
         lifecycle.start_lifecycle(stream, out, checkpoint, "20 minutes").awaitTermination()
-    return spark.read.schema(lifecycle.OUTPUT_SCHEMA).parquet(out).collect()
+    return lifecycle.read_lifecycle(spark, out).collect(), lifecycle.read_late(spark, out).collect()
 
 
 def test_stream_equals_replay_for_any_batching(spark):
@@ -59,8 +60,28 @@ def test_stream_equals_replay_for_any_batching(spark):
     # Arrival out of order by less than the delay, the last event staying last.
     rng = random.Random(2)
     jittered = sorted(in_time[:-1], key=lambda r: r[1] + dt.timedelta(minutes=rng.uniform(0, 15)))
-    assert key(run_in_chunks(spark, in_time, 1)) == want
-    assert key(run_in_chunks(spark, [*jittered, in_time[-1]], 4)) == want
+    for arrived, chunks in ((in_time, 1), ([*jittered, in_time[-1]], 4)):
+        life, late = run_in_chunks(spark, arrived, chunks)
+        assert key(life) == want and late == []
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_late_rows_are_kept_apart(spark, seed):
+    rng = random.Random(seed)
+    rows = sorted(make_log(40), key=lambda r: (r[1], r[2]))
+    # a third arrives up to five hours late, the last event in the end
+    order = {r[2]: r[1] + dt.timedelta(minutes=rng.choice([0, 0, rng.uniform(0, 300)])) for r in rows[:-1]}
+    arrived = [*sorted(rows[:-1], key=lambda r: order[r[2]]), rows[-1]]
+    life, late = run_in_chunks(spark, arrived, 4)
+    wanted, latest = set(), None
+    for i in range(4):
+        part = arrived[i * len(rows) // 4 : (i + 1) * len(rows) // 4]
+        wanted |= {r for r in part if latest and r[1] <= latest - dt.timedelta(minutes=20)}
+        latest = max([latest or part[0][1], *(r[1] for r in part)])
+    assert len(wanted) > 5 and {tuple(r) for r in late} == wanted
+    used = spark.createDataFrame([r for r in rows if r not in wanted], SCHEMA)
+    as_of = (START + dt.timedelta(hours=30) - dt.timedelta(minutes=20)).isoformat(sep=" ")
+    assert key(life) == key(lifecycle.replay(used, as_of).collect())
 
 
 def test_life_of_one_order(spark):
