@@ -150,6 +150,13 @@ from dispatch_orders where dispatch_status = 'Delivered'
 
 NEWEST_ITEM = ["order_id", "line_no", "item_id", "station_id", "quantity", "unit_price"]
 
+WEATHER_SQL = """select event_id, p.hotel_id, w.obs_id, case when windspeed >= 28 then 'Windy' when weathercode in (45,48) then 'Foggy'
+        when weathercode in (51,53,55,56,57,61,63,65,66,67,80,81,82,95,96,99) then 'Rainy'
+        when weathercode in (71,73,75,77,85,86) then 'Snowy' else 'Clear' end as weather_now
+        from (select event_id, order_no % 25 as hotel_id, ts from dispatch_events) p
+        asof left join (select hotel_id, obs_ts, arg_max(weathercode, obs_id) as weathercode, arg_max(windspeed, obs_id) as windspeed,
+          max(obs_id) as obs_id from weather_obs group by hotel_id, obs_ts) w on w.hotel_id = p.hotel_id and w.obs_ts <= p.ts"""
+
 QUERIES = [
     query(
         "jn1_hotel_defaults",
@@ -243,12 +250,7 @@ QUERIES = [
         lambda t: matching.with_weather_in_force(observed_orders(t), t.weather_obs, "ts").select(
             "event_id", "hotel_id", "obs_id", "weather_now"
         ),
-        """select event_id, p.hotel_id, w.obs_id, case when windspeed >= 28 then 'Windy' when weathercode in (45,48) then 'Foggy'
-        when weathercode in (51,53,55,56,57,61,63,65,66,67,80,81,82,95,96,99) then 'Rainy'
-        when weathercode in (71,73,75,77,85,86) then 'Snowy' else 'Clear' end as weather_now
-        from (select event_id, order_no % 25 as hotel_id, ts from dispatch_events) p
-        asof left join (select hotel_id, obs_ts, arg_max(weathercode, obs_id) as weathercode, arg_max(windspeed, obs_id) as windspeed,
-          max(obs_id) as obs_id from weather_obs group by hotel_id, obs_ts) w on w.hotel_id = p.hotel_id and w.obs_ts <= p.ts""",
+        WEATHER_SQL,
     ),
     query(
         "jn10_choose_model",

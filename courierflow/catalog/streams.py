@@ -16,10 +16,11 @@ from courierflow.catalog.dispatch import (
     shown_dispatches,
 )
 from courierflow.catalog.kitchen import ITEM_KEYS, ITEMS_SQL, STATUS_EVENTS_SQL, status_events
-from courierflow.catalog.lookups import RANK_CTES, couriers
-from courierflow.operators import assignment
+from courierflow.catalog.lookups import RANK_CTES, WEATHER_SQL, couriers, observed_orders
+from courierflow.operators import assignment, matching
 from courierflow.plans.dispatching import create_dispatches
 from courierflow.session import work_path
+from courierflow.sources import history
 from courierflow.sources.binding import VIEWS, Tables
 from courierflow.streaming import dispatching, kitchen_feed, lifecycle, positions
 
@@ -122,10 +123,12 @@ def streamed_positions(t: Tables) -> DataFrame:
 
 
 def streamed_dispatches(t: Tables) -> DataFrame:
-    path = work_path(t.spark, "dispatches")
+    path, observed = work_path(t.spark, "dispatches"), work_path(t.spark, "weather-history")
+    history.add_observations(t.weather_obs, observed, 0, "hotel_id", "obs_ts", "obs_id")
 
     def create(requests: DataFrame) -> DataFrame:
-        return create_dispatches(requests, t.hotels, couriers(t), t.weather_obs)
+        weather = history.in_days(requests, observed, 0, t.weather_obs, "hotel_id", "created_at", "obs_ts")
+        return create_dispatches(requests, t.hotels, couriers(t), weather)
 
     dispatching.start_dispatching(
         dispatch_requests(StreamTables(t, {"events"})),
@@ -152,7 +155,19 @@ def streamed_statuses(t: Tables) -> DataFrame:
     return run_feed(t, feed).withColumn("updated_at", F.date_format("updated_at", FORMAT))
 
 
+def weather_from_history(t: Tables) -> DataFrame:
+    """Weather in force at every order of the log, from a history that grew by two batches, the older days last."""
+    path = work_path(t.spark, "weather-history")
+    late = F.col("obs_id") % 3 == 0
+    for version, part in enumerate((t.weather_obs.where(~late), t.weather_obs.where(late))):
+        history.add_observations(part, path, version, "hotel_id", "obs_ts", "obs_id")
+    orders = observed_orders(t)
+    weather = history.in_days(orders, path, 1, t.weather_obs, "hotel_id", "ts", "obs_ts")
+    return matching.with_weather_in_force(orders, weather, "ts").select("event_id", "hotel_id", "obs_id", "weather_now")
+
+
 QUERIES = [
+    query("jn9_weather_from_history", weather_from_history, WEATHER_SQL),
     query("ds1_dispatch_stream", streamed_dispatches, NEW_DISPATCH_SQL, **RANK_CTES),
     query("st1_late_rows", late_rows, LATE_SQL),
     query("st1_lifecycle_stream", lambda t: resolved(t, run_lifecycle(t))),
