@@ -390,6 +390,14 @@ QUERIES = [
         "ds1_create_with_model",
         lambda t: new_dispatches(t, dispatching.estimate_with(trained(t)[1])),
     ),
+    query(
+        "ds1_model_dispatches",
+        lambda t: new_dispatches(t, dispatching.estimate_with(trained(t)[1])).withColumn(
+            "predicted_eta_min", F.col("predicted_eta_min").between(0, 300)
+        ),
+        f"select * replace (true as predicted_eta_min) from ({NEW_DISPATCH_SQL})",
+        **RANK_CTES,
+    ),
     query(
         "ds2_timed_out",
         lambda t: dispatch.timed_out(dispatched(t), AS_OF).select("order_id", "hotel_id", shown("token_expires_at")),

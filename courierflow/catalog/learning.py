@@ -9,6 +9,7 @@ from courierflow.catalog.base import py_round_sql, query
 from courierflow.catalog.features import old_and_new_hotels
 from courierflow.catalog.quality import FEATURED_SQL, SPLIT_SQL, long_levels
 from courierflow.functions.features import add_features
+from courierflow.functions.scalars import delay_risk
 from courierflow.operators import matching, metrics, splitting
 from courierflow.plans import regression, retraining
 from courierflow.sources import registry
@@ -109,6 +110,25 @@ FOLD_CTES = {
 }
 
 
+TRAIN_FOLDS_SQL = f"""
+select fold, cnt as n, round(avg(abs(y - (tot - own) / (total - cnt))), 4) as mean_mae
+from (select fold, y, sum(y) over (partition by fold) as own, count(*) over (partition by fold) as cnt,
+    sum(y) over () as tot, count(*) over () as total
+  from (select {FOLD} as fold, delivery_time_min as y from split_rows where split = 'train')) group by fold, cnt
+"""
+
+
+def linear_folds(t: Tables):
+    """Held-out error of the mean and whether the linear model is below it, per fold of the training rows."""
+    train = split_rows(t).where("split = 'train'")
+    folds = regression.cross_validate(train, {"linear": regression.linear(), regression.BASELINE: None})
+    pick = {m: F.max(F.when(F.col("model") == m, F.col("mae"))) for m in ("linear", regression.BASELINE)}
+    return folds.groupBy("fold").agg(
+        F.max("n").alias("n"), pick[regression.BASELINE].alias("mean_mae"),
+        (pick["linear"] < pick[regression.BASELINE]).alias("linear_is_better"),
+    )
+
+
 def sliced(t: Tables):
     return add_features(t.deliveries).withColumns(
         {"formula": formula(), "flat": F.lit(45.0)}
@@ -275,8 +295,7 @@ QUERIES = [
         "ml3_test_comparison",
         lambda t: metrics.lift_over_baseline(
             regression.train_and_evaluate(
-                split_rows(t),
-                {"linear_regression": regression.linear(), "decision_tree": regression.tree(**regression.TUNED_TREE)},
+                split_rows(t), regression.tuned_regressors()
             ).where("split = 'test'"),
             regression.BASELINE,
         ),
@@ -285,11 +304,17 @@ QUERIES = [
         "ml4_cross_validation",
         lambda t: metrics.cv_summary(
             regression.cross_validate(
-                split_rows(t).where("split = 'train'"),
-                {"linear_regression": regression.linear(), "decision_tree": regression.tree(**regression.TUNED_TREE)},
+                split_rows(t).where("split = 'train'"), {**regression.tuned_regressors(), regression.BASELINE: None}
             )
         ),
     ),
+    query(
+        "ml4_linear_folds",
+        linear_folds,
+        "select *, true as linear_is_better from train_folds",
+        split_rows=SPLIT_SQL,
+        train_folds=TRAIN_FOLDS_SQL,
+    ),
     query(
         "ml5_tree_grid",
         lambda t: regression.grid_search(
@@ -319,6 +344,15 @@ QUERIES = [
         **PRED_CTES,
     ),
     query("ml9_batch_prediction", scored_batch),
+    query(
+        "ml9_batch_risks",
+        lambda t: scored_batch(t).select(
+            "order_id",
+            (F.col("risk_status") == delay_risk(F.col(regression.PREDICTED))).alias("risk_fits"),
+            F.col(regression.PREDICTED).between(0, 300).alias("in_range"),
+        ),
+        "select order_id, true as risk_fits, true as in_range from deliveries",
+    ),
     query(
         "jn10_score_by_hotel",
         lambda t: scored_by_hotel(t).select(
@@ -328,6 +362,16 @@ QUERIES = [
         from deliveries d left join (select hotel_id as h, count(*) as n from deliveries group by 1) on h = order_id % 30""",
     ),
     query("ml10_retrain_hotels", hotel_reports),
+    query(
+        "ml10_report_counts",
+        lambda t: hotel_reports(t).select(
+            "hotel_id", "total_samples", "train_samples", "test_samples", "folds",
+            (F.col("model_mae") < F.col("baseline_mae")).alias("better_than_mean"),
+        ),
+        """select hotel_id, n as total_samples, n - greatest(2, n // 5) as train_samples, greatest(2, n // 5) as test_samples,
+        least(5, greatest(2, (n - greatest(2, n // 5)) // 3)) as folds, true as better_than_mean
+        from (select hotel_id, count(*) as n from deliveries group by hotel_id) where n >= 10""",
+    ),
     query(
         "ml10_rejected_rows",
         lambda t: retraining.rejected_rows(faulty_rows(t)).select(

@@ -305,6 +305,11 @@ QUERIES = [
         **FOLD_CTES,
     ),
     query("snk6_reloaded_model", reloaded_model),
+    query(
+        "snk6_reloaded_rows",
+        lambda t: reloaded_model(t).select("order_id", "same"),
+        "select order_id, true as same from deliveries",
+    ),
     query(
         "snk7_history_lines",
         lambda t: tables.history_lines(history_table(t)),

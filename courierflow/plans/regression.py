@@ -26,6 +26,7 @@ from courierflow.operators.metrics import metric_columns, regression_metrics
 from courierflow.operators.preparation import Preparation, fit_preparation
 from courierflow.operators.quality import split_valid
 from courierflow.operators.splitting import with_fold
+from courierflow.session import written
 
 PREDICTED = "predicted_delivery_time_min"
 BASELINE = "mean_baseline"
@@ -160,21 +161,27 @@ def train_and_evaluate(df: DataFrame, regressors: dict[str, Estimator]) -> DataF
 
 def cross_validate(
     train: DataFrame,
-    regressors: dict[str, Estimator],
+    regressors: dict[str, Estimator | None],
     id_column: str = D.ID_COLUMN,
     folds: int = 5,
     parallelism: int = 4,
 ) -> DataFrame:
-    """Metrics by model and fold; preparation is fitted anew without the fold's rows."""
-    placed = with_fold(train, id_column, folds, SEED).persist(StorageLevel.MEMORY_AND_DISK)
+    """Metrics by model and fold; preparation is fitted anew without the fold's rows.
+
+    A regressor of None predicts the mean of the other folds. The folds are a written
+    table, so nothing stays in memory once the result is planned.
+    """
+    placed = written(with_fold(train, id_column, folds, SEED), "folds")
+    fitted = {name: r for name, r in regressors.items() if r is not None}
 
     def one(fold: int) -> list[DataFrame]:
-        models = fit_models(placed.where(F.col("fold") != fold), regressors, id_column)
+        others = placed.where(F.col("fold") != fold)
+        models = fit_models(others, fitted, id_column)
         held_out = placed.where(F.col("fold") == fold)
-        return [
-            predict_raw(held_out, m).select(F.lit(name).alias("model"), "fold", D.TARGET, "prediction")
-            for name, m in models.items()
-        ]
+        guessed = {name: predict_raw(held_out, m) for name, m in models.items()}
+        mean = others.agg(F.avg(D.TARGET)).scalar()
+        guessed |= {name: held_out.withColumn("prediction", mean) for name, r in regressors.items() if r is None}
+        return [df.select(F.lit(name).alias("model"), "fold", D.TARGET, "prediction") for name, df in guessed.items()]
 
     with ThreadPoolExecutor(parallelism) as pool:
         parts = [part for of_fold in pool.map(one, range(folds)) for part in of_fold]

@@ -71,6 +71,18 @@ def test_batch_scoring_fills_gaps_and_quarantines(spark, model):
     }
 
 
+def test_cross_validation_of_a_forest_and_the_mean(rows):
+    train = rows.where("split = 'train'")
+    models = {"forest": regression.forest(maxDepth=4, numTrees=5), regression.BASELINE: None}
+    found = {(r["model"], r["fold"]): r for r in regression.cross_validate(train, models, folds=2).collect()}
+    placed = splitting.with_fold(train, D.ID_COLUMN, 2).toPandas()
+    for fold in (0, 1):
+        held, others = (placed[(placed["fold"] == fold) == own][D.TARGET] for own in (True, False))
+        base = found[regression.BASELINE, fold]
+        assert base["n"] == len(held) and abs(base["mae"] - (held - others.mean()).abs().mean()) < 1e-4
+        assert found["forest", fold]["mae"] < 0.8 * base["mae"]
+
+
 def test_cross_validation_and_grid(rows):
     train = rows.where("split = 'train'")
     folds = regression.cross_validate(train, {"linear": regression.linear()}, folds=3)
