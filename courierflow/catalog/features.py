@@ -187,11 +187,15 @@ COUNTRIES_SQL = "select * from (values {}) as c(country, lat, lng)".format(
 )
 
 
+# The first nations stand for listed countries; the others keep names that no list has.
+LISTED = [country for country, *_ in lookups.COUNTRIES][:20]
+
+
 def profiles(t: Tables):
     """Customers as hotel sign-ups with a country and entered coordinates."""
-    nation = t.nation.select(
-        F.col("n_nationkey").alias("c_nationkey"), F.initcap("n_name").alias("country")
-    )
+    key = F.col("n_nationkey")
+    listed = F.get(F.array(*[F.lit(c) for c in LISTED]), key.cast("int"))
+    nation = t.nation.select(key.alias("c_nationkey"), F.coalesce(listed, F.initcap("n_name")).alias("country"))
     key = F.col("c_custkey")
     return t.customer.join(nation, "c_nationkey").select(
         F.col("c_custkey").alias("profile_id"),
@@ -205,8 +209,9 @@ def profiles(t: Tables):
     )
 
 
-PROFILES_SQL = """
-select c_custkey as profile_id, upper(left(n_name, 1)) || lower(substr(n_name, 2)) as country,
+LISTED_SQL = "[" + ", ".join("'" + c.replace("'", "''") + "'" for c in LISTED) + "]"
+PROFILES_SQL = f"""
+select c_custkey as profile_id, coalesce(({LISTED_SQL})[n_nationkey + 1], upper(left(n_name, 1)) || lower(substr(n_name, 2))) as country,
   case c_custkey % 5 when 0 then 40.75e0 when 1 then cast(c_custkey % 120 - 60 as double) when 2 then null
     else cast(c_custkey % 60 as double) end as latitude,
   case c_custkey % 5 when 0 then -73.98e0 when 2 then null else cast(c_custkey % 170 as double) end as longitude
