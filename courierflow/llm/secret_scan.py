@@ -20,8 +20,9 @@ KINDS = ("assign", "access", "hex", "random")
 PLACEHOLDER = "[SECRET]"
 
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
-# what stands between - and _ in a token, so without its prefix; whole tokens are no parts
-PART = r"(?<=[_-])[A-Za-z0-9+/]{20,}+|(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20,}+(?=[_-])"
+# what stands between - and _ in a token, so without its prefix, is judged too
+SEPARATOR = "[_-]"
+LEAST = 20
 DIGITS = "0123456789"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -49,20 +50,27 @@ PROSE = (86, 16, 33, 46, 143, 14, 19, 31, 69, 4, 6, 46, 29, 78, 63, 19, 6, 68, 7
 LIKELIER = 20
 FALSE_DISCOVERIES = 0.05
 BINS = 100
-SPAN = "array<struct<start:int,end:int,kind:int>>"
+SPAN = "array<struct<start:int,kind:int,end:int>>"
+BLOCK = 64  # spans that are put together at once; longer lists are put together from blocks
 
 
 def _places(matches: str, gaps: str, kind: int) -> Column:
-    """Spans of the matches, in code points, from the stretches of text between them."""
+    """Spans of the matches, in code points, from the stretches of text between them.
+
+    A list that grows by one is copied, so it grows by blocks: the work is in proportion to the matches.
+    """
+    found = f"arrays_zip(transform({matches}, m -> length(m)), transform(slice({gaps}, 1, size({matches})), g -> length(g)))"
     return F.expr(
-        f"""aggregate(
-          sequence(0, size({matches}) - 1),
-          named_struct('at', 0, 'spans', cast(array() as {SPAN})),
-          (a, i) -> named_struct(
-            'at', a.at + length({gaps}[i]) + length({matches}[i]),
-            'spans', concat(a.spans, array(named_struct(
-              'start', a.at + length({gaps}[i]), 'end', a.at + length({gaps}[i]) + length({matches}[i]), 'kind', {kind})))),
-          a -> a.spans)"""
+        f"""transform(array({found}), found -> aggregate(
+          sequence(0, (size(found) - 1) div {BLOCK}),
+          named_struct('at', 0, 'blocks', cast(array() as array<{SPAN}>)),
+          (a, b) -> transform(array(aggregate(
+              slice(found, b * {BLOCK} + 1, {BLOCK}),
+              named_struct('at', a.at, 'spans', cast(array() as {SPAN})),
+              (x, f) -> named_struct('at', x.at + f['0'] + f['1'], 'spans', concat(x.spans, array(named_struct(
+                'start', x.at + f['1'], 'kind', {kind}, 'end', x.at + f['0'] + f['1'])))))),
+            x -> named_struct('at', x.at, 'blocks', concat(a.blocks, array(x.spans))))[0],
+          a -> flatten(a.blocks)))[0]"""
     )
 
 
@@ -90,17 +98,25 @@ def _tests(df: DataFrame) -> DataFrame:
     odds = "array(" + ", ".join(f"{math.log(sum(PROSE) / 26 / x):.3f}D" for x in PROSE) + ")"
     normal = "(1 / (1 + exp(1.5976 * {z} + 0.07056 * {z} * {z} * {z})))"
     steps = [
+        # a list is zipped with another, never looked up in it: inside a lambda the other would be made anew each time
+        ("tokens", "transform(arrays_zip(token, token_text), t -> struct(t.token_text as token, t.token as span, t.token.start as of, true as whole))"),
         (
-            "tokens",
-            "concat(transform(token, (s, i) -> struct(token_text[i] as token, s as span)),"
-            " transform(part, (s, i) -> struct(part_text[i] as token, s as span)))",
+            "parts",
+            f"transform(filter(tokens, t -> rlike(t.token, '{SEPARATOR}')), t -> filter(aggregate(split(t.token, '{SEPARATOR}', -1),"
+            " named_struct('at', t.of, 'parts', cast(array() as array<struct<token:string,span:struct<start:int,kind:int,end:int>,of:int,whole:boolean>>)),"
+            " (a, x) -> named_struct('at', a.at + length(x) + 1, 'parts', concat(a.parts, array(named_struct('token', x,"
+            " 'span', named_struct('start', a.at, 'kind', 3, 'end', a.at + length(x)), 'of', t.of, 'whole', false)))),"
+            f" a -> a.parts), x -> length(x.token) >= {LEAST}))",
         ),
-        ("tokens", f"transform(tokens, t -> struct(t.token, t.span, case{cases} end as encoding))"),
+        ("tokens", "concat(tokens, flatten(parts))"),
+        # the characters of the base kinds hex and access are those of tokens, so a token that touches one holds all of it
+        ("tokens", f"filter(tokens, t -> not rlike(t.token, '{HEX}|{ACCESS}'))"),
+        ("tokens", f"transform(tokens, t -> struct(t.token, t.span, t.of, t.whole, case{cases} end as encoding))"),
         ("tokens", "filter(tokens, t -> t.encoding is not null)"),
-        ("tokens", f"transform(tokens, t -> struct(t.span, t.encoding, length(t.token) as n, element_at({alphabets}, t.encoding + 1) as alphabet, t.token))"),
+        ("tokens", f"transform(tokens, t -> struct(t.span, t.of, t.whole, t.encoding, length(t.token) as n, element_at({alphabets}, t.encoding + 1) as alphabet, t.token))"),
         (
             "tokens",
-            "transform(tokens, t -> struct(t.span, t.encoding, cast(t.n as double) as n, cast(length(t.alphabet) as double) as a,"
+            "transform(tokens, t -> struct(t.span, t.of, t.whole, t.encoding, cast(t.n as double) as n, cast(length(t.alphabet) as double) as a,"
             " transform(slice(split(t.token, ''), 1, t.n), c -> instr(t.alphabet, c) - 1) as codes))",
         ),
         (
@@ -110,7 +126,7 @@ def _tests(df: DataFrame) -> DataFrame:
         ),
         (
             "tokens",
-            "transform(tokens, t -> struct(t.span, t.encoding, t.n,"
+            "transform(tokens, t -> struct(t.span, t.of, t.whole, t.encoding, t.n,"
             " (aggregate(sequence(0, cast(t.a as int) - 1), 0D, (s, v) -> s + pow(size(filter(t.codes, c -> c = v)), 2)) * t.a / t.n - t.n - (t.a - 1))"
             "   / sqrt(2 * (t.a - 1) * (t.n - 1) / t.n) as z_uniform,"
             " (aggregate(sequence(1, size(t.codes) - 1), 0D, (s, i) -> s + if((t.codes[i] * 2 >= t.a) <> (t.codes[i - 1] * 2 >= t.a), 1, 0)) - (t.n - 1) / 2)"
@@ -120,20 +136,20 @@ def _tests(df: DataFrame) -> DataFrame:
         ),
         (
             "tokens",
-            "transform(tokens, t -> struct(t.span, t.encoding, t.n,"
+            "transform(tokens, t -> struct(t.span, t.of, t.whole, t.encoding, t.n,"
             f" -2 * (ln(greatest(1e-12, {normal.format(z='t.z_uniform')}))"
             f" + ln(greatest(1e-12, 2 * {normal.format(z='abs(t.z_runs)')}))"
             f" + ln(greatest(1e-12, 2 * {normal.format(z='abs(t.z_serial)')}))) as x))",
         ),
         (
             "judged",
-            "transform(tokens, t -> struct(t.span.start as start, t.span.end as end, t.encoding, cast(floor(2 * log2(t.n / 20)) as int) as band,"
+            "transform(tokens, t -> struct(t.span.start as start, t.span.end as end, t.of, t.whole, t.encoding, cast(floor(2 * log2(t.n / 20)) as int) as band,"
             " least(1D, exp(-t.x / 2) * (1 + t.x / 2 + t.x * t.x / 8)) as p))",
         ),
     ]
     for name, sql in steps:
         df = df.withColumn(name, F.expr(sql))
-    return df.drop("tokens")
+    return df.drop("tokens", "parts")
 
 
 def _scanned(docs: DataFrame, base: bool = True) -> DataFrame:
@@ -141,11 +157,12 @@ def _scanned(docs: DataFrame, base: bool = True) -> DataFrame:
     if base:
         df = _matched(df, "assign", ASSIGN, 0)
         df = df.withColumn("assign_value", F.regexp_extract_all("scan_text", F.lit(ASSIGN), F.lit(2)))
-        df = df.withColumn("assign", F.expr(f"filter(assign, (s, i) -> length(assign_value[i]) >= {ASSIGN_LEAST})"))
+        long = f"filter(arrays_zip(assign, assign_value), x -> length(x.assign_value) >= {ASSIGN_LEAST})"
+        df = df.withColumn("assign", F.expr(f"transform({long}, x -> x.assign)"))
         df = _matched(df, "access", ACCESS, 1)
         df = _matched(df, "hex", HEX, 2)
         df = df.withColumn("base", F.expr("array_sort(concat(assign, access, hex))"))
-    return _tests(_matched(_matched(df, "token", TOKEN, 3), "part", PART, 3))
+    return _tests(_matched(df, "token", TOKEN, 3))
 
 
 def thresholds(docs: DataFrame, false_discoveries: float = FALSE_DISCOVERIES) -> dict[tuple[int, int], float]:
@@ -189,17 +206,22 @@ def find_secrets(docs: DataFrame, false_discoveries: float = FALSE_DISCOVERIES)
     table = "map(" + ", ".join(f"'{e}:{b}', {t}D" for (e, b), t in sorted(limits.items())) + ")" if limits else "cast(map() as map<string,double>)"
     # the whole row travels in one column, so no name of it can clash
     df = _scanned(docs.select(F.struct("*").alias("row"), F.col("text").alias("text")))
+    df = df.withColumn(
+        "judged",
+        F.expr(
+            f"""filter(judged, t -> t.p >= coalesce({table}[concat(t.encoding, ':', t.band)], 2D)
+              and not exists(assign, b -> b.start < t.end and t.start < b.end))"""
+        ),
+    )
+    # the places of random tokens; parts of these add nothing
+    df = df.withColumn("whole", F.expr("transform(filter(judged, t -> t.whole), t -> t.start)"))
     df = df.withColumn(
         "random",
         F.expr(
-            f"""transform(
-              filter(judged, t -> t.p >= coalesce({table}[concat(t.encoding, ':', t.band)], 2D)
-                and not exists(base, b -> b.start < t.end and t.start < b.end)),
-              t -> named_struct('start', t.start, 'end', t.end, 'kind', 3))"""
+            """transform(filter(judged, t -> t.whole or not array_contains(whole, t.of)),
+              t -> named_struct('start', t.start, 'kind', 3, 'end', t.end))"""
         ),
     )
-    within = "exists(random, u -> u.start <= s.start and s.end <= u.end and u.end - u.start > s.end - s.start)"
-    df = df.withColumn("random", F.expr(f"filter(random, s -> not (array_contains(part, s) and {within}))"))
     return df.select("row", "text", "assign", "access", "hex", "base", "random", F.expr("array_sort(concat(base, random))").alias("spans"))
 
 
@@ -224,10 +246,14 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret replaced by PLACEHOLDER; n_chars, if there is such a column, follows the text."""
     found = find_secrets(docs)
     cleaned = F.expr(
-        f"""aggregate(spans, named_struct('at', 0, 'out', ''),
-          (a, s) -> named_struct('at', greatest(a.at, s.end), 'out',
-            if(s.start >= a.at, concat(a.out, substr(text, a.at + 1, s.start - a.at), '{PLACEHOLDER}'), a.out)),
-          a -> concat(a.out, substr(text, a.at + 1)))"""
+        f"""aggregate(sequence(0, (size(spans) - 1) div {BLOCK}), named_struct('at', 0, 'out', cast(array() as array<string>)),
+          (a, b) -> transform(array(slice(spans, b * {BLOCK} + 1, {BLOCK})), some ->
+            transform(array(substr(text, a.at + 1, greatest(0, array_max(transform(some, s -> s.end)) - a.at))), piece ->
+              transform(array(aggregate(some, named_struct('at', a.at, 'out', ''),
+                (x, s) -> named_struct('at', greatest(x.at, s.end), 'out',
+                  if(s.start >= x.at, concat(x.out, substr(piece, x.at - a.at + 1, s.start - x.at), '{PLACEHOLDER}'), x.out)))),
+                x -> named_struct('at', x.at, 'out', concat(a.out, array(x.out))))[0])[0])[0],
+          a -> concat(array_join(a.out, ''), substr(text, a.at + 1)))"""
     )
     found = found.withColumn("new_text", F.when(F.size("spans") > 0, cleaned).otherwise(F.col("text")))
     out = []

@@ -131,6 +131,25 @@ def test_base_secrets_match_brute_force(documents):
         assert set(filter(None, joined.split(","))) <= set(r["spans"].split(","))
 
 
+def test_texts_of_very_many_secrets(documents):
+    rnd = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    kinds = [lambda: "".join(rnd.choices("0123456789abcdef", k=32)), lambda: "token=" + "".join(rnd.choices(letters, k=9)), lambda: "".join(rnd.choices(letters, k=40))]
+    text = " ".join(rnd.choice(kinds)() for _ in range(6000)) + " é end"
+    docs = documents([(1, text)])
+    found = secret_scan.digests(docs).collect()[0]
+    joined = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in base_spans(text))
+    assert found["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+    spans = [(int(a), int(b)) for _, a, b in (s.split(":") for s in found["spans"].split(","))]
+    assert found["n_random"] > 1800 and spans == sorted(spans)
+    out, at = [], 0
+    for a, b in spans:
+        if a >= at:
+            out += [text[at:a], secret_scan.PLACEHOLDER]
+        at = max(at, b)
+    assert secret_scan.redact(docs).collect()[0]["text"] == "".join(out) + text[at:]
+
+
 def test_battery_tells_random_from_regular(documents):
     found = {r["doc_id"]: r["n_random"] for r in secret_scan.digests(documents(secret_rows())).collect()}
     assert found[9] == found[10] == 0
