@@ -11,7 +11,10 @@ from courierflow.catalog.learning import trained
 from courierflow.catalog.lookups import NOTIFIED_SQL, RANK_CTES, couriers, notified_orders, scored_riders
 from courierflow.operators import dispatch, mutations, ratings
 from courierflow.plans import dispatching
+from courierflow.session import work_path
+from courierflow.sources import segments
 from courierflow.sources.binding import Tables
+from courierflow.streaming.positions import apply_snapshot, merge_reduced, reduce_events
 
 AS_OF = "1998-06-30 00:00:00"
 FORMAT = "yyyy-MM-dd HH:mm:ss"
@@ -245,6 +248,17 @@ def positions(t: Tables):
     return moved.withColumn("last_active_at", F.date_format("last_active_at", FORMAT))
 
 
+def compacted_positions(t: Tables):
+    """The same from ten batches of events, kept in segments that are merged by threes."""
+    path = work_path(t.spark, "positions")
+    events = rider_events(t)
+    for number in range(10):
+        batch = events.where(F.pmod("event_id", F.lit(10)) == number)
+        segments.append(reduce_events(batch), path, number, merge_reduced, fan=3)
+    moved = apply_snapshot(addressed_riders(t), segments.read(t.spark, path, 10, merge_reduced, fan=3))
+    return moved.withColumn("last_active_at", F.date_format("last_active_at", FORMAT))
+
+
 POSITIONS_SQL = f"""
 select r.id, r.hotel_id, coalesce(st, r.status) as status, coalesce(lat, r.current_lat) as current_lat, coalesce(lng, r.current_lng) as current_lng,
   coalesce(address, 'Home ' || r.id) as current_address, {text_ts('last_ts', 'last_active_at')}
@@ -528,6 +542,7 @@ QUERIES = [
         where not coalesce(c.deleted, false)""",
     ),
     query("mu3_latest_positions", positions, POSITIONS_SQL),
+    query("mu3_compacted_positions", compacted_positions, POSITIONS_SQL),
     query(
         "mu4_prediction_log",
         lambda t: mutations.prediction_log(history_rows(t), "minutes", "batch"),

@@ -1,12 +1,13 @@
-"""Rider positions and statuses from an event stream, merged into a versioned snapshot table."""
+"""Rider positions and statuses from an event stream, kept in a table of merged segments."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from courierflow.sources import segments
+
 STAMPS = ["moved_at", "addressed_at", "status_at"]
 
 
@@ -48,45 +49,26 @@ def merge_reduced(known: DataFrame, news: DataFrame) -> DataFrame:
     )
 
 
-def _version(path: str, number: int) -> str:
-    return f"{path}/version={number:012d}"
-
-
-def read_version(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    try:
-        return spark.read.parquet(_version(path, number))
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
-
-
-def start_positions(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep a snapshot of riders up to date, one version per micro-batch.
+def start_positions(events: DataFrame, path: str, checkpoint: str, fan: int = segments.FAN) -> StreamingQuery:
+    """Keep a table of riders up to date; a micro-batch writes the riders it tells of.
 
-    Batch n writes version n from version n - 1, so a repeated batch writes the
-    same version again. The latest version must be kept: without it the next batch
-    fails instead of starting from nothing.
+    The table consists of segments, merged as their number grows, so no batch rewrites all
+    riders but one in many. A repeated batch writes the same segment again.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        news = reduce_events(batch)
-        known = read_version(batch.sparkSession, path, number - 1) if number else None
-        if number and known is None:
-            raise FileNotFoundError(f"version {number - 1} of the positions in {path} is missing")
-        merged = merge_reduced(known, news) if number else news
-        merged.write.mode("overwrite").parquet(_version(path, number))
+    def write(batch: DataFrame, number: int) -> None:
+        segments.append(reduce_events(batch), path, number, merge_reduced, fan)
 
     return (
-        events.writeStream.foreachBatch(merge)
+        events.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def latest_snapshot(spark: SparkSession, path: str, last_batch: int) -> DataFrame | None:
-    return read_version(spark, path, last_batch)
+def latest_snapshot(spark: SparkSession, path: str, last_batch: int, fan: int = segments.FAN) -> DataFrame | None:
+    return segments.read(spark, path, last_batch + 1, merge_reduced, fan)
 
 
 def apply_snapshot(riders: DataFrame, snapshot: DataFrame) -> DataFrame:
