@@ -20,7 +20,7 @@ from courierflow.catalog.learning import (
 from courierflow.catalog.lookups import scored_orders
 from courierflow.catalog.quality import SPLIT_SQL, VIOLATIONS_SQL, messy_names
 from courierflow.operators import metrics, mutations, quality
-from courierflow.plans import regression
+from courierflow.plans import regression, retraining
 from courierflow.session import work_path
 from courierflow.sources import lookups, registry, tables
 from courierflow.sources.binding import Tables
@@ -145,6 +145,21 @@ def final_spec(t: Tables):
     return back.select("selected_algorithm", "feature_schema.total_features_to_model", "final_evaluation_metrics.*")
 
 
+def custom_documents(t: Tables):
+    """The document of each retrained hotel, written as JSON and read again; preparation times were not uploaded."""
+    uploaded = t.deliveries.drop("preparation_time_min")
+    report = retraining.retrain_hotels(uploaded)[1]
+    documents = registry.retraining_documents(report, retraining.training_rows(uploaded)[1])
+    path = work_path(t.spark, "hotel-documents")
+    registry.write_documents(documents, path)
+    found = registry.read_documents(t.spark, path, documents.schema)
+    base, own = F.col("baseline_metrics.mae"), F.col("custom_model_metrics.mae")
+    return found.select(
+        "hotel_id", "total_samples", "train_samples", "test_samples", F.array_join("imputed_features", ",").alias("imputed"),
+        (own < base).alias("better_than_mean"), (F.abs(F.col("mae_improvement_pct") - (base - own) / base * 100) < 0.01).alias("gain_fits"),
+    )
+
+
 def reloaded_model(t: Tables):
     """Predictions of a model before saving and after loading."""
     rows, model = trained(t)
@@ -304,6 +319,13 @@ QUERIES = [
         **PRED_CTES,
         **FOLD_CTES,
     ),
+    query(
+        "snk5_custom_document",
+        custom_documents,
+        """select hotel_id, n as total_samples, n - greatest(2, n // 5) as train_samples, greatest(2, n // 5) as test_samples,
+        'preparation_time_min' as imputed, true as better_than_mean, true as gain_fits
+        from (select hotel_id, count(*) as n from deliveries group by hotel_id) where n >= 10""",
+    ),
     query("snk6_reloaded_model", reloaded_model),
     query(
         "snk6_reloaded_rows",

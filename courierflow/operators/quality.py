@@ -118,6 +118,19 @@ def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def repeated_ids(df: DataFrame, column: str) -> DataFrame:
+    """The values of an id column that more than one row has, and how many rows; nulls are no ids.
+
+    A first pass counts 64-bit hashes, which are short whatever the ids are, and leaves the
+    suspects; only their rows are counted by the id itself, so equal hashes of different ids
+    do no harm. Counts are combined before the shuffle, so one id may have any share of the rows.
+    """
+    ids = df.where(F.col(column).isNotNull()).select(column, F.xxhash64(column).alias("_hash"))
+    suspects = ids.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash")
+    counted = ids.join(suspects, "_hash", "left_semi").groupBy(column).agg(F.count("*").alias("copies"))
+    return counted.where("copies > 1")
+
+
 def range_checks(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """Failing rows per named condition with a PASS or FAIL verdict; nulls do not fail."""
     names = list(checks)

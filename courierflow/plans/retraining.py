@@ -7,11 +7,9 @@ many rows a hotel has. Models and scores then follow by joins on the hotel.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +24,6 @@ from courierflow.session import written
 
 MIN_ROWS = 10
 TEST_FOLD = -1
-HELD_MATRICES = 2048
 
 # Order of the design columns: scaled numbers, codes, dummies, flags.
 DESIGN = (
@@ -58,8 +55,8 @@ def rejected_rows(df: DataFrame) -> DataFrame:
     return rejected.select("_given.*", F.col("_faults").alias("faults"))
 
 
-def design_array():
-    """The design as an array: constant, columns of DESIGN, target."""
+def design_columns() -> list[Column]:
+    """The design as columns: constant, columns of DESIGN, target."""
     columns = [F.lit(1.0)]
     columns += [F.col(c).cast("double") for c in D.FULL_NUMERIC_FEATURES]
     for c in D.FULL_ORDINAL_FEATURES:
@@ -71,48 +68,24 @@ def design_array():
             columns.append(F.coalesce(F.col(c) == level, F.lit(False)).cast("double"))
     columns += [F.col(c).cast("double") for c in D.BINARY_FEATURES]
     columns.append(F.col(D.TARGET).cast("double"))
-    return F.array(*columns)
-
+    return columns
 
-def _partial_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sum of row cross products per (hotel, fold) within one partition."""
-    held: dict[tuple[int, int], np.ndarray] = {}
 
-    def drain() -> pd.DataFrame:
-        out = pd.DataFrame(
-            {
-                "hotel_id": [k[0] for k in held],
-                "fold": [k[1] for k in held],
-                "products": [m.ravel() for m in held.values()],
-            }
-        )
-        held.clear()
-        return out
-
-    for batch in batches:
-        if batch.empty:
-            continue
-        rows = np.vstack(batch["design"].to_numpy())
-        for key, places in batch.groupby(["hotel_id", "fold"]).indices.items():
-            part = rows[places]
-            key = (int(key[0]), int(key[1]))
-            held[key] = held.get(key, 0.0) + part.T @ part
-        if len(held) > HELD_MATRICES:
-            yield drain()
-    if held:
-        yield drain()
+def design_array() -> Column:
+    return F.array(*design_columns())
 
 
 def cross_products(rows: DataFrame) -> DataFrame:
-    """Cross-product matrix per hotel and fold, flattened to an array."""
-    partial = rows.select("hotel_id", "fold", design_array().alias("design")).mapInPandas(
-        _partial_products, "hotel_id bigint, fold int, products array<double>"
-    )
-    # Summed cell by cell: partial sums combine before the shuffle, for hot hotels too.
-    cells = partial.select("hotel_id", "fold", F.posexplode("products").alias("cell", "value"))
-    summed = cells.groupBy("hotel_id", "fold", "cell").agg(F.sum("value").alias("value"))
-    ordered = F.sort_array(F.collect_list(F.struct("cell", "value")))
-    return summed.groupBy("hotel_id", "fold").agg(ordered["value"].alias("products"))
+    """Cross-product matrix per hotel and fold, flattened to an array.
+
+    One sum for each pair of columns, combined before the shuffle for hot hotels too: a
+    task sends one row a hotel and fold.
+    """
+    design = rows.select("hotel_id", "fold", *[c.alias(f"x{i}") for i, c in enumerate(design_columns())])
+    pairs = [(i, j) for i in range(WIDTH) for j in range(i, WIDTH)]
+    sums = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs]
+    cells = [F.col(f"s{min(i, j)}_{max(i, j)}") for i in range(WIDTH) for j in range(WIDTH)]
+    return design.groupBy("hotel_id", "fold").agg(*sums).select("hotel_id", "fold", F.array(*cells).alias("products"))
 
 
 def least_squares(products: np.ndarray) -> np.ndarray:
