@@ -54,7 +54,7 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-# SQL cannot express the classifier; tests compare the stages with plain Python.
+# SQL cannot express the classifier; tests compare the operators of the stages, and stage 2 itself, with plain Python.
 ORACLE_SQL = None
 
 

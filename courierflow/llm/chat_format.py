@@ -131,7 +131,10 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def digests(conversations: DataFrame) -> DataFrame:
-    """tree_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the output."""
+    """tree_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the output.
+
+    One row for each formatted conversation; one without assistant turns has no loss characters. An empty table gives no rows.
+    """
 
     def read(batches):
         for batch in batches:

@@ -97,7 +97,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
     A document at which a budget ends is there once with only its first words,
     and n_chars, if there is such a column, follows its text. Documents without
-    words, and those never taken, are left out.
+    words, and those never taken, are left out. Rows that repeat a doc_id are documents of
+    their own, and an empty table stays empty.
     """
     # the whole row travels in one column, so no name of it can clash
     sizes = written(_keyed(docs), "sizes")

@@ -218,7 +218,11 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, held_out: Column
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with all their columns."""
+    """The rows of ``docs`` that the classifier does not reject, with all their columns.
+
+    Each row is judged by its text alone, so of repeated rows all stay or none; null and blank
+    texts have the score of the intercept. An empty table stays empty.
+    """
     model = fit(docs, labels, learn)
     scored = with_scores(docs, model, F.struct("*").alias("row"))
     return scored.where(F.col("score") >= THRESHOLD).select([F.col("row").getField(c).alias(c) for c in docs.columns])

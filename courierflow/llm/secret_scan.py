@@ -243,7 +243,10 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every secret replaced by PLACEHOLDER; n_chars, if there is such a column, follows the text."""
+    """``docs`` with every secret replaced by PLACEHOLDER; n_chars, if there is such a column, follows the text.
+
+    Null and empty texts stay as they are, repeated rows are treated each for itself, and an empty table stays empty.
+    """
     found = find_secrets(docs)
     cleaned = F.expr(
         f"""aggregate(sequence(0, (size(spans) - 1) div {BLOCK}), named_struct('at', 0, 'out', cast(array() as array<string>)),

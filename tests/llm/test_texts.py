@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -428,3 +429,39 @@ def test_best_paths_of_trees(spark):
             paths.append((-sum(score[t, n] for n in path), leaf, path[::-1]))
         for rank, (_, _, path) in enumerate(sorted(paths)[:3], 1):
             assert found[tree, rank] == path
+
+
+# ---- models against their definitions
+
+
+def test_sizes_are_those_of_plain_compression(documents, odd_rows):
+    contents = {"en": b"the quick brown fox and the lazy dog " * 20, "fr": "le renard brun et le chien paresseux été ".encode() * 20}
+    encoders = language_id.Encoders(contents)
+    texts = [r[1] for r in odd_rows] + ["Le renard ET le chien " * 20000, "the fox", "été"]
+    for text in texts:
+        wanted = []
+        for lang in sorted(contents):
+            raw, size = (text or "").lower().encode(), 0
+            for at in range(0, len(raw), language_id.CHUNK):
+                held = zstandard.ZstdCompressionDict(contents[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                plain = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False)
+                size += len(plain.compress(raw[at : at + language_id.CHUNK]))
+            wanted.append(size)
+        assert encoders.sizes(text or "") == wanted
+        lang, margin, _ = encoders.predict(text)
+        if text and any(map(str.isalpha, text)):
+            assert lang == sorted(contents)[wanted.index(min(wanted))] and margin == (max(wanted) - min(wanted)) / max(wanted)
+        else:
+            assert (lang, margin) == ("und", 0.0)
+
+
+def test_scores_are_those_of_the_mean_vector(documents, odd_rows):
+    weights = np.random.default_rng(3).normal(0, 2, quality_classifier.BUCKETS)
+    found = quality_classifier.with_scores(documents(odd_rows, clashing=True), (weights, 0.25), F.col("text").alias("row")).collect()
+    assert len(found) == len(odd_rows)
+    for r in found:
+        words = (r["row"] or "").split()
+        features = [f for w in words for f in quality_classifier.word_features(w)]
+        features += [quality_classifier.REPEAT for a, b in zip(words, words[1:]) if a == b]
+        odds = 0.25 + (sum(weights[f] for f in features) / len(features) if features else 0.0)
+        assert abs(r["score"] - 1 / (1 + np.exp(-odds))) < 1e-9
