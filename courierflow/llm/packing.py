@@ -8,12 +8,13 @@ that use it) is applied to all pieces by their rank within their length.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from courierflow.session import written
 CAPACITY = 4096
 END_ID = 1
 HELD_WORDS = 300_000  # words whose ids a Python worker keeps
-WIDTH = 8  # fillings tried at a node
-NODES = 300  # nodes of the search, after which the best plan so far is used
+STEPS = 400_000  # lengths looked at by the search, after which the best plan so far is used
+HELD_CHOICES = 64  # nodes of the search that hold their place among the fillings
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 Filling = tuple[int, ...]  # lengths in one sequence, largest first
@@ -126,141 +127,233 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 # ---- the search over lengths
 
 
-def fillings(room: int, counts: dict[int, int], sizes: list[int], most_waste: int, limit: int) -> list[Filling]:
-    """Undominated ways to fill ``room`` from the ascending ``sizes``, least waste first; at most ``limit``.
+class Budget:
+    """Steps that a search may still take; a step looks at one length."""
 
-    A filling is left out if a larger unused length could stand in for one of its
-    members, or for two of them together: what it frees packs at least as well.
+    def __init__(self, steps: int):
+        self.left = steps
+
+    def spend(self, steps: int = 1) -> bool:
+        self.left -= steps
+        return self.left >= 0
+
+
+def fillings(room: int, counts: dict[int, int], most_waste: int, budget: Budget) -> Iterator[Filling]:
+    """Every undominated way to fill ``room`` with at most ``most_waste`` left, least waste first, large lengths first.
+
+    They come one by one, each asked for when the search returns for it. Sums that
+    the lengths cannot make are never tried: the sums within reach of the smallest
+    lengths are held as bits. A filling is left out if a piece would still fit, or
+    if a larger unused length could stand in for one of its members, or for two of
+    them together: what that frees packs at least as well.
     """
-    found: dict[Filling, int] = {}
-    steps = 0
-
-    def extend(left: int, used: list[int]) -> None:
-        nonlocal steps
-        steps += 1
-        i = bisect_right(sizes, min(left, used[-1] if used else left))
-        tried = 0
-        closed = bisect_right(sizes, left) == 0
-        while i and tried < limit and steps < 50 * limit and len(found) < 4 * limit:
+    sizes = sorted(s for s, n in counts.items() if n and s <= room)
+    if not budget.spend(len(sizes) + 1):
+        return
+    reach = [1]  # bit t: the lengths before this one can sum to t
+    inside = (1 << (room + 1)) - 1
+    for size in sizes:
+        bits, more, step = reach[-1], min(counts[size], room // size), 1
+        while more:
+            step = min(step, more)
+            bits |= (bits << (step * size)) & inside
+            more -= step
+            step *= 2
+        reach.append(bits)
+
+    def exact(target: int, i: int) -> Iterator[Filling]:
+        if not target:
+            yield ()
+            return
+        i = bisect_right(sizes, target, 0, i)
+        while i and reach[i] >> target & 1 and budget.spend():
+            size = sizes[i - 1]
+            for k in range(min(counts[size], target // size), 0, -1):
+                if reach[i - 1] >> (target - k * size) & 1:
+                    for rest in exact(target - k * size, i - 1):
+                        yield (size,) * k + rest
             i -= 1
-            size = sizes[i]
-            if counts[size] <= used.count(size):
-                continue
-            tried += 1
-            used.append(size)
-            extend(left - size, used)
-            used.pop()
-        if (closed or not tried) and left <= most_waste and not _dominated(used, left, counts):
-            found[tuple(used)] = left
-
-    extend(room, [])
-    return sorted(found, key=lambda f: (found[f], len(f), [-s for s in f]))[:limit]
-
-
-def _dominated(used: list[int], left: int, counts: dict[int, int]) -> bool:
-    def free(size: int) -> bool:
-        return counts.get(size, 0) > used.count(size)
-
-    members = set(used)
-    pairs = {a + b for a, b in combinations(used[:8], 2)}
-    return any(free(size + more) for size in members for more in range(1, left + 1)) or any(
-        free(pair + more) for pair in pairs for more in range(left + 1)
-    )
+
+    for waste in range(min(room, most_waste) + 1):
+        if reach[-1] >> (room - waste) & 1:
+            for filling in exact(room - waste, len(sizes)):
+                if not budget.spend():
+                    return
+                if not _dominated(filling, waste, counts, sizes):
+                    yield filling
+
+
+def _dominated(filling: Filling, waste: int, counts: dict[int, int], sizes: list[int]) -> bool:
+    used = Counter(filling)
+
+    def free(low: int, high: int) -> bool:
+        i = bisect_left(sizes, low)
+        while i < len(sizes) and sizes[i] <= high:
+            if counts[sizes[i]] > used[sizes[i]]:
+                return True
+            i += 1
+        return False
+
+    if free(1, waste) or any(free(size + 1, size + waste) for size in used):
+        return True
+    pairs = {a + b for a, b in combinations(used, 2)} | {2 * a for a, k in used.items() if k > 1}
+    return any(free(pair, pair + waste) for pair in pairs)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Plan:
-    """Best-fit decreasing by length: each sequence takes the largest length that still fits."""
-    left = {s: n for s, n in counts.items() if n}
-    sizes = sorted(left)
-    plan: Plan = []
-    while sizes:
-        filling: list[int] = []
-        room = capacity
-        i = len(sizes)
-        while i and room:
-            i = bisect_right(sizes, room, 0, i)
-            if not i:
-                break
-            size = sizes[i - 1]
-            fit = min(left[size], room // size)
-            filling += [size] * fit
-            room -= fit * size
-            i -= 1
-        use = Counter(filling)
-        times = min(left[s] // k for s, k in use.items())
-        for s, k in use.items():
-            left[s] -= times * k
-            if not left[s]:
-                sizes.pop(bisect_left(sizes, s))
-        plan.append((tuple(filling), times))
-    return plan
+    """Best-fit decreasing: each piece, largest first, goes where it leaves the least room.
+
+    Sequences with the same filling are one entry, so the work grows with the
+    number of lengths. A sequence that has the least room for a length still has
+    it after taking one, so it takes as many as it can hold.
+    """
+    plan: Counter[Filling] = Counter()
+    opened: dict[int, Counter[Filling]] = {}  # room left, then filling: sequences
+    rooms: list[int] = []
+
+    def put(room: int, filling: Filling, times: int) -> None:
+        plan[filling] += times
+        if room:
+            if room not in opened:
+                opened[room] = Counter()
+                insort(rooms, room)
+            opened[room][filling] += times
+
+    def take(room: int, filling: Filling, times: int) -> None:
+        for held in (plan, opened[room]):
+            held[filling] -= times
+            if not held[filling]:
+                del held[filling]
+        if not opened[room]:
+            del opened[room]
+            rooms.pop(bisect_left(rooms, room))
+
+    for size in sorted(counts, reverse=True):
+        left = counts[size]
+        while left:
+            i = bisect_left(rooms, size)
+            if i < len(rooms):
+                room = rooms[i]
+                filling, times = next(iter(opened[room].items()))
+            else:
+                room, filling, times = capacity, (), left
+            fit = min(room // size, left)
+            times = min(times, left // fit)
+            if filling:
+                take(room, filling, times)
+            put(room - fit * size, filling + (size,) * fit, times)
+            left -= fit * times
+    return list(plan.items())
+
+
+def least_sequences(counts: dict[int, int], capacity: int) -> int:
+    """No plan has fewer sequences than this (the bound of Martello and Toth).
+
+    For each k up to half a sequence: lengths above ``capacity - k`` share with
+    none from k on, the others above half share with none of each other, and the
+    lengths from k to half fill the room that these leave, then new sequences.
+    """
+    number = np.zeros(capacity + 2, np.int64)
+    for size, n in counts.items():
+        number[size] = n
+    upto, mass = np.cumsum(number), np.cumsum(number * np.arange(capacity + 2))
+    half = capacity // 2
+    k = np.arange(1, half + 1)
+    large = upto[capacity] - upto[half]
+    shared = upto[capacity - k] - upto[half]
+    room = shared * capacity - (mass[capacity - k] - mass[half])
+    small = mass[half] - mass[k - 1]
+    more = -((room - small) // capacity)  # rounded up
+    return int(max(large + np.maximum(more, 0).max(initial=0), -(-mass[capacity] // capacity)))
 
 
 def sequences(plan: Plan) -> int:
     return sum(times for _, times in plan)
 
 
-def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, width: int = WIDTH) -> Plan:
-    """A plan for the given number of pieces of each length.
+class _Node:
+    """Counts left at a point of the search, and the choices that were not yet tried there."""
+
+    def __init__(self, left: dict[int, int], plan: Plan, used: int):
+        self.left, self.plan, self.used = left, plan, used
+        self.spare: int | None = None  # waste that still beat the incumbent when the node was first asked
+        self.tried = 0
+        self.choices: Iterator[tuple[Filling, int]] | None = None
+
 
-    Bin completion: the largest length left is completed by an undominated
-    filling, as often as the counts allow at once; other fillings are tried on
-    the way back. A branch ends when the waste it has already spent leaves no
-    way to beat the incumbent, which starts as the best-fit plan, or at
-    once when the incumbent meets the bound of the total length. ``nodes``
-    bounds the search, never the pieces: the plan always holds all of them.
+def search_plan(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> tuple[Plan, int, bool]:
+    """The plan, a number of sequences that no plan can go below, and whether the search ended.
+
+    Bin completion: the largest length left is completed by every undominated
+    filling in turn, as often as the counts allow at once, then once. A branch ends
+    when the waste it has spent, or the bound of what is left, leaves no way to
+    beat the incumbent, or when the same counts were reached before with as few
+    sequences. At each node the rest is packed best-fit, and becomes the incumbent
+    if it is better. The search ends at once when the incumbent meets the bound,
+    and after ``steps`` with the best plan found; the plan always holds all pieces.
     """
     counts = {s: n for s, n in counts.items() if n}
-    total = sum(s * n for s, n in counts.items())
-    bound = max(-(-total // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
     best = best_fit(counts, capacity)
-    if not counts or sequences(best) == bound:
-        return best
-
-    # each frame: counts left, plan so far, sequences used, waste spent, fillings not yet tried
-    def frame(left: dict[int, int], plan: Plan, used: int, waste: int):
-        top = max(left)
-        spare = (sequences(best) - 1) * capacity - total - waste
-        rest = dict(left)
+    if not counts:
+        return best, 0, True
+    bound = least_sequences(counts, capacity)
+    budget = Budget(steps)
+
+    def choices(node: _Node) -> Iterator[tuple[Filling, int]]:
+        top = max(node.left)
+        rest = dict(node.left)
         rest[top] -= 1
-        sizes = sorted(s for s, n in rest.items() if n)
-        ways = fillings(capacity - top, rest, sizes, spare, width) if spare >= 0 else []
-        return [left, plan, used, waste, [(top, *f) for f in ways][::-1]]
-
-    stack = [frame(counts, [], 0, 0)]
-    visited = 0
-    while stack and visited < nodes and sequences(best) > bound:
-        left, plan, used, waste, ways = stack[-1]
-        if not ways:
+        if node.spare is None:
+            held = sum(s * n for s, n in node.left.items())
+            node.spare = (sequences(best) - 1 - node.used) * capacity - held
+        for way in fillings(capacity - top, rest, node.spare, budget):
+            filling = (top, *way)
+            times = min(node.left[s] // k for s, k in Counter(filling).items())
+            if lost := capacity - sum(filling):
+                times = min(times, node.spare // lost)
+            yield from ((filling, t) for t in sorted({times, 1}, reverse=True) if 0 < t <= times)
+
+    seen: dict[bytes, int] = {}
+    stack = [_Node(counts, [], 0)]
+    while stack and budget.left > 0 and sequences(best) > bound:
+        node = stack[-1]
+        if node.choices is None:  # choices of nodes far up are dropped, and found again
+            node.choices = islice(choices(node), node.tried, None)
+        choice = next(node.choices, None)
+        if choice is None:
             stack.pop()
             continue
-        visited += 1
-        filling = ways.pop()
-        need = Counter(filling)
-        lost = capacity - sum(filling)
-        times = min(left[s] // k for s, k in need.items())
-        if lost:  # spend no more waste than beats the incumbent
-            times = min(times, ((sequences(best) - 1) * capacity - total - waste) // lost)
-        if times < 1:
-            continue
-        after = dict(left)
-        for s, k in need.items():
+        node.tried += 1
+        filling, times = choice
+        after = dict(node.left)
+        for s, k in Counter(filling).items():
             after[s] -= times * k
             if not after[s]:
                 del after[s]
-        now, spent = used + times, waste + times * lost
-        whole = [*plan, (filling, times)]
+        used, plan = node.used + times, [*node.plan, choice]
+        budget.spend(len(after) + 1)
         if not after:
-            if now < sequences(best):
-                best = whole
+            if used < sequences(best):
+                best = plan
+            continue
+        if used + least_sequences(after, capacity) >= sequences(best):
             continue
+        key = hashlib.blake2b(np.array(sorted(after.items()), np.int64).tobytes(), digest_size=16).digest()
+        if seen.get(key, used + 1) <= used:
+            continue
+        seen[key] = used
         tail = best_fit(after, capacity)
-        if now + sequences(tail) < sequences(best):
-            best = whole + tail
-        rest = sum(s * n for s, n in after.items())
-        if now + -(-rest // capacity) < sequences(best):
-            stack.append(frame(after, whole, now, spent))
-    return best
+        if used + sequences(tail) < sequences(best):
+            best = plan + tail
+        stack.append(_Node(after, plan, used))
+        if len(stack) > HELD_CHOICES:
+            stack[-HELD_CHOICES - 1].choices = None
+    return best, bound, sequences(best) == bound or budget.left > 0
+
+
+def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> Plan:
+    """The plan of ``search_plan``: a filling of lengths and the number of sequences that use it, entry by entry."""
+    return search_plan(counts, capacity, steps)[0]
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -73,6 +73,55 @@ def test_search_beats_best_fit():
     assert packing.sequences(packing.pack_counts(counts, 10)) == 3
 
 
+def triplets(number, seed, capacity=4096):
+    rnd = random.Random(seed)
+    counts = collections.Counter()
+    for _ in range(number):
+        first = rnd.randint(capacity * 38 // 100, capacity * 49 // 100)
+        second = rnd.randint(capacity * 25 // 100, (capacity - first) // 2)
+        counts.update([first, second, capacity - first - second])
+    return counts
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_triplets_fill_their_sequences(seed):
+    counts = triplets(10, seed)
+    assert packing.sequences(packing.best_fit(counts, 4096)) > 10
+    plan, bound, ended = packing.search_plan(counts)
+    assert (packing.sequences(plan), bound, ended) == (10, 10, True)
+    assert sum((collections.Counter(f) for f, t in plan for _ in range(t)), collections.Counter()) == counts
+
+
+def fewest(sizes, capacity):
+    """Sequences needed, from all ways to place each piece in turn."""
+    states = {()}
+    for size in sorted(sizes, reverse=True):
+        after = set()
+        for state in states:
+            after.add(tuple(sorted((*state, capacity - size))))
+            for i, room in enumerate(state):
+                if room >= size:
+                    after.add(tuple(sorted((*state[:i], room - size, *state[i + 1 :]))))
+        states = after
+    return min(map(len, states))
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_plans_are_optimal(seed):
+    rnd = random.Random(seed)
+    capacity = rnd.choice([10, 20, 50])
+    sizes = [rnd.randint(1, rnd.choice([capacity, capacity // 2])) for _ in range(rnd.randint(1, 9))]
+    plan, bound, ended = packing.search_plan(collections.Counter(sizes), capacity)
+    assert ended and bound <= packing.sequences(plan) == fewest(sizes, capacity)
+
+
+def test_search_without_steps_keeps_every_piece():
+    counts = triplets(20, 3)
+    plan, bound, ended = packing.search_plan(counts, steps=1)
+    assert not ended and packing.sequences(plan) > bound == 20
+    assert sum((collections.Counter(f) for f, t in plan for _ in range(t)), collections.Counter()) == counts
+
+
 def test_pack_documents(documents, odd_rows):
     rows = odd_rows + [(100 + i, "cat " * (i * 37 % 900)) for i in range(60)]
     found = packing.pack_documents(documents(rows, clashing=True), PATH).collect()
