@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -127,9 +127,10 @@ def latest_before(
     """For each distinct (key, time) of the probes, the last ``value`` seen up to that time.
 
     Both sides shrink to distinct times first. Times are then read in order
-    within one key and day; what was in force when a day began comes from the
-    last value per key and day, a table of days. No task sorts a key's whole
-    history.
+    within one key and hour. What was in force when an hour began comes from the
+    last value per hour of its day or, before the first of these, from the last
+    value per day: tables of hours and of days. No task sorts a key's whole
+    history, nor a whole day of it.
     """
     moment = F.col("_ts")
     asked = (
@@ -141,29 +142,40 @@ def latest_before(
     seen = obs.select(
         F.col(key), F.col(obs_ts).alias("_ts"), F.col(value).alias("_value"), F.lit(False).alias("_asked")
     )
-    both = seen.unionByName(asked).withColumn("_day", F.to_date("_ts"))
+    both = seen.unionByName(asked).withColumn("_hour", F.date_trunc("hour", "_ts"))
 
-    per_day = both.groupBy(key, "_day").agg(
-        F.max_by("_value", F.when(~F.col("_asked"), moment)).alias("_last")
-    )
-    earlier = (
-        Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    per_hour = (
+        both.groupBy(key, "_hour")
+        .agg(
+            F.max_by("_value", F.when(~F.col("_asked"), moment)).alias("_last"),
+            F.max(F.when(~F.col("_asked"), moment)).alias("_last_ts"),
+        )
+        .withColumn("_day", F.to_date("_hour"))
     )
-    carried = per_day.select(
-        key, "_day", F.last("_last", ignorenulls=True).over(earlier).alias("_carried")
+    per_day = per_hour.groupBy(key, "_day").agg(F.max_by("_last", "_last_ts").alias("_last"))
+
+    def before(*parts: str, order: str) -> Column:
+        earlier = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.last("_last", ignorenulls=True).over(earlier)
+
+    days = per_day.select(key, "_day", before(key, order="_day").alias("_day_carried"))
+    carried = (
+        per_hour.withColumn("_hour_carried", before(key, "_day", order="_hour"))
+        .join(days, [key, "_day"], "left")
+        .select(key, "_hour", F.coalesce("_hour_carried", "_day_carried").alias("_carried"))
     )
     # At equal times observations come before probes.
-    in_day = (
-        Window.partitionBy(key, "_day")
+    in_hour = (
+        Window.partitionBy(key, "_hour")
         .orderBy("_ts", "_asked")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        both.withColumn("_in_day", F.last("_value", ignorenulls=True).over(in_day))
+        both.withColumn("_in_hour", F.last("_value", ignorenulls=True).over(in_hour))
         .where("_asked")
-        .join(carried, [key, "_day"], "left")
+        .join(carried, [key, "_hour"], "left")
         .select(
-            key, F.col("_ts").alias(probe_ts), F.coalesce("_in_day", "_carried").alias(value)
+            key, F.col("_ts").alias(probe_ts), F.coalesce("_in_hour", "_carried").alias(value)
         )
     )
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
-from urllib.parse import unquote
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,24 +61,49 @@ def read_delivery_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     return good, bad
 
 
-def files_by_header(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """The CSV files below a path, grouped by their first line that is not blank.
+def file_heads(spark: SparkSession, path: str) -> DataFrame:
+    """file and value: the first line that is not blank of every file below a path.
 
-    One job looks at the first block of every file; a task returns one line per file.
+    Files in folders that all executors see are opened by their tasks, which read
+    no further than that line. Spark's readers always read to the end, so files of
+    other file systems cost a scan, summed up where it is read.
     """
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))  # contents stay unread
+    mounted = F.col("file").startswith("file:")
 
-    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[str] = set()
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = batch.drop_duplicates("file")
-            first = first[~first["file"].isin(seen)]
-            seen.update(first["file"])
-            yield first
+            rows = []
+            for file in batch.column(0).to_pylist():
+                with _lines(file) as lines:
+                    rows += [(file, line) for line in islice((line.rstrip("\r\n") for line in lines if line.strip()), 1)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["file", "value"])
+
+    opened = files.where(mounted).mapInArrow(heads, "file string, value string")
+    if files.where(~mounted).isEmpty():
+        return opened
+    lines = spark.read.text(path).select(F.url_decode("_metadata.file_path").alias("file"), "_metadata.file_block_start", "value")
+    scanned = (
+        lines.where((F.col("file_block_start") == 0) & (F.trim("value") != "") & ~mounted)
+        .groupBy("file")
+        .agg(F.min_by("value", F.monotonically_increasing_id()).alias("value"))
+    )
+    return opened.unionByName(scanned)
+
 
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "_metadata.file_block_start", "value")
-    lines = lines.where((F.col("file_block_start") == 0) & (F.trim("value") != "")).select("file", "value")
+def _lines(file: str):
+    """A text file opened by its path, which may begin with its scheme; a gzip file by its name."""
+    place = file.removeprefix("file:")
+    place = "/" + place.lstrip("/")
+    opener = gzip.open if place.endswith(".gz") else open
+    return opener(place, "rt", encoding="utf-8", errors="replace")
+
+
+def files_by_header(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The CSV files below a path, grouped by their first line that is not blank."""
     found: dict[str, list[str]] = {}
-    for row in sorted(lines.mapInPandas(heads, "file string, value string").collect()):
+    for row in sorted(file_heads(spark, path).collect()):
         found.setdefault(row["value"], []).append(row["file"])
     return found
 
@@ -99,8 +125,8 @@ def read_upload(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _literal(file: str) -> str:
-    """A file's encoded path as a pattern that matches only that file."""
-    return "".join("\\" + c if c in "*?[]{}\\" else c for c in unquote(file))
+    """A file's path as a pattern that matches only that file."""
+    return "".join("\\" + c if c in "*?[]{}\\" else c for c in file)
 
 
 def _planned(raw: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import gzip
 import os
 
 from pyspark.sql import functions as F
@@ -58,6 +59,20 @@ def test_uploads_with_different_headers(spark):
     ]
 
 
+def test_heads_are_found_without_the_lines_behind_them(spark, tmp_path):
+    (tmp_path / "one *.csv").write_text("\n  \nb,a\r\n1,2\n")
+    (tmp_path / "two.csv").write_bytes(b"a,b\n" + b"\xff\xfe,2\n" * 10)
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "blank.csv").write_text("\n \n")
+    with gzip.open(tmp_path / "three.csv.gz", "wt") as file:
+        file.write("a,b\n5,6\n")
+    found = T.files_by_header(spark, str(tmp_path))
+    names = {head: sorted(f.rsplit("/", 1)[1] for f in files) for head, files in found.items()}
+    assert names == {"b,a": ["one *.csv"], "a,b": ["three.csv.gz", "two.csv"]}
+    plan = T.file_heads(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<path:string>" in plan and "text" not in plan
+
+
 def test_history_line_quoting(spark):
     df = spark.createDataFrame(
         [(1, "2024", 'He said "hi"', 1.5, "Clear", "Low", "Night", "Car", 10.0, 2.0, 33.0, "Fast", "batch")],
