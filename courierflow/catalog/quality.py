@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from courierflow import domain as D
 from courierflow.catalog.base import query
 from courierflow.functions.features import add_features
-from courierflow.operators import columns, profiling, quality, splitting
+from courierflow.operators import columns, profiling, quality, selection, splitting
 from courierflow.sources.binding import Tables
 
 NUMBERS = [*D.NUMERIC_FEATURES, D.TARGET]
@@ -215,6 +215,20 @@ QUERIES = [
             "cast(max({c}) as double) as max",
         ),
     ),
+    query(
+        "dq10_quantiles_off_the_grid",
+        lambda t: selection.exact_quantiles(
+            t.deliveries.selectExpr("delivery_time_min / distance_km as min_per_km", "preparation_time_min / distance_km as prep_per_km"),
+            ["min_per_km", "prep_per_km"],
+            [0.25, 0.5, 0.75, 0.99],
+        ).select("column_name", "point", F.round("value", 6).alias("value")),
+        """select 'min_per_km' as column_name, cast(p as double) as point, round(quantile_cont(min_per_km, [0.25, 0.5, 0.75, 0.99])[i], 6) as value
+        from paces, (values (0.25, 1), (0.5, 2), (0.75, 3), (0.99, 4)) as points(p, i) group by p, i
+        union all
+        select 'prep_per_km', cast(p as double), round(quantile_cont(prep_per_km, [0.25, 0.5, 0.75, 0.99])[i], 6)
+        from paces, (values (0.25, 1), (0.5, 2), (0.75, 3), (0.99, 4)) as points(p, i) group by p, i""",
+        paces="select delivery_time_min / distance_km as min_per_km, preparation_time_min / distance_km as prep_per_km from deliveries",
+    ),
     query(
         "dq11_category_frequency",
         lambda t: profiling.category_frequency(t.deliveries, D.CATEGORY_COLUMNS),
