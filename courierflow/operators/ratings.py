@@ -43,43 +43,55 @@ _RUN_SCHEMA = (
 )
 
 
+def _composed(tables: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """One table per run, from the tables of its rows in order.
+
+    Neighbours are composed in pairs, all runs at once, until one is left of each,
+    so the number of steps grows with the logarithm of the longest run.
+    """
+    while True:
+        second = (np.arange(len(run)) - np.searchsorted(run, run)) % 2 == 1
+        right = np.flatnonzero(second)
+        if not len(right):
+            return tables
+        tables[right - 1] = np.take_along_axis(tables[right], tables[right - 1].astype(np.intp), axis=1)
+        tables, run = tables[~second], run[~second]
+
+
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row per rider's run in a sorted partition: its first event, and the rest as a table."""
-    open_run: list | None = None
+    carried: pd.DataFrame | None = None  # the run that the rows so far end with
     for batch in batches:
-        done = []
-        on_time = batch["was_on_time"].to_numpy(dtype=np.int64)
+        if not len(batch):
+            continue
         riders = batch["rider_id"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, riders[1:] != riders[:-1]]) if len(riders) else []
-        for begin, end in zip(starts, np.r_[starts[1:], len(riders)] if len(starts) else []):
-            if open_run is None or open_run[0] != riders[begin]:
-                if open_run is not None:
-                    done.append(open_run)
-                first = batch.iloc[begin]
-                open_run = [
-                    int(first["rider_id"]),
-                    first["ts"],
-                    int(first["id"]),
-                    int(on_time[begin]),
-                    np.arange(HIGHEST + 1),
-                ]
-                begin += 1
-            state = open_run[4]
-            for flag in on_time[begin:end]:
-                state = MOVES[flag][state]
-            open_run[4] = state
-        if done:
-            yield _run_frame(done)
-    if open_run is not None:
-        yield _run_frame([open_run])
-
-
-def _run_frame(runs: list) -> pd.DataFrame:
-    frame = pd.DataFrame(
-        runs, columns=["rider_id", "first_ts", "first_id", "first_on_time", "later"]
-    )
-    frame["later"] = [r.tolist() for r in frame["later"]]
-    return frame
+        starts = np.r_[True, riders[1:] != riders[:-1]]
+        tables = MOVES[batch["was_on_time"].to_numpy(dtype=np.int64)].astype(np.int32)
+        goes_on = carried is not None and carried["rider_id"].iat[0] == riders[0]
+        heads = np.flatnonzero(starts)
+        tables[heads[1:] if goes_on else heads] = np.arange(HIGHEST + 1)  # the first event is told apart
+        later = _composed(tables, np.cumsum(starts) - 1)
+        first = batch.iloc[heads]
+        runs = pd.DataFrame(
+            {
+                "rider_id": first["rider_id"].to_numpy(),
+                "first_ts": first["ts"].to_numpy(),
+                "first_id": first["id"].to_numpy(),
+                "first_on_time": first["was_on_time"].astype("int32").to_numpy(),
+                "later": list(later),
+            }
+        )
+        if goes_on:
+            runs.at[0, "later"] = later[0][carried["later"].iat[0]]
+            for name in ("first_ts", "first_id", "first_on_time"):
+                runs.loc[0, name] = carried[name].iat[0]
+        elif carried is not None:
+            yield carried
+        carried = runs.iloc[-1:].reset_index(drop=True)
+        if len(runs) > 1:
+            yield runs.iloc[:-1]
+    if carried is not None:
+        yield carried
 
 
 def rating_runs(completed: DataFrame) -> DataFrame:
