@@ -57,14 +57,14 @@ def lifecycle_events(events: DataFrame, t: Tables) -> DataFrame:
 
 
 def run_lifecycle(t: Tables) -> DataFrame:
-    """Stream the event log; attempts are resolved to couriers afterwards."""
+    """Stream the event log; runs are expanded and resolved to couriers afterwards."""
     path = work_path(t.spark, "lifecycle")
     stream = StreamTables(t, {"events"}).dispatch_events
     done = lifecycle.start_lifecycle(
         lifecycle_events(stream, t), path, work_path(t.spark, "lifecycle-checkpoint"), DELAY
     )
     done.awaitTermination()
-    return lifecycle.read_lifecycle(t.spark, path)
+    return lifecycle.read_runs(t.spark, path)
 
 
 LATENESS = "case when event_id % 97 = 13 then 9 else 0 end"  # days from an event to its arrival
@@ -173,7 +173,7 @@ QUERIES = [
     query("st1_lifecycle_stream", lambda t: resolved(t, run_lifecycle(t))),
     query(
         "st1_lifecycle_replay",
-        lambda t: resolved(t, lifecycle.replay(lifecycle_events(t.dispatch_events, t), watermark(t))),
+        lambda t: resolved(t, lifecycle.replay_runs(lifecycle_events(t.dispatch_events, t), watermark(t))),
     ),
     query("st2_position_stream", streamed_positions, POSITIONS_SQL),
     query(

@@ -124,6 +124,43 @@ def test_closed_order_is_remembered_for_a_while():
     assert dispatched(lifecycle.CLOSED_DAYS) == ["DISPATCH_TRIGGERED"]
 
 
+def test_consecutive_expiries_are_one_row():
+    life = lifecycle.Life()
+    rows = life.step(0, "DISPATCH_TRIGGERED", 5000) + life.advance(400 * lifecycle.RESPONSE)
+    assert [(kind, attempt, offers) for kind, attempt, _, _, offers in rows] == [
+        ("DISPATCH_TRIGGERED", 1, 1), ("TIMEOUT_EXPIRED", 1, 400),
+    ]
+    rows = life.advance(9000 * lifecycle.RESPONSE)
+    assert [(kind, attempt, at // lifecycle.RESPONSE, offers) for kind, attempt, at, _, offers in rows] == [
+        ("TIMEOUT_EXPIRED", 401, 401, 4599), ("CASCADE_EXHAUSTED", 5000, 5000, 1),
+    ]
+
+
+def test_orders_share_few_states_and_runs_are_stored(spark, monkeypatch):
+    monkeypatch.setattr(lifecycle, "PAGES", 2)
+    big = 2**60  # ids that a float would not keep
+    rows = [(big + i, START + dt.timedelta(minutes=i), big + i, "DISPATCH_TRIGGERED", 30) for i in range(40)]
+    rows.append((None, START, None, "DISPATCH_TRIGGERED", 3))
+    rows.append((1, START + dt.timedelta(hours=30), 1, "LOCATION", 0))
+    folder, out, checkpoint = (work_path(spark, n) for n in ("events", "life", "life-checkpoint"))
+    log = spark.createDataFrame(rows, SCHEMA)
+    log.coalesce(1).write.parquet(folder)
+    query = lifecycle.start_lifecycle(spark.readStream.schema(SCHEMA).parquet(folder), out, checkpoint, "20 minutes")
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 2
+    # a dispatch, a run of expiries and the end of the cascade
+    assert lifecycle.read_runs(spark, out).count() == 3 * 41
+
+    def found(df):
+        return sorted(tuple(str(v) for v in r) for r in df.select("order_id", "event_type", "attempt", "at").collect())
+
+    as_of = (START + dt.timedelta(hours=30) - dt.timedelta(minutes=20)).isoformat(sep=" ")
+    want = found(lifecycle.replay(log.where("order_id is not null"), as_of))
+    life = lifecycle.read_lifecycle(spark, out)
+    assert len(want) == 40 * 31 and found(life.where("order_id is not null")) == want
+    assert life.where("order_id is null").count() == 4
+
+
 def test_positions_do_not_depend_on_batching(spark):
     rng = random.Random(4)
     schema = "rider_id bigint, ts timestamp, event_id bigint, lat double, lng double, address string, status string"
