@@ -19,6 +19,9 @@ HOME_COUNTRY = "United States"
 STOP_PHRASES = ["main campus", "mini market", "street address", "main branch", "road branch"]
 MIN_SEGMENT = 3
 
+# Addresses whose phrases one task makes.
+ROWS_PER_TASK = 20_000
+
 # Station used where neither rider nor hotel has a position.
 STATION_LAT, STATION_LNG = 24.838519, 67.081033
 
@@ -131,6 +134,15 @@ def resolve_coordinates(profiles: DataFrame, centroids: DataFrame) -> DataFrame:
     ).drop("_country", "_lat", "_lng")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows in parts of at most ``ROWS_PER_TASK`` or so, however few files they come from.
+
+    A table that is small already keeps its parts.
+    """
+    wanted = -(-rows.count() // ROWS_PER_TASK)
+    return rows.repartition(wanted, *rows.columns) if wanted > 1 else rows
+
+
 def address_phrases(df: DataFrame, keys: list[str], address: str) -> DataFrame:
     """Lookup candidates of an address, best first: all of it, segments, then 4-, 3- and 2-word runs."""
     clean = F.trim(F.col(address))
@@ -147,7 +159,8 @@ def address_phrases(df: DataFrame, keys: list[str], address: str) -> DataFrame:
         return F.filter(joined, lambda p: ~F.lower(p).isin(STOP_PHRASES))
 
     phrases = F.concat(F.array(clean), segments, runs(4), runs(3), runs(2))
-    kept = df.where(F.coalesce(F.length(clean) > 0, F.lit(False)))
+    # an address of some bytes becomes dozens of phrases: small parts, not parts sized by their bytes
+    kept = dealt(df.where(F.coalesce(F.length(clean) > 0, F.lit(False))))
     return kept.select(*keys, F.posexplode(phrases).alias("priority", "phrase"))
 
 
