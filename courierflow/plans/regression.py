@@ -31,6 +31,7 @@ from courierflow.session import written
 PREDICTED = "predicted_delivery_time_min"
 BASELINE = "mean_baseline"
 SEED = 42
+ROWS_PER_TASK = 25_000
 
 # Tree defaults grow to the engine's depth limit; tuned settings and grids.
 UNLIMITED_DEPTH = 30
@@ -96,6 +97,18 @@ def preparation_stages(prepared: Preparation) -> list:
     return stages
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows in as many tasks as the cluster has cores, where a few large files would give fewer.
+
+    Each pass of a fit takes as long as its largest task. Every task sums up all nodes of
+    a level, so more tasks than cores would only shuffle more. The order within a task is fixed.
+    """
+    wanted = min(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_PER_TASK))
+    if rows.rdd.getNumPartitions() >= wanted:
+        return rows
+    return rows.repartition(wanted, *rows.columns).sortWithinPartitions(*rows.columns)
+
+
 def fit_models(
     train: DataFrame,
     regressors: dict[str, Estimator],
@@ -109,7 +122,7 @@ def fit_models(
     Every result is a whole pipeline, raw predictors in and minutes out.
     """
     known = train.select(id_column, *D.RAW_FEATURES, D.TARGET)
-    known = known.where(F.col(D.TARGET).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    known = spread(known.where(F.col(D.TARGET).isNotNull())).persist(StorageLevel.MEMORY_AND_DISK)
     prepared = fit_preparation(add_features(known), engineered)
     stages = preparation_stages(prepared)
     matrix = PipelineModel(stages).transform(known).select("features", D.TARGET)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from courierflow.operators import geodata
+from courierflow.plans import regression
 
 
 def test_addresses_of_one_file_are_dealt(spark, monkeypatch):
@@ -13,3 +14,12 @@ def test_addresses_of_one_file_are_dealt(spark, monkeypatch):
     phrases = geodata.address_phrases(rows, ["id"], "address")
     assert phrases.rdd.getNumPartitions() == 10
     assert phrases.select("id").distinct().count() == 1000
+
+
+def test_training_rows_of_one_file_use_all_cores(spark, monkeypatch):
+    rows = spark.range(0, 1000, 1, 1)
+    assert regression.spread(rows).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(regression, "ROWS_PER_TASK", 10)
+    dealt = regression.spread(rows)
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r[0] for r in dealt.collect()) == list(range(1000))
