@@ -23,3 +23,9 @@ def test_training_rows_of_one_file_use_all_cores(spark, monkeypatch):
     dealt = regression.spread(rows)
     assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert sorted(r[0] for r in dealt.collect()) == list(range(1000))
+
+
+def test_dispatch_orders_hold_no_hash_table_of_all_orders(tables, capsys):
+    tables.dispatch_orders.select("id", "assigned_rider_id", "created_at").explain()
+    joins = [line for line in capsys.readouterr().out.splitlines() if "Join [" in line and "o_orderkey" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
