@@ -152,3 +152,31 @@ def test_rows_that_cannot_be_coded_get_the_default(spark, tables):
     trained = {r["hotel_id"]: r["count"] for r in retraining.training_rows(bad)[0].groupBy("hotel_id").count().collect()}
     assert {h: n for h, n in eligible.items() if n} == trained
     assert retraining.rejected_rows(bad).count() + sum(trained.values()) == bad.count()
+
+
+def test_deep_trees_grown_by_leaves_equal_whole_trees(rows, monkeypatch):
+    monkeypatch.setattr(regression, "ROWS_PER_SUBTREE", 200)
+    placed = splitting.with_fold(rows.where("split = 'train'").limit(3000), folds=2)
+    fit_rows, held = placed.where("fold = 0"), placed.where("fold = 1")
+    matrix = regression.PipelineModel(regression.preparation_stages(fit_preparation(add_features(fit_rows))))
+    fit_matrix = matrix.transform(fit_rows).select("features", D.TARGET).cache()
+    held = matrix.transform(held).select("features", D.TARGET).cache()
+    trees = {i: regression.tree(minInstancesPerNode=n) for i, n in enumerate([1, 4])}
+    top = regression.top_depth(fit_matrix.count())
+    assert top > 1 and all(regression.grows_deep(t, top) for t in trees.values())
+    found = regression.deep_predictions(fit_matrix, held, trees, top).toPandas()
+    for i, t in trees.items():
+        want = t.fit(fit_matrix).transform(held).select(F.col(D.TARGET).alias("y"), "prediction").toPandas()
+        mine = found[found["i"] == i]
+        assert sorted(zip(mine["y"], mine["p"].round(9))) == sorted(zip(want["y"], want["prediction"].round(9)))
+
+
+def test_grid_grows_no_deep_tree_whole(rows, monkeypatch):
+    depths = []
+    fit = regression.DecisionTreeRegressor._fit
+    monkeypatch.setattr(
+        regression.DecisionTreeRegressor, "_fit", lambda self, df: depths.append(self.getMaxDepth()) or fit(self, df)
+    )
+    grid = {"maxDepth": [3, regression.UNLIMITED_DEPTH], "minInstancesPerNode": [4]}
+    found = regression.grid_search(rows.where("split = 'train'"), regression.tree, grid, folds=2)
+    assert found.count() == 2 and max(depths) <= regression.SHALLOW_DEPTH
