@@ -28,6 +28,7 @@ from courierflow.operators.metrics import metric_columns, regression_metrics
 from courierflow.operators.preparation import Preparation, fit_preparation
 from courierflow.operators.quality import split_valid
 from courierflow.operators.splitting import with_fold
+from courierflow.plans.forests import Bins, GrownTrees, binned, grow, rules_of
 from courierflow.plans.subtrees import SubtreeRule, subtree_predictions, thresholds
 from courierflow.session import written
 
@@ -35,8 +36,10 @@ PREDICTED = "predicted_delivery_time_min"
 BASELINE = "mean_baseline"
 SEED = 42
 ROWS_PER_TASK = 25_000
+UNEVEN = 1.25
 ROWS_PER_SUBTREE = 20_000
 SHALLOW_DEPTH = 10
+ROWS_OF_SPARK_ML = 50_000
 
 # Tree defaults grow to the engine's depth limit; tuned settings and grids.
 UNLIMITED_DEPTH = 30
@@ -102,16 +105,44 @@ def preparation_stages(prepared: Preparation) -> list:
     return stages
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """The rows in as many tasks as the cluster has cores, where a few large files would give fewer.
+def spread(rows: DataFrame, ordered: bool = True) -> DataFrame:
+    """The rows in as many even tasks as the cluster has cores, where a few large files would give fewer.
 
     Each pass of a fit takes as long as its largest task. Every task sums up all nodes of
     a level, so more tasks than cores would only shuffle more. The order within a task is fixed.
     """
-    wanted = min(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_PER_TASK))
-    if rows.rdd.getNumPartitions() >= wanted:
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    wanted = min(rows.sparkSession.sparkContext.defaultParallelism, -(-sum(sizes) // ROWS_PER_TASK))
+    if wanted < 2 or (len(sizes) >= wanted and max(sizes) * wanted <= UNEVEN * sum(sizes)):
         return rows
-    return rows.repartition(wanted, *rows.columns).sortWithinPartitions(*rows.columns)
+    dealt = rows.repartition(wanted, *rows.columns)
+    return dealt.sortWithinPartitions(*rows.columns) if ordered else dealt
+
+
+def bins_of(matrix: DataFrame, rows: int, most: int, seed: int) -> Bins:
+    """Bounds of the bins of a matrix, from a sample as large as Spark ML's own."""
+    wanted = max(most * most, 10_000)
+    sample = matrix if rows <= wanted else matrix.sample(wanted / rows, seed=seed)
+    return Bins(thresholds([r["features"].toArray() for r in sample.select("features").collect()], most))
+
+
+def put_in_bins(
+    matrix: DataFrame, rows: int, regressors: dict[str, Estimator]
+) -> list[tuple[dict[str, Estimator], Bins, DataFrame]]:
+    """Regressors with the same number of bins, their bins, and the matrix as written codes."""
+    found = []
+    for most in sorted({r.getMaxBins() for r in regressors.values()}):
+        alike = {name: r for name, r in regressors.items() if r.getMaxBins() == most}
+        bins = bins_of(matrix, rows, min(most, rows), next(iter(alike.values())).getSeed())
+        found.append((alike, bins, binned(matrix, D.TARGET, bins)))
+    return found
+
+
+def grow_together(alike: dict[str, Estimator], bins: Bins, blocks: DataFrame) -> dict[str, GrownTrees]:
+    """The trees of all regressors, grown in the same passes."""
+    rules = {name: rules_of(r) for name, r in alike.items()}
+    trees = iter(grow(blocks, bins, [rule for of in rules.values() for rule in of]))
+    return {name: GrownTrees(alike[name], [next(trees) for _ in of], bins) for name, of in rules.items()}
 
 
 def fit_models(
@@ -120,11 +151,15 @@ def fit_models(
     id_column: str = D.ID_COLUMN,
     engineered: bool = True,
     parallelism: int = 4,
+    saved: bool = True,
 ) -> dict[str, PipelineModel]:
     """Fit one preparation and all regressors on training rows.
 
     The regressors share one persisted matrix: fitting passes over it many times.
-    Every result is a whole pipeline, raw predictors in and minutes out.
+    Trees of many rows are grown together (``plans/forests.py``), as Spark ML's passes
+    touch the sums of all nodes of all trees with each row. Every result is a whole
+    pipeline, raw predictors in and minutes out; grown trees become Spark ML's models
+    unless they are only to score and not to be ``saved``.
     """
     known = train.select(id_column, *D.RAW_FEATURES, D.TARGET)
     known = spread(known.where(F.col(D.TARGET).isNotNull())).persist(StorageLevel.MEMORY_AND_DISK)
@@ -132,13 +167,20 @@ def fit_models(
     stages = preparation_stages(prepared)
     matrix = PipelineModel(stages).transform(known).select("features", D.TARGET)
     matrix = matrix.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = known.count()
+    grown = {name: r for name, r in regressors.items() if rows > ROWS_OF_SPARK_ML and rules_of(r)}
     try:
         with ThreadPoolExecutor(parallelism) as pool:
-            fitted = list(pool.map(lambda r: r.fit(matrix), regressors.values()))
+            rest = {name: pool.submit(r.fit, matrix) for name, r in regressors.items() if name not in grown}
+            in_bins = put_in_bins(matrix, rows, grown)
+            models = {name: fit.result() for name, fit in rest.items()}
     finally:
         matrix.unpersist()
         known.unpersist()
-    return {name: PipelineModel([*stages, m]) for name, m in zip(regressors, fitted)}
+    for alike, bins, blocks in in_bins:
+        trees = grow_together(alike, bins, blocks)
+        models |= {name: t.spark_model(train.sparkSession) if saved else t for name, t in trees.items()}
+    return {name: PipelineModel([*stages, models[name]]) for name in regressors}
 
 
 def fit_model(
@@ -152,28 +194,32 @@ def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
     return model.transform(df).select(*df.columns, np_round(F.col("prediction"), 2).alias(PREDICTED))
 
 
-def evaluate_models(df: DataFrame, models: dict[str, PipelineModel | None]) -> DataFrame:
-    """Metrics by model and split; a model of None is the training-mean baseline.
+def guesses(df: DataFrame, models: dict[str, PipelineModel | None], mean: Column) -> DataFrame:
+    """Each row once for every model, with its name and prediction; a model of None predicts the mean.
 
-    The predictions of all models sit side by side, so the rows are read once.
+    The predictions of all models sit side by side first, so the rows are read once.
     """
-    mean = df.where("split = 'train'").agg(F.avg(D.TARGET)).scalar()
     scored = df
     for name, model in models.items():
-        guess = mean if model is None else None
-        if guess is not None:
-            scored = scored.withColumn(f"p_{name}", guess)
+        if model is None:
+            scored = scored.withColumn(f"p_{name}", mean)
         else:
             kept = scored.columns
             scored = model.transform(scored).select(*kept, F.col("prediction").alias(f"p_{name}"))
-    pairs = [F.struct(F.lit(n).alias("model"), F.col(f"p_{n}").alias("p")) for n in models]
-    long = scored.select("split", D.TARGET, F.inline(F.array(*pairs)))
-    return regression_metrics(long, D.TARGET, "p", ["model", "split"])
+    pairs = [F.struct(F.lit(n).alias("model"), F.col(f"p_{n}").alias("prediction")) for n in models]
+    return scored.select(*df.columns, F.inline(F.array(*pairs)))
+
+
+def evaluate_models(df: DataFrame, models: dict[str, PipelineModel | None]) -> DataFrame:
+    """Metrics by model and split; a model of None is the training-mean baseline."""
+    mean = df.where("split = 'train'").agg(F.avg(D.TARGET)).scalar()
+    rows = spread(df.select("split", *D.RAW_FEATURES, D.TARGET), ordered=False)
+    return regression_metrics(guesses(rows, models, mean), D.TARGET, "prediction", ["model", "split"])
 
 
 def train_and_evaluate(df: DataFrame, regressors: dict[str, Estimator]) -> DataFrame:
     """Fit every regressor on the train split and report all metrics with the baseline."""
-    models = fit_models(df.where("split = 'train'"), regressors)
+    models = fit_models(df.where("split = 'train'"), regressors, saved=False)
     return evaluate_models(df, {BASELINE: None, **models})
 
 

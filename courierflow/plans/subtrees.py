@@ -72,7 +72,7 @@ def _grown(bins: np.ndarray, y: np.ndarray, held: np.ndarray, rule: SubtreeRule)
         total = np.bincount(node[fit], y[rows[fit]], minlength=size)
         square = np.bincount(node[fit], y[rows[fit]] ** 2, minlength=size)
         out[rows] = (total / np.maximum(count, 1))[node]
-        impure = np.abs(_variance(count, total, square)) >= PURE
+        impure = np.abs(variance(count, total, square)) >= PURE
         open_node = impure & (count >= 2 * rule.min_rows)
         if level == rule.depth or not open_node.any():
             break
@@ -99,7 +99,7 @@ def _grown(bins: np.ndarray, y: np.ndarray, held: np.ndarray, rule: SubtreeRule)
     return out
 
 
-def _variance(count: np.ndarray, total: np.ndarray, square: np.ndarray) -> np.ndarray:
+def variance(count: np.ndarray, total: np.ndarray, square: np.ndarray) -> np.ndarray:
     safe = np.maximum(count, 1)
     return (square - total * total / safe) / safe
 
@@ -116,8 +116,8 @@ def _best(cell, y, count, total, square, last, starts, feature, rule) -> np.ndar
 
     n, s, q = left(None), left(y), left(y**2)
     n_right, s_right, q_right = count[:, None] - n, total[:, None] - s, square[:, None] - q
-    parent = _variance(count, total, square)[:, None]
-    gain = parent - n / count[:, None] * _variance(n, s, q) - n_right / count[:, None] * _variance(n_right, s_right, q_right)
+    parent = variance(count, total, square)[:, None]
+    gain = parent - n / count[:, None] * variance(n, s, q) - n_right / count[:, None] * variance(n_right, s_right, q_right)
     barred = last[None, :] | (n < rule.min_rows) | (n_right < rule.min_rows) | (gain < rule.min_gain)
     gain[barred] = -np.inf
     best = gain.argmax(axis=1)

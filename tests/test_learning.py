@@ -8,7 +8,7 @@ from courierflow import domain as D
 from courierflow.operators import splitting
 from courierflow.operators.preparation import fit_preparation
 from courierflow.functions.features import add_features
-from courierflow.plans import regression, retraining
+from courierflow.plans import forests, regression, retraining
 from courierflow.session import work_path
 from courierflow.sources import registry
 
@@ -180,3 +180,65 @@ def test_grid_grows_no_deep_tree_whole(rows, monkeypatch):
     grid = {"maxDepth": [3, regression.UNLIMITED_DEPTH], "minInstancesPerNode": [4]}
     found = regression.grid_search(rows.where("split = 'train'"), regression.tree, grid, folds=2)
     assert found.count() == 2 and max(depths) <= regression.SHALLOW_DEPTH
+
+
+def small_matrix(rows, count=3000):
+    placed = splitting.with_fold(rows.where("split = 'train'").limit(count), folds=2)
+    fit_rows = placed.where("fold = 0")
+    stages = regression.preparation_stages(fit_preparation(add_features(fit_rows)))
+    made = (regression.PipelineModel(stages).transform(part) for part in (fit_rows, placed.where("fold = 1")))
+    return [m.select("order_id", "features", D.TARGET).cache() for m in made]
+
+
+def test_trees_grown_in_passes_equal_whole_trees(spark, rows, monkeypatch):
+    monkeypatch.setattr(forests, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(forests, "SUM_BYTES", 20_000)  # groups of few trees
+    fit_matrix, held = small_matrix(rows)
+    wanted = {"a": regression.tree(maxDepth=5, minInstancesPerNode=4), "b": regression.tree(maxDepth=8)}
+    (alike, bins, blocks), = regression.put_in_bins(fit_matrix, fit_matrix.count(), wanted)
+    found = regression.grow_together(alike, bins, blocks)
+    for name, tree in wanted.items():
+        want = tree.fit(fit_matrix)
+        as_spark = found[name].spark_model(spark)
+        for part, most in ((fit_matrix, 0.0), (held, 0.01)):  # splits of equal gain part only the training rows alike
+            guesses = [m.transform(part).orderBy("order_id").toPandas()["prediction"] for m in (want, found[name], as_spark)]
+            assert np.allclose(guesses[1], guesses[2], atol=1e-9)
+            assert (abs(guesses[0] - guesses[1]) > 1e-9).mean() <= most
+        assert as_spark.numNodes >= want.numNodes and as_spark.depth == want.depth
+        assert np.allclose(as_spark.featureImportances.toArray(), want.featureImportances.toArray(), atol=1e-3)
+
+
+def test_a_forest_of_many_rows_is_grown_in_passes(rows, monkeypatch):
+    monkeypatch.setattr(regression, "ROWS_OF_SPARK_ML", 1000)
+    fitted = []
+    fit = regression.RandomForestRegressor._fit
+    monkeypatch.setattr(regression.RandomForestRegressor, "_fit", lambda self, df: fitted.append(df.count()) or fit(self, df))
+    train = rows.where("split = 'train'")
+    forest = regression.forest(maxDepth=6, numTrees=30, minInstancesPerNode=4)
+    saved = regression.fit_models(train, {"forest": forest})["forest"]
+    assert max(fitted, default=0) <= 2  # the two rows of an empty model
+    monkeypatch.setattr(regression, "ROWS_OF_SPARK_ML", 10**9)
+    by_spark = regression.fit_models(train, {"forest": forest})["forest"]
+    report = regression.evaluate_models(rows, {"ours": saved, "theirs": by_spark}).collect()
+    mae = {(r["model"], r["split"]): r["mae"] for r in report}
+    assert saved.stages[-1].getNumTrees == 30
+    assert all(abs(mae["ours", s] / mae["theirs", s] - 1) < 0.03 for s in ("train", "test"))
+    trees = saved.stages[-1].trees
+    assert len({t.numNodes for t in trees}) > 1  # each tree draws its own rows
+    counted = [t.toDebugString for t in trees]
+    assert len(set(counted)) == 30
+
+
+def test_forest_draws_are_poisson_and_repeat():
+    times = np.concatenate([forests.drawn((42, 7), block, 100_000) for block in range(5)])
+    assert abs(times.mean() - 1) < 0.01 and abs(times.var() - 1) < 0.02
+    assert (forests.drawn((42, 7), 3, 100_000) == times[300_000:400_000]).all()
+    assert (forests.drawn((42, 8), 3, 100_000) != times[300_000:400_000]).any()
+
+
+def test_null_targets_are_refused_in_bins(spark):
+    from pyspark.ml.linalg import Vectors
+
+    matrix = spark.createDataFrame([(Vectors.dense([2.0]), 3.0), (Vectors.dense([1.0]), None)], ["features", D.TARGET])
+    with pytest.raises(Exception, match="targets must not be null"):
+        forests.binned(matrix, D.TARGET, forests.Bins([np.array([1.5])])).count()

@@ -25,6 +25,15 @@ def test_training_rows_of_one_file_use_all_cores(spark, monkeypatch):
     assert sorted(r[0] for r in dealt.collect()) == list(range(1000))
 
 
+def test_uneven_parts_are_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(regression, "ROWS_PER_TASK", 10)
+    cores = spark.sparkContext.defaultParallelism
+    even, uneven = spark.range(0, 1000, 1, cores), spark.range(0, 20, 1, cores - 1).union(spark.range(20, 1000, 1, 1))
+    assert regression.spread(even) is even
+    sizes = regression.spread(uneven).groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert len(sizes) == cores and sizes.max() < 200
+
+
 def test_dispatch_orders_hold_no_hash_table_of_all_orders(tables, capsys):
     tables.dispatch_orders.select("id", "assigned_rider_id", "created_at").explain()
     joins = [line for line in capsys.readouterr().out.splitlines() if "Join [" in line and "o_orderkey" in line]
