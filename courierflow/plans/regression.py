@@ -233,22 +233,21 @@ def cross_validate(
     """Metrics by model and fold; preparation is fitted anew without the fold's rows.
 
     A regressor of None predicts the mean of the other folds. The folds are a written
-    table, so nothing stays in memory once the result is planned.
+    table, so nothing stays in memory once the result is planned. All folds run at once,
+    so that none is left to run by itself.
     """
-    placed = written(with_fold(train, id_column, folds, SEED), "folds")
+    placed = written(spread(with_fold(train, id_column, folds, SEED)), "folds")
     fitted = {name: r for name, r in regressors.items() if r is not None}
 
-    def one(fold: int) -> list[DataFrame]:
+    def one(fold: int) -> DataFrame:
         others = placed.where(F.col("fold") != fold)
-        models = fit_models(others, fitted, id_column)
-        held_out = placed.where(F.col("fold") == fold)
-        guessed = {name: predict_raw(held_out, m) for name, m in models.items()}
+        models = fit_models(others, fitted, id_column, parallelism=parallelism, saved=False)
+        held_out = placed.where(F.col("fold") == fold).select("fold", *D.RAW_FEATURES, D.TARGET)
         mean = others.agg(F.avg(D.TARGET)).scalar()
-        guessed |= {name: held_out.withColumn("prediction", mean) for name, r in regressors.items() if r is None}
-        return [df.select(F.lit(name).alias("model"), "fold", D.TARGET, "prediction") for name, df in guessed.items()]
+        return guesses(held_out, {name: models.get(name) for name in regressors}, mean)
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        parts = [part for of_fold in pool.map(one, range(folds)) for part in of_fold]
+    with ThreadPoolExecutor(folds) as pool:
+        parts = list(pool.map(one, range(folds)))
     stacked = parts[0]
     for part in parts[1:]:
         stacked = stacked.unionByName(part)

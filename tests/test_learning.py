@@ -236,6 +236,15 @@ def test_forest_draws_are_poisson_and_repeat():
     assert (forests.drawn((42, 8), 3, 100_000) != times[300_000:400_000]).any()
 
 
+def test_cross_validated_forest_of_many_rows_is_grown_in_passes(rows, monkeypatch):
+    monkeypatch.setattr(regression, "ROWS_OF_SPARK_ML", 100)
+    monkeypatch.setattr(regression.RandomForestRegressor, "_fit", None)
+    train = rows.where("split = 'train'")
+    models = {"forest": regression.forest(maxDepth=4, numTrees=5), regression.BASELINE: None}
+    found = {(r["model"], r["fold"]): r["mae"] for r in regression.cross_validate(train, models, folds=2).collect()}
+    assert all(found["forest", f] < 0.8 * found[regression.BASELINE, f] for f in (0, 1))
+
+
 def test_null_targets_are_refused_in_bins(spark):
     from pyspark.ml.linalg import Vectors
 
