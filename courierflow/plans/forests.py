@@ -9,9 +9,7 @@ trees. A task holds one block and the sums of a bounded group of trees, however
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import cached_property
-from math import prod
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -29,12 +27,11 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courierflow.plans.subtrees import PURE, variance
+from courierflow.plans.subtrees import PURE, Bins, SubtreeRule, grown, variance
 from courierflow.session import work_path, written
 
 BLOCK_ROWS = 1 << 17
 SUM_BYTES = 1 << 27
-JOINT_BINS = 64
 MOST_BINS = 256
 MOST_DEPTH = 10
 
@@ -53,74 +50,6 @@ class TreeRule:
     draw: tuple[int, int] | None = None
 
 
-@dataclass(frozen=True)
-class Bins:
-    """Bounds of every feature's bins, and the features whose bins are counted jointly.
-
-    Features of few bins share one count over the cells of all their bins, from which a
-    product with zeros and ones gives the counts of each feature.
-    """
-
-    bounds: list[np.ndarray]
-
-    @cached_property
-    def widths(self) -> np.ndarray:
-        return np.array([len(b) + 1 for b in self.bounds])
-
-    @cached_property
-    def starts(self) -> np.ndarray:
-        return np.concatenate([[0], np.cumsum(self.widths)[:-1]])
-
-    @cached_property
-    def cells(self) -> int:
-        return int(self.widths.sum())
-
-    @cached_property
-    def feature(self) -> np.ndarray:
-        """The feature of each cell."""
-        return np.repeat(np.arange(len(self.widths)), self.widths)
-
-    @cached_property
-    def last(self) -> np.ndarray:
-        """Whether a cell is its feature's last bin, after which nothing can be split."""
-        marks = np.zeros(self.cells, dtype=bool)
-        marks[self.starts + self.widths - 1] = True
-        return marks
-
-    @cached_property
-    def joint(self) -> list[list[int]]:
-        groups: list[list[int]] = []
-        for f in np.argsort(-self.widths, kind="stable").tolist():
-            fits = (g for g in groups if prod(int(self.widths[o]) for o in g) * self.widths[f] <= JOINT_BINS)
-            home = next(fits, None)
-            if home is None:
-                groups.append(home := [])
-            home.append(f)
-        return groups
-
-    def joint_codes(self, codes: np.ndarray) -> list[np.ndarray]:
-        """One code a row for each group of features."""
-        found = []
-        for group in self.joint:
-            code = codes[:, group[0]].astype(np.int64)
-            for f in group[1:]:
-                code = code * self.widths[f] + codes[:, f]
-            found.append(code)
-        return found
-
-    @cached_property
-    def parts(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """Of each group: joint cells, the features' own cells, and which joint cells they hold."""
-        found = []
-        for group in self.joint:
-            shape = [int(self.widths[f]) for f in group]
-            of = np.unravel_index(np.arange(prod(shape)), shape)
-            held = np.concatenate([np.eye(w)[o] for w, o in zip(shape, of)], axis=1)
-            own = np.concatenate([self.starts[f] + np.arange(self.widths[f]) for f in group])
-            found.append((prod(shape), own, held))
-        return found
-
-
 @dataclass
 class Tree:
     """Nodes in the order of their making; a leaf leads to itself, children are neighbours."""
@@ -422,3 +351,84 @@ def rules_of(regressor) -> list[TreeRule] | None:
     if not whole or regressor.getFeatureSubsetStrategy() != "all" or regressor.getNumTrees() == 1:
         return None
     return [TreeRule(*limits, (regressor.getSeed(), k)) for k in range(regressor.getNumTrees())]
+
+
+def shared_rules(wanted: dict[int, list[TreeRule]]) -> dict[TreeRule, TreeRule]:
+    """One rule for all that differ by depth only: the smaller tree is the top of the larger."""
+    deepest: dict[TreeRule, TreeRule] = {}
+    for rules in wanted.values():
+        for rule in rules:
+            alike = replace(rule, depth=0)
+            if alike not in deepest or deepest[alike].depth < rule.depth:
+                deepest[alike] = rule
+    return deepest
+
+
+def held_errors(held: DataFrame, bins: Bins, forests: dict[int, list[Tree]]) -> DataFrame:
+    """i, rows and absolute error of the held blocks, in parts: a forest predicts the mean of its trees."""
+    width = len(bins.bounds)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, codes, y in blocks_of(batches, width):
+            flat, base, lost = codes.ravel(), np.arange(len(y)) * width, []
+            for trees in forests.values():
+                total = np.zeros(len(y))
+                for tree in trees:
+                    node = tree.descend(np.zeros(len(y), np.int64), flat, base, int(tree.level.max()))
+                    total += (tree.sums[:, 1] / np.maximum(tree.sums[:, 0], 1)).take(node)
+                lost.append(float(np.abs(y - total / len(trees)).sum()))
+            yield pa.RecordBatch.from_pydict(
+                {"i": pa.array([*forests], pa.int32()), "n": pa.array([len(y)] * len(lost), pa.int64()), "lost": lost}
+            )
+
+    return held.mapInArrow(score, "i int, n long, lost double")
+
+
+def deep_errors(
+    fit: DataFrame, held: DataFrame, bins: Bins, tops: dict[int, Tree], rules: dict[int, SubtreeRule]
+) -> DataFrame:
+    """i, rows and absolute error of the held blocks by deep trees, a part for each leaf of a top.
+
+    The rows of a leaf go to one task, in pieces of one block, and once for all trees with the same top.
+    """
+    width = len(bins.bounds)
+    firsts: dict[tuple, int] = {}
+    same = {i: firsts.setdefault((t.feature.tobytes(), t.cut.tobytes(), t.left.tobytes()), i) for i, t in tops.items()}
+    apart = {i: tops[i] for i in firsts.values()}
+
+    def pieces_of(is_held: bool):
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, codes, y in blocks_of(batches, width):
+                flat, base = codes.ravel(), np.arange(len(y)) * width
+                for i, tree in apart.items():
+                    node = tree.descend(np.zeros(len(y), np.int64), flat, base, int(tree.level.max()))
+                    order = np.argsort(node, kind="stable")
+                    leaves, firsts = np.unique(node[order], return_index=True)
+                    ends = np.append(firsts, len(y))
+                    yield pa.RecordBatch.from_pydict({
+                        "top": pa.array([i] * len(leaves), pa.int32()), "leaf": pa.array(leaves, pa.int32()),
+                        "held": [is_held] * len(leaves),
+                        "codes": _cells(codes[order].tobytes(), ends * width), "y": _cells(y[order].tobytes(), ends * 8),
+                    })
+
+        return deal
+
+    schema = "top int, leaf int, held boolean, codes binary, y binary"
+    pieces = fit.mapInArrow(pieces_of(False), schema).unionByName(held.mapInArrow(pieces_of(True), schema))
+
+    def grow_leaf(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        codes = np.frombuffer(b"".join(parts["codes"]), np.uint8).reshape(-1, width)
+        y = np.frombuffer(b"".join(parts["y"]))
+        own = np.repeat(parts["held"].to_numpy(dtype=bool), parts["y"].str.len() // 8)
+        lost = []
+        for i in rules:
+            if own.any() and same[i] == key[0]:
+                lost.append((i, int(own.sum()), float(np.abs(y - grown(codes, y, own, bins, rules[i]))[own].sum())))
+        return pd.DataFrame(lost, columns=["i", "n", "lost"])
+
+    return pieces.groupBy("top", "leaf").applyInPandas(grow_leaf, "i int, n long, lost double")
+
+
+def _cells(data: bytes, ends: np.ndarray) -> pa.Array:
+    """Pieces of one buffer as binary cells."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])

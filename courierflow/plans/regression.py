@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from itertools import product
 
 import pandas as pd
@@ -28,8 +29,8 @@ from courierflow.operators.metrics import metric_columns, regression_metrics
 from courierflow.operators.preparation import Preparation, fit_preparation
 from courierflow.operators.quality import split_valid
 from courierflow.operators.splitting import with_fold
-from courierflow.plans.forests import Bins, GrownTrees, binned, grow, rules_of
-from courierflow.plans.subtrees import SubtreeRule, subtree_predictions, thresholds
+from courierflow.plans.forests import GrownTrees, TreeRule, binned, deep_errors, grow, held_errors, rules_of, shared_rules
+from courierflow.plans.subtrees import Bins, SubtreeRule, subtree_predictions, thresholds
 from courierflow.session import written
 
 PREDICTED = "predicted_delivery_time_min"
@@ -282,9 +283,7 @@ def deep_predictions(fit_matrix: DataFrame, held: DataFrame, trees: dict[int, De
     for i, tree_i in trees.items():
         bins = min(tree_i.getMaxBins(), n)
         if bins not in rules:
-            wanted = max(bins * bins, 10_000)  # Spark ML's own sample for the bounds of its bins
-            sample = fit_matrix if n <= wanted else fit_matrix.sample(wanted / n, seed=tree_i.getSeed())
-            rules[bins] = thresholds([r["features"].toArray() for r in sample.select("features").collect()], bins)
+            rules[bins] = bins_of(fit_matrix, n, bins, tree_i.getSeed())
         upper = tree_i.copy({tree_i.maxDepth: top, tree_i.leafCol: "leaf"}).fit(fit_matrix)
         part = upper.transform(rows).select(
             F.lit(i).alias("i"), F.col("leaf").cast("int").alias("leaf"), "held",
@@ -292,16 +291,37 @@ def deep_predictions(fit_matrix: DataFrame, held: DataFrame, trees: dict[int, De
         )
         stacked = part if stacked is None else stacked.unionByName(part)
     per_tree = {
-        i: SubtreeRule(
-            rules[min(t.getMaxBins(), n)], t.getMaxDepth() - top, t.getMinInstancesPerNode(), t.getMinInfoGain()
-        )
+        i: (rules[min(t.getMaxBins(), n)], SubtreeRule(t.getMaxDepth() - top, t.getMinInstancesPerNode(), t.getMinInfoGain()))
         for i, t in trees.items()
     }
 
-    def grow(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return subtree_predictions(int(key[0]), group, per_tree[int(key[0])])
+    def grow_leaf(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return subtree_predictions(int(key[0]), group, *per_tree[int(key[0])])
+
+    return stacked.groupBy("i", "leaf").applyInPandas(grow_leaf, "i int, y double, p double")
 
-    return stacked.groupBy("i", "leaf").applyInPandas(grow, "i int, y double, p double")
+
+def errors_by_codes(
+    fit_matrix: DataFrame, held: DataFrame, rows: int, made: dict[int, Estimator], deep: dict[int, Estimator], top: int
+) -> dict[int, float]:
+    """Mean absolute error on the held rows of every setting, whose trees all have the same number of bins.
+
+    Settings that differ by depth are read off one tree, and deep trees go on below a top of it.
+    """
+    first = next(iter(made.values()))
+    bins = bins_of(fit_matrix, rows, min(first.getMaxBins(), rows), first.getSeed())
+    fit_blocks, held_blocks = binned(fit_matrix, D.TARGET, bins), binned(held, D.TARGET, bins)
+    limits = {i: (r.getMinInstancesPerNode(), r.getMinInfoGain()) for i, r in deep.items()}
+    wanted = {i: [TreeRule(top, *limits[i])] if i in deep else rules_of(r) for i, r in made.items()}
+    shared = shared_rules(wanted)
+    whole = dict(zip(shared, grow(fit_blocks, bins, list(shared.values()))))
+    trees = {i: [whole[replace(rule, depth=0)].cut_to(rule.depth) for rule in rules] for i, rules in wanted.items()}
+    parts = held_errors(held_blocks, bins, {i: of for i, of in trees.items() if i not in deep})
+    if deep:
+        below = {i: SubtreeRule(r.getMaxDepth() - top, *limits[i]) for i, r in deep.items()}
+        parts = parts.unionByName(deep_errors(fit_blocks, held_blocks, bins, {i: trees[i][0] for i in deep}, below))
+    found = parts.groupBy("i").agg(F.sum("lost").alias("lost"), F.sum("n").alias("n")).collect()
+    return {r["i"]: round(r["lost"] / r["n"], 4) for r in found}
 
 
 def grid_search(
@@ -317,20 +337,29 @@ def grid_search(
     Each fold prepares its matrix once, fits all settings on it, and scores them
     together in one pass over the held-out rows; deep trees are grown by leaves.
     All folds run at once, since the passes of a small tree leave cores idle.
+    Beyond ``ROWS_OF_SPARK_ML`` rows all trees are grown and scored by bin codes.
     """
     settings = [dict(zip(grid, values)) for values in product(*grid.values())]
-    placed = with_fold(train, id_column, folds, SEED).persist(StorageLevel.MEMORY_AND_DISK)
-    top = top_depth(placed.count())
+    needed = ["fold", *D.RAW_FEATURES, D.TARGET]
+    placed = spread(with_fold(train, id_column, folds, SEED).select(needed)).persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = {r["fold"]: r["count"] for r in placed.groupBy("fold").count().collect()}
+    count = sum(sizes.values())
+    top = top_depth(count)
     made = {i: make(**s, predictionCol=f"p{i}") for i, s in enumerate(settings)}
     deep = {i: r for i, r in made.items() if grows_deep(r, top)}
     whole = [i for i in made if i not in deep]
+    by_codes = count > ROWS_OF_SPARK_ML and all(i in deep or rules_of(r) for i, r in made.items())
+    by_codes = by_codes and len({r.getMaxBins() for r in made.values()}) == 1
 
     def score(fold: int) -> list[float]:
-        fit_rows = spread(placed.where(F.col("fold") != fold))
+        fit_rows = placed.where(F.col("fold") != fold)
         matrix = PipelineModel(preparation_stages(fit_preparation(add_features(fit_rows))))
         fit_matrix = matrix.transform(fit_rows).select("features", D.TARGET)
-        fit_matrix = fit_matrix.persist(StorageLevel.MEMORY_AND_DISK)
         held = matrix.transform(placed.where(F.col("fold") == fold)).select("features", D.TARGET)
+        if by_codes:
+            maes = errors_by_codes(fit_matrix, held, count - sizes.get(fold, 0), made, deep, top)
+            return [maes.get(i) for i in range(len(settings))]
+        fit_matrix = fit_matrix.persist(StorageLevel.MEMORY_AND_DISK)
         with ThreadPoolExecutor(parallelism) as pool:
             models = list(pool.map(lambda i: made[i].fit(fit_matrix), whole))
         scored = held

@@ -8,7 +8,7 @@ from courierflow import domain as D
 from courierflow.operators import splitting
 from courierflow.operators.preparation import fit_preparation
 from courierflow.functions.features import add_features
-from courierflow.plans import forests, regression, retraining
+from courierflow.plans import forests, regression, retraining, subtrees
 from courierflow.session import work_path
 from courierflow.sources import registry
 
@@ -251,3 +251,42 @@ def test_null_targets_are_refused_in_bins(spark):
     matrix = spark.createDataFrame([(Vectors.dense([2.0]), 3.0), (Vectors.dense([1.0]), None)], ["features", D.TARGET])
     with pytest.raises(Exception, match="targets must not be null"):
         forests.binned(matrix, D.TARGET, forests.Bins([np.array([1.5])])).count()
+
+
+def test_grid_of_many_rows_is_grown_and_scored_by_codes(rows, monkeypatch):
+    train = rows.where("split = 'train'").limit(6000).cache()  # few enough for bins from all rows
+    grid = {"maxDepth": [3, 6, regression.UNLIMITED_DEPTH], "minInstancesPerNode": [1, 4]}
+    monkeypatch.setattr(regression, "ROWS_PER_SUBTREE", 400)
+    want = {tuple(r[:2]): r["cv_mae"] for r in regression.grid_search(train, regression.tree, grid, folds=2).collect()}
+    monkeypatch.setattr(regression, "ROWS_OF_SPARK_ML", 1000)
+    monkeypatch.setattr(regression.DecisionTreeRegressor, "_fit", None)  # not one fit by Spark ML
+    found = {tuple(r[:2]): r["cv_mae"] for r in regression.grid_search(train, regression.tree, grid, folds=2).collect()}
+    assert found.keys() == want.keys() and len(found) == 6
+    assert all(abs(found[s] / want[s] - 1) < 0.005 for s in want)  # splits of equal gain may differ
+
+
+def test_grid_of_forests_shares_trees(rows, monkeypatch):
+    monkeypatch.setattr(regression, "ROWS_OF_SPARK_ML", 1000)
+    monkeypatch.setattr(regression.RandomForestRegressor, "_fit", None)
+    grown = []
+    grow = regression.grow
+    monkeypatch.setattr(regression, "grow", lambda blocks, bins, rules: grown.append(len(rules)) or grow(blocks, bins, rules))
+    grid = {"numTrees": [2, 5], "maxDepth": [2, 4], "minInstancesPerNode": [4]}
+    found = regression.grid_search(rows.where("split = 'train'"), regression.forest, grid, folds=2).collect()
+    assert len(found) == 4 and grown == [5, 5]
+    assert {r["maxDepth"] for r in found if r["rank"] <= 2} == {4}
+
+
+def test_subtrees_of_large_and_small_nodes_are_the_same(monkeypatch):
+    source = np.random.default_rng(1)
+    codes = np.stack([source.integers(0, w, 2000) for w in (30, 5, 2, 2, 2)], axis=1).astype(np.uint8)
+    y = np.rint(codes @ [1.0, 4.0, 9.0, 2.0, 0.0] + source.normal(0, 5, 2000))
+    bins = subtrees.Bins([np.arange(w - 1) + 0.5 for w in (30, 5, 2, 2, 2)])
+    held = np.arange(2000) % 5 == 0
+    found = []
+    for rows_for_joint, at_once in ((0, 1), (10**9, 10**6), (20, 7)):
+        monkeypatch.setattr(subtrees, "ROWS_FOR_JOINT", rows_for_joint)
+        monkeypatch.setattr(subtrees, "NODES_AT_ONCE", at_once)
+        found.append(subtrees.grown(codes, y, held, bins, subtrees.SubtreeRule(12, 2, 0.0)))
+    assert (found[0] == found[1]).all() and (found[0] == found[2]).all()
+    assert np.abs(found[0] - y)[held].mean() < 0.6 * np.abs(y - y.mean()).mean()
